@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza import folds
 from cadenza.operators.words import clean_slices, explode_slices, gap_ms, ordered_slices
-from cadenza.timeline import KEY, SLICE, SLICE_MS, carry, numbered, running, with_slice
+from cadenza.timeline import KEY, SLICE, SLICE_MS, carry, numbered, running, settle, with_slice
 
 BUCKET_MS = 4000
 TOLERANCE_MS = 250
@@ -139,11 +139,11 @@ def bucketize_legacy(
 
 def bucketize_raw(words: DataFrame, timing_repair: bool = True, bucket_seconds: float = 4.0, slice_ms: int = SLICE_MS):
     """Clean and bucketize in one pass over the words: a single wide shuffle."""
-    return bucket_slices(clean_slices(words, timing_repair, slice_ms), round(bucket_seconds * 1000))
+    return bucket_slices(settle(clean_slices(words, timing_repair, slice_ms)), round(bucket_seconds * 1000))
 
 
 def bucketize_legacy_raw(words: DataFrame, timing_repair: bool = True, slice_ms: int = SLICE_MS) -> DataFrame:
-    return legacy_slices(clean_slices(words, timing_repair, slice_ms))
+    return legacy_slices(settle(clean_slices(words, timing_repair, slice_ms)))
 
 
 def bucket_table(bucketed: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def _check(chunk_ms: int, overlap_ms: int) -> None:
         raise ValueError("chunk must be longer than overlap")
 
 
-def _spread(durations: DataFrame, count, name: str) -> DataFrame:
+def row_range(durations: DataFrame, count, name: str) -> DataFrame:
     """Rows 0..count-1 per recording, generated in two steps so no array grows with the recording."""
     return (
         durations.withColumn("_n", count)
@@ -144,14 +144,14 @@ def time_splits(durations: DataFrame, chunk_ms: int = CHUNK_MS, overlap_ms: int
     _check(chunk_ms, overlap_ms)
     step = chunk_ms - overlap_ms
     points = F.ceil(F.col("duration_ms") / step).cast("bigint") + 1
-    rows = _spread(durations, points, "split_no")
+    rows = row_range(durations, points, "split_no")
     at = F.when(F.col("split_no") == F.col("_n") - 1, F.col("duration_ms")).otherwise(F.col("split_no") * step)
     return rows.select(KEY, "split_no", (at / 1000.0).alias("split_s"), "duration_ms")
 
 
 def stream_chunks(durations: DataFrame, chunk_ms: int = 5000, overlap_ms: int = 1000) -> DataFrame:
     """Fixed chunks with back-context; the first has none."""
-    rows = _spread(durations, F.ceil(F.col("duration_ms") / chunk_ms).cast("bigint"), "_i")
+    rows = row_range(durations, F.ceil(F.col("duration_ms") / chunk_ms).cast("bigint"), "_i")
     start = F.col("_i") * chunk_ms
     back = F.when(start > 0, F.lit(overlap_ms)).otherwise(F.lit(0))
     return rows.select(
@@ -169,7 +169,7 @@ def stream_chunks(durations: DataFrame, chunk_ms: int = 5000, overlap_ms: int =
 
 def _plan_rows(durations: DataFrame, silences: DataFrame, reach_ms: int, plan_ms: int) -> DataFrame:
     """(recording, slice, duration, silences a plan in this slice can look at)."""
-    slices = _spread(durations, F.expr(f"duration_ms div {plan_ms}L") + 1, SLICE).drop("_n")
+    slices = row_range(durations, F.expr(f"duration_ms div {plan_ms}L") + 1, SLICE).drop("_n")
     first = F.greatest(F.lit(0), F.floor((F.col("start_ms") - reach_ms) / F.lit(plan_ms)) - 1)
     last = F.floor(F.col("end_ms") / F.lit(plan_ms))
     seen = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.columns import overlap_ms, ratio
 from cadenza.operators.intervals import BIN_MS, interval_pairs
-from cadenza.timeline import KEY, SLICE, neighbour, running, with_facts, with_slice
+from cadenza.timeline import KEY, SLICE, neighbour, running, settle, with_facts, with_slice
 
 SEGMENTS_PER_PART = 256
 EPSILON_MS = 100
@@ -66,7 +66,7 @@ def dedupe_overlaps(overlaps: DataFrame, eps_ms: int = EPSILON_MS, by_speakers:
         .agg(F.min_by(value, order).alias("v"))
         .select(*keys, "start_ms", "end_ms", "v.*")
     )
-    by_start = _islands(single, "start_ms", eps_ms, keys, "_i", 300_000)
+    by_start = settle(_islands(settle(single), "start_ms", eps_ms, keys, "_i", 300_000))
     by_end = _islands(by_start, "end_ms", eps_ms, [*keys, "_i"], "_j", 300_000)
     rest = [c for c in single.columns if c not in (*keys, "first_turn", "second_turn")]
     row = F.struct("first_turn", "second_turn", *rest)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import tokens
-from cadenza.operators.words import clean_words
+from cadenza.operators.chunks import row_range
+from cadenza.operators.intervals import interval_pairs
 from cadenza.timeline import KEY, numbered, running, with_slice
 
 TURNS_PER_SLICE = 256
@@ -65,13 +66,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_words(words(spark, sf_dir))
-
-
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments_from(spark: SparkSession, sf_dir: str, clean: DataFrame) -> DataFrame:
     """One row per turn: spans from its cleaned words, scores from the key columns."""
-    spans = clean(spark, sf_dir).groupBy(KEY, "segment_id").agg(
+    spans = clean.groupBy(KEY, "segment_id").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")
     )
     logprob = F.expr("-((recording_id * 31 + segment_id * 17) % 250) / 100.0").cast("double")
@@ -92,9 +89,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def diarization(spark: SparkSession, sf_dir: str) -> DataFrame:
+def diarization_from(seg: DataFrame) -> DataFrame:
     """Speaker turns: each segment widened, plus an occasional moderator."""
-    seg = segments(spark, sf_dir)
     mid = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
     own = seg.select(
         KEY,
@@ -111,14 +107,12 @@ def diarization(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(spark, sf_dir).groupBy(KEY).agg(F.max("end_ms").alias("duration_ms"))
+def durations_from(clean: DataFrame) -> DataFrame:
+    return clean.groupBy(KEY).agg(F.max("end_ms").alias("duration_ms"))
 
 
-def nested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nested_segments(seg: DataFrame, w: DataFrame) -> DataFrame:
     """Segments with their raw words nested; one in seven has none, as some models emit them."""
-    seg = segments(spark, sf_dir)
-    w = words(spark, sf_dir)
     item = F.struct(
         "pos",
         F.col("word"),
@@ -142,3 +136,129 @@ def nested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+def frames(clean: DataFrame, durations: DataFrame, hop_ms: int = 100) -> DataFrame:
+    """One row per hop: energy and centroid of the loudest word that covers it, else 0."""
+    spoken = clean.where("end_ms > start_ms").withColumn(
+        "h", F.expr("(recording_id * 7919 + segment_id * 104729 + pos * 12917) % 9973")
+    )
+    covered = (
+        spoken.select(
+            KEY,
+            F.explode(F.expr(f"sequence(start_ms div {hop_ms}L, (end_ms - 1) div {hop_ms}L)")).alias("idx"),
+            (F.col("h") % 9 + 1).alias("e"),
+            (F.col("h") % 11 + 1).alias("c"),
+        )
+        .groupBy(KEY, "idx")
+        .agg(F.max("e").alias("e"), F.max("c").alias("c"))
+    )
+    every = row_range(durations, F.ceil(F.col("duration_ms") / hop_ms).cast("bigint"), "idx")
+    return every.join(covered, [KEY, "idx"], "left").select(
+        KEY,
+        "idx",
+        F.coalesce("e", F.lit(0)).cast("double").alias("energy"),
+        F.coalesce("c", F.lit(0)).cast("double").alias("centroid"),
+    )
+
+
+def chunk_results(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Segments heard in each padded chunk, times relative to the chunk's start."""
+    a = chunks.select(
+        KEY,
+        "chunk_id",
+        F.round(F.col("start_time") * 1000).cast("bigint").alias("_a"),
+        F.round(F.col("end_time") * 1000).cast("bigint").alias("_b"),
+    )
+    b = segments.withColumns({"_s": F.col("start_ms"), "_e": F.col("start_ms") + 1})
+    return interval_pairs(a, b, ("_a", "_b"), ("_s", "_e")).where("start_ms >= _a").select(
+        KEY,
+        "chunk_id",
+        "segment_id",
+        (F.col("start_ms") - F.col("_a")).alias("start_ms"),
+        (F.col("end_ms") - F.col("_a")).alias("end_ms"),
+        "text",
+        "avg_logprob",
+        "no_speech_prob",
+    )
+
+
+def chunk_runs(chunks: DataFrame) -> DataFrame:
+    """Per-chunk results of a pretended transcription run."""
+    c = F.col("chunk_id")
+    return chunks.select(
+        KEY,
+        "chunk_id",
+        F.when((F.col(KEY) + c) % 3 == 0, F.lit("en")).otherwise(F.lit("de")).alias("language"),
+        ((F.lit(80) + c % 20) / 100.0).alias("language_probability"),
+        "duration",
+        (F.lit(1.0) + (c % 4) * 0.25).alias("processing_time"),
+        (-((F.col(KEY) + c) % 200) / 100.0).alias("avg_confidence"),
+    )
+
+
+def slow_results(windows: DataFrame) -> DataFrame:
+    """What a slow pass returns for each window: the target, 0.2 s late, and the rest before it."""
+    lead, span = F.col("overlap_before_ms"), F.col("end_ms") - F.col("start_ms")
+    slow = lambda ms: F.floor(ms * 10 / F.lit(7.0) + 0.5).cast("bigint")
+    hit = F.struct(
+        F.lit(1).alias("result_no"),
+        slow(lead + 200).alias("result_start_ms"),
+        slow(lead + span + 200).alias("result_end_ms"),
+        F.col("text"),
+        (F.col("avg_logprob") + 0.15).alias("avg_logprob"),
+        F.col("no_speech_prob"),
+    )
+    before = F.struct(
+        F.lit(0).alias("result_no"),
+        F.lit(0).cast("bigint").alias("result_start_ms"),
+        slow(lead).alias("result_end_ms"),
+        F.lit("before").alias("text"),
+        F.lit(-0.1).alias("avg_logprob"),
+        F.lit(0.0).alias("no_speech_prob"),
+    )
+    return windows.select(KEY, "segment_id", F.explode(F.array(before, hit)).alias("r")).select(KEY, "segment_id", "r.*")
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as transcription jobs."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("job_id"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("completed")).otherwise(F.lit("queued")).alias("status"),
+        F.col("o_orderdate").alias("created_at"),
+        (k % 3600).cast("int").alias("processing_time_seconds"),
+        (k * 1000).alias("file_size_bytes"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("duration_seconds"),
+    )
+
+
+def processing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items summed per order; a third of the orders has none."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 3 != 0)
+    return li.groupBy(F.col("l_orderkey").cast("string").alias("job_id")).agg(
+        F.count(F.lit(1)).cast("int").alias("chunks_processed"),
+        F.sum(F.col("l_quantity").cast("bigint")).alias("original_duration_seconds"),
+        F.sum(F.floor(F.col("l_quantity") / 2).cast("bigint")).alias("processed_duration_seconds"),
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("cost_estimate_usd"),
+        F.max(F.col("l_discount").cast("decimal(18,2)")).alias("speed_multiplier_applied"),
+    )
+
+
+def job_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as timing buckets of their order's job."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("job_id"),
+        F.col("l_linenumber").cast("string").alias("bucket_id"),
+        F.col("l_discount").cast("decimal(18,2)").alias("confidence"),
+        (F.col("l_returnflag") == "R").alias("cadence_anomaly"),
+    )
+
+
+def job_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").where(k % 2 == 0).select(
+        k.cast("string").alias("job_id"),
+        ((k % 1000) / 1000.0).alias("gap_mean"),
+        F.concat(F.lit("pace "), (k % 5).cast("string")).alias("cadence_summary"),
+    )

@@ -10,6 +10,7 @@ no task ever sees more than one block of summaries plus one row per block.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,25 @@ SLICE_MS = 300_000
 SLICES_PER_BLOCK = 256
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from there.
+
+    Used where a table feeds several branches of a plan: it is computed once, survives the
+    loss of executors, keeps its partitioning, and later plans start from it.  The folder is
+    the one the session names in spark.checkpoint.dir; only a local session gets its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="cadenza-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def with_slice(df: DataFrame, position: str, width: int) -> DataFrame:
     """Number the slice of each row; monotone in ``position``, so order is preserved."""
     return df.withColumn(SLICE, F.expr(f"`{position}` div {int(width)}L"))

@@ -25,7 +25,8 @@ def half_up(x: Column | str, digits: int) -> Column:
 
 
 def fixed(x: Column | str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", half_up(x, digits))
+    """Fixed-point text, correctly rounded from the binary value (ties to even)."""
+    return F.replace(F.format_number(col(x).cast("double"), digits), F.lit(","), F.lit(""))
 
 
 def exact_sum(x: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza import folds, planning
-from cadenza.functions.columns import ratio, word_count
+from cadenza.functions.columns import fixed, ratio, word_count
 from cadenza.operators.intervals import BIN_MS, interval_pairs
 from cadenza.timeline import KEY, SLICE, SLICE_MS, exact_percentiles, neighbour, numbered, running, with_facts, with_slice
 
@@ -258,7 +258,9 @@ def build_chunks(
             a.alias("start_time"),
             b.alias("end_time"),
             (b - a).alias("duration"),
-            F.format_string(f"{stem}_%03d_%.1fs-%.1fs.wav", "split_no", start, end).alias("file_path"),
+            F.concat(
+                F.format_string(f"{stem}_%03d_", "split_no"), fixed(start, 1), F.lit("s-"), fixed(end, 1), F.lit("s.wav")
+            ).alias("file_path"),
             start.alias("original_start"),
             end.alias("original_end"),
             F.lit(True).alias("has_speech"),

@@ -18,7 +18,7 @@ def hu(e: str, d: int) -> str:
 
 
 def fx(e: str, d: int) -> str:
-    return f"printf('%.{d}f', {hu(e, d)})"
+    return f"printf('%.{d}f', CAST({e} AS DOUBLE))"
 
 
 def srt(ms: str) -> str:
@@ -90,6 +90,13 @@ ISSUES = (
     + " END"
 )
 
+def _percentile(q: int) -> str:
+    """Linear interpolation between the two values around rank (n - 1) * q / 100."""
+    rank = f"n * CAST({q / 100} AS DOUBLE)"
+    lo, hi = f"l[CAST(floor({rank}) AS INT) + 1]", f"l[CAST(ceil({rank}) AS INT) + 1]"
+    return f"({lo} + ({hi} - {lo}) * ({rank} - floor({rank}))) / 1000.0 AS p{q}"
+
+
 CTES: dict[str, str] = {
     "conv": "SELECT conv_id AS recording_id, turn AS segment_id, role, text FROM conversations",
     "tok": r"SELECT recording_id, segment_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS t FROM conv",
@@ -194,8 +201,9 @@ CTES: dict[str, str] = {
         for p in ("old", "new")
     },
     **{
-        f"{p}_p": f"""SELECT recording_id, {', '.join(f"quantile_cont(CAST(gap_ms AS DOUBLE), {q / 100}) / 1000.0 AS p{q}" for q in (25, 50, 75, 90, 95, 99))}
-        FROM {src} WHERE gap_ms IS NOT NULL GROUP BY 1"""
+        f"{p}_p": f"""SELECT recording_id, {', '.join(_percentile(q) for q in (25, 50, 75, 90, 95, 99))}
+        FROM (SELECT recording_id, list(CAST(gap_ms AS DOUBLE) ORDER BY gap_ms) AS l, count(*) - 1 AS n FROM {src}
+        WHERE gap_ms IS NOT NULL GROUP BY 1)"""
         for p, src in (("old", "old_bucketed"), ("new", "bucketed"))
     },
     **{

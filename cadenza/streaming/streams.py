@@ -37,10 +37,13 @@ def stream_transcript_windows(
 
 def stream_progress(chunk_events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Distinct chunks done and failed per job; repeated reports of a chunk count once."""
+    chunk = ["job_id", "chunk_id"]
+    if chunk_events.isStreaming:
+        once = chunk_events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(chunk)
+    else:
+        once = chunk_events.dropDuplicates(chunk)
     return (
-        chunk_events.withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark(["job_id", "chunk_id"])
-        .groupBy("job_id")
+        once.groupBy("job_id")
         .agg(
             F.count(F.lit(1)).alias("processed"),
             F.count_if(F.col("status") == "success").alias("succeeded"),

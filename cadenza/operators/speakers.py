@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import overlap_ms, ratio
 from cadenza.operators.intervals import BIN_MS, interval_pairs
-from cadenza.timeline import KEY, SLICE, neighbour, running, settle, with_facts, with_slice
+from cadenza.timeline import KEY, SLICE, neighbour, numbered, running, settle, with_facts, with_slice
 
 SEGMENTS_PER_PART = 256
 EPSILON_MS = 100
@@ -167,19 +167,21 @@ def speaker_stats(diarization: DataFrame) -> DataFrame:
         F.max("end_ms").alias("_end"),
         F.min("turn_no").alias("_first_turn"),
     )
-    # one row per speaker from here on
-    by_recording = Window.partitionBy(KEY)
-    rank = F.row_number().over(by_recording.orderBy(F.col("_total").desc(), "_first_turn"))
-    return per_speaker.select(
+    # one row per speaker from here on, ranked in slices of speaking time
+    ends = per_speaker.groupBy(KEY).agg(F.max("_end").alias("_last"))
+    ranked = numbered(
+        with_slice(per_speaker.withColumn("_less", -F.col("_total")), "_less", 600_000), ["_less", "_first_turn"], "rank", first=1
+    )
+    return ranked.join(ends, KEY).select(
         KEY,
         "speaker",
         (F.col("_total") / 1000.0).alias("total_duration"),
         "segment_count",
         (F.col("_total") / F.col("segment_count") / 1000.0).alias("average_segment_duration"),
-        (F.col("_total") / F.max("_end").over(by_recording) * 100).alias("speaking_percentage"),
+        (F.col("_total") / F.col("_last") * 100).alias("speaking_percentage"),
         (F.col("_max") / 1000.0).alias("longest_segment"),
         (F.col("_min") / 1000.0).alias("shortest_segment"),
-        rank.alias("rank"),
+        "rank",
     )
 
 

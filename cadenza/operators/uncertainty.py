@@ -15,7 +15,7 @@ FILLERS = ("uh", "um", "er", "ah", "like", "you know")
 
 # a word character is a letter, a number or an underscore, in any script
 _W = r"[\p{L}\p{N}_]"
-REPETITION = rf"(?<!{_W})({_W}+)(?U:\s+)\1(?!{_W})"
+REPETITION = rf"(?<!{_W})({_W}++)(?U:\s+)\1(?!{_W})"
 SHORT_WORD = rf"(?<!{_W}){_W}{{1,2}}(?!{_W})"
 CUT_OFF = rf"(?<!{_W})[a-z]+-(?={_W})"
 PUNCTUATION_RUN = r"\.{2,}|\?{2,}|!{2,}"

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from cadenza.functions import columns as c
 from cadenza.operators import buckets, cadence, chunks, hooks, legacy, reprocess, speakers, uncertainty, warehouse, words
 from cadenza.plans import fixtures as fx
-from cadenza.sources import documents, render, writers
+from cadenza.sources import documents, render
 from cadenza.streaming import streams
 from cadenza.timeline import KEY, SLICE, settle
 
@@ -713,48 +713,43 @@ def csv_uncertainty(k):
     return render.to_csv(k.analysis, "uncertainty")
 
 
-def _read_back(lines: DataFrame, schema: str, path: str) -> DataFrame:
-    """Parse whole documents and list the items at ``path``; proves the lines make valid JSON."""
-    doc = writers.document_text(lines).select(F.from_json("document", schema).alias("d"))
-    return doc.select(F.col(f"d.{KEY}").alias(KEY), F.explode(f"d.{path}").alias("x"), "d")
-
-
 @query
 def json_segment(k):
     facts = k.durations.withColumn("language", F.lit("en"))
     lines = render.segment_json(k.segments, facts)
-    return documents.parse_segments(writers.document_text(lines)).select(
+    return documents.parse_segments(documents.item_documents(lines)).select(
         KEY, "segment_id", "start", "end", "text", "avg_logprob", "no_speech_prob"
     )
 
 
 @query
 def json_advanced(k):
-    item = "array<struct<id:bigint,start:double,speaker:string,has_overlap:boolean>>"
-    schema = f"struct<recording_id:bigint,speaker_analysis:struct<speaker_count:bigint,overlaps_detected:bigint>,segments:{item}>"
-    rows = _read_back(render.advanced_json(k.labelled, k.facts), schema, "segments")
+    head = "struct<speaker_analysis:struct<speaker_count:bigint,overlaps_detected:bigint>>"
+    item = "struct<id:bigint,start:double,speaker:string,has_overlap:boolean>"
+    rows = documents.parse_lines(render.advanced_json(k.labelled, k.facts), head, item)
     return rows.select(KEY, "d.speaker_analysis.*", "x.*")
 
 
 @query
 def json_orchestrator(k):
-    item = "array<struct<id:bigint,end:double,reprocessed:boolean,original_confidence:double>>"
-    schema = f"struct<recording_id:bigint,confidence_report:struct<reprocessed_segments:bigint>,segments:{item}>"
-    rows = _read_back(render.orchestrator_json(k.final, k.report), schema, "segments")
+    head = "struct<confidence_report:struct<reprocessed_segments:bigint>>"
+    item = "struct<id:bigint,end:double,reprocessed:boolean,original_confidence:double>"
+    rows = documents.parse_lines(render.orchestrator_json(k.final, k.report), head, item)
     return rows.select(KEY, "d.confidence_report.*", "x.*")
 
 
 @query
 def json_enhanced(k):
-    item = "array<struct<bucket_index:bigint,end_time:double,word_gap_count:bigint,cadence:string,speaker_overlap:string>>"
-    schema = f"struct<recording_id:bigint,summary:struct<total_words:bigint>,timing_buckets:{item}>"
+    head = "struct<summary:struct<total_words:bigint>>"
+    item = "struct<bucket_index:bigint,end_time:double,word_gap_count:bigint,cadence:string,speaker_overlap:string>"
     lines = render.enhanced_json(k.records, k.context, cadence.summarize_records(k.records).drop("total_gaps"))
-    return _read_back(lines, schema, "timing_buckets").select(KEY, "d.summary.*", "x.*")
+    return documents.parse_lines(lines, head, item).select(KEY, "d.summary.*", "x.*")
 
 
 @query
 def json_timing(k):
-    rows = documents.parse_timing(writers.document_text(render.timing_json(k.timing, k.timing_analysis)))
+    lines = render.timing_json(k.timing, k.timing_analysis)
+    rows = documents.parse_timing(documents.item_documents(lines, "timing_analysis.buckets"))
     return rows.select(
         KEY,
         "bucket_id",
@@ -776,23 +771,23 @@ def json_chunks(k):
     totals = chunks.chunking_totals(chunks.silence_removal_plan(k.speech, k.durations), k.durations)
     counted = k.chunks.groupBy(KEY).agg(F.count(F.lit(1)).alias("total_chunks"))
     lines = render.chunk_json(k.chunks, totals.join(counted, KEY))
-    return documents.parse_chunk_metadata(writers.document_text(lines))
+    return documents.parse_chunk_metadata(documents.item_documents(lines, "chunks"))
 
 
 @query
 def json_diarization(k):
-    item = "array<struct<speaker_id:string,start_time:double,end_time:double,duration:double>>"
-    schema = f"struct<recording_id:bigint,summary:struct<speaker_count:bigint>,speaker_segments:{item}>"
+    head = "struct<summary:struct<speaker_count:bigint>>"
+    item = "struct<speaker_id:string,start_time:double,end_time:double,duration:double>"
     lines = render.diarization_json(k.turns, speakers.diarization_summary(k.turns, k.overlaps))
-    return _read_back(lines, schema, "speaker_segments").select(KEY, "d.summary.*", "x.*")
+    return documents.parse_lines(lines, head, item).select(KEY, "d.summary.*", "x.*")
 
 
 @query
 def json_uncertainty(k):
-    item = "array<struct<segment_id:bigint,uncertainty_level:string,uncertainty_reasons:array<string>,suggested_review:boolean>>"
-    schema = f"struct<recording_id:bigint,quality_metrics:struct<flagged_segments:bigint>,uncertain_segments:{item}>"
+    head = "struct<quality_metrics:struct<flagged_segments:bigint>>"
+    item = "struct<segment_id:bigint,uncertainty_level:string,uncertainty_reasons:array<string>,suggested_review:boolean>"
     lines = render.uncertainty_json(k.analysis, k.quality)
-    return _read_back(lines, schema, "uncertain_segments").select(KEY, "d.quality_metrics.*", "x.*")
+    return documents.parse_lines(lines, head, item).select(KEY, "d.quality_metrics.*", "x.*")
 
 
 @query
@@ -812,8 +807,7 @@ def bucket_markdown(k):
 
 @query
 def validate_report(k):
-    docs = writers.document_text(render.to_bucket_markdown(k.records))
-    return documents.validate_report(docs).drop("document", "content_preview", "file_size")
+    return documents.validate_report_lines(render.to_bucket_markdown(k.records)).drop("file_size")
 
 
 @query

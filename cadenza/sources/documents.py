@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza import schemas
 from cadenza.functions.columns import to_ms
-from cadenza.timeline import KEY
+from cadenza.timeline import KEY, with_facts
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
@@ -96,6 +96,58 @@ def read_timing_json(spark: SparkSession, path: str) -> DataFrame:
     return parse_timing(_documents(spark, path))
 
 
+def item_documents(lines: DataFrame, inner: str = "segments") -> DataFrame:
+    """Each item line of a JSON line table as a document of its own, for the parsers above.
+
+    No row ever holds a whole document, however long the recording.
+    """
+    path = inner.split(".")
+    opening = "".join(f'"{p}":{{' for p in path[:-1]) + f'"{path[-1]}":['
+    item = F.regexp_replace("line", "^,", "")
+    return lines.where(F.col("section") == 1).select(
+        F.concat(
+            F.lit('{"recording_id":'), F.col(KEY).cast("string"), F.lit("," + opening), item, F.lit("]" + "}" * len(path))
+        ).alias("document")
+    )
+
+
+def parse_lines(lines: DataFrame, head: str, item: str) -> DataFrame:
+    """Items of a JSON line table (struct ``x``) with the members of its head (struct ``d``).
+
+    ``head`` and ``item`` are struct schemas.  The opening and the closing line together are
+    a valid document with an empty array.
+    """
+    opening = lines.where(F.col("section") == 0).select(KEY, F.col("line").alias("_a"))
+    closing = lines.where(F.col("section") == 2).select(KEY, F.col("line").alias("_b"))
+    items = lines.where(F.col("section") == 1)
+    span = items.groupBy(KEY).agg(F.min("item").alias("_lo"), F.max("item").alias("_hi"))
+    heads = opening.join(closing, KEY).join(span, KEY)
+    facts = heads.select(KEY, F.from_json(F.concat("_a", "_b"), head).alias("d"), "_lo", "_hi")
+    parsed = items.select(KEY, "item", F.from_json(F.regexp_replace("line", "^,", ""), item).alias("x"))
+    return with_facts(parsed, facts, "item", "_lo", "_hi", 4096).select(KEY, "d", "x")
+
+
+def validate_report_lines(lines: DataFrame) -> DataFrame:
+    """``validate_report`` on a line table: the same checks as aggregates over the lines."""
+    ever = lambda text: F.max(F.contains("line", F.lit(text)))
+    checks = {
+        "has_title": F.max((F.col("section") == 0) & (F.col("sub") == 0) & F.col("line").startswith("#")),
+        "has_transcript": ever("## Enhanced Transcript"),
+        "has_summary": ever("## Analysis Summary"),
+        "has_cadence_info": ever("cadence"),
+        "has_gap_info": ever("word_gaps"),
+    }
+    counted = lines.groupBy(KEY).agg(
+        *[c.alias(n) for n, c in checks.items()],
+        F.sum(F.regexp_count("line", F.lit(r"(?m)^\d+\.\s\*\*\["))).alias("section_count"),
+        (F.sum(F.length("line") + 1) - 1).alias("file_size"),
+    )
+    every = None
+    for n in checks:
+        every = F.col(n) if every is None else every & F.col(n)
+    return counted.withColumn("valid", every)
+
+
 def validate_report(documents: DataFrame, column: str = "document") -> DataFrame:
     """Checks a Markdown report for its headings and counts its numbered sections."""
     c = F.col(column)

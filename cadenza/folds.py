@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.timeline import KEY, SLICE, SLICES_PER_BLOCK
+from cadenza.timeline import KEY, SLICE, block_number, known
 
 LOWEST = -(2**62)
 
@@ -143,7 +143,8 @@ def slice_entries(maps: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """
     keys = list(keys)
     blocks = (
-        maps.withColumn("_block", F.expr(f"{SLICE} div {SLICES_PER_BLOCK}L"))
+        known(maps, [*keys, SLICE])
+        .withColumn("_block", block_number())
         .groupBy(*keys, "_block")
         .agg(_ordered_by(SLICE).alias("parts"))
     )
@@ -160,7 +161,7 @@ def slice_entries(maps: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
     )
     boxed = F.when(F.col("_entry").isNotNull(), F.array("_entry")).otherwise(F.array().cast(f"array<{STATE_TYPE}>"))
     return (
-        blocks.join(chain, [*keys, "_block"])
+        blocks.join(chain.hint("shuffle_hash"), [*keys, "_block"])
         .select(*keys, F.explode(entries("parts", boxed)).alias("e"))
         .select(*keys, F.col("e.at").alias(SLICE), F.col("e.entry").alias("entry"))
     )

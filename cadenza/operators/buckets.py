@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza import folds
 from cadenza.operators.words import clean_slices, explode_slices, gap_ms, ordered_slices
-from cadenza.timeline import KEY, SLICE, SLICE_MS, carry, numbered, running, settle, with_slice
+from cadenza.timeline import KEY, SLICE, SLICE_MS, beside, carry, numbered, running, with_slice
 
 BUCKET_MS = 4000
 TOLERANCE_MS = 250
@@ -89,7 +89,7 @@ def bucket_slices(slices: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     ends = F.transform("words", lambda w: w["end_ms"])
     start = F.element_at("words", 1)["start_ms"]
     maps = slices.select(KEY, SLICE, _closing_maps(bucket_ms)(ends, start).alias("m")).select(KEY, SLICE, "m.map", "m.cold")
-    entered = slices.join(folds.slice_entries(maps), [KEY, SLICE])
+    entered = beside(slices, folds.slice_entries(maps), how="inner")
     cut = _closing_cuts(bucket_ms)(
         ends,
         F.coalesce("entry.state", start),
@@ -106,7 +106,7 @@ def legacy_slices(slices: DataFrame, bucket_ms: int = BUCKET_MS, tolerance_ms: i
     maps = slices.select(KEY, SLICE, _splitting_maps(near, far)(starts, ends).alias("m")).select(
         KEY, SLICE, "m.map", "m.cold"
     )
-    entered = slices.join(folds.slice_entries(maps), [KEY, SLICE])
+    entered = beside(slices, folds.slice_entries(maps), how="inner")
     cut = _splitting_cuts(near, far)(
         starts,
         ends,
@@ -138,12 +138,16 @@ def bucketize_legacy(
 
 
 def bucketize_raw(words: DataFrame, timing_repair: bool = True, bucket_seconds: float = 4.0, slice_ms: int = SLICE_MS):
-    """Clean and bucketize in one pass over the words: a single wide shuffle."""
-    return bucket_slices(settle(clean_slices(words, timing_repair, slice_ms)), round(bucket_seconds * 1000))
+    """Clean and bucketize in one pass over the words.
+
+    The words shuffle once; the branches that work out the carries and the maps read the same
+    exchange, and everything else that moves is one small row per slice.
+    """
+    return bucket_slices(clean_slices(words, timing_repair, slice_ms), round(bucket_seconds * 1000))
 
 
 def bucketize_legacy_raw(words: DataFrame, timing_repair: bool = True, slice_ms: int = SLICE_MS) -> DataFrame:
-    return legacy_slices(settle(clean_slices(words, timing_repair, slice_ms)))
+    return legacy_slices(clean_slices(words, timing_repair, slice_ms))
 
 
 def bucket_table(bucketed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza import folds, planning
 from cadenza.functions.columns import fixed, ratio, word_count
 from cadenza.operators.intervals import BIN_MS, interval_pairs
-from cadenza.timeline import KEY, SLICE, SLICE_MS, exact_percentiles, neighbour, numbered, running, with_facts, with_slice
+from cadenza.timeline import KEY, SLICE, SLICE_MS, beside, exact_percentiles, neighbour, numbered, running, with_facts, with_slice
 
 MIN_SILENCE_MS = 1000
 CHUNK_MS, OVERLAP_MS, MIN_CHUNK_MS = 30_000, 5_000, 5_000
@@ -210,7 +210,7 @@ def _planned(rows: DataFrame, plan_ms: int, make_map, walk, item: str) -> DataFr
     walked = F.pandas_udf(walks, f"array<{item}>")
     args = [SLICE, "duration_ms", "starts", "ends"]
     entries = folds.slice_entries(rows.select(KEY, SLICE, mapped(*args).alias("m")).select(KEY, SLICE, "m.map", "m.cold"))
-    entered = rows.join(entries, [KEY, SLICE])
+    entered = beside(rows, entries, how="inner")
     steps = walked(*args, F.coalesce("entry.state", F.lit(0)), F.coalesce("entry.closes", F.lit(0)))
     return entered.select(KEY, "duration_ms", F.explode(steps).alias("x")).select(KEY, "duration_ms", "x.*")
 

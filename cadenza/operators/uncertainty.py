@@ -15,11 +15,12 @@ FILLERS = ("uh", "um", "er", "ah", "like", "you know")
 
 # a word character is a letter, a number or an underscore, in any script
 _W = r"[\p{L}\p{N}_]"
-REPETITION = rf"(?<!{_W})({_W}++)(?U:\s+)\1(?!{_W})"
-SHORT_WORD = rf"(?<!{_W}){_W}{{1,2}}(?!{_W})"
-CUT_OFF = rf"(?<!{_W})[a-z]+-(?={_W})"
-PUNCTUATION_RUN = r"\.{2,}|\?{2,}|!{2,}"
-CONSONANT_RUN = rf"(?<!{_W})[bcdfghjklmnpqrstvwxyz]{{4,}}(?!{_W})"
+# possessive runs and cheap first tests keep long texts free of backtracking
+REPETITION = rf"(?<!{_W})({_W}++)[\s\p{{Z}}\x1c-\x1f\x85]+\1(?!{_W})"
+SHORT_WORD = rf"(?<!{_W}){_W}{{1,2}}+(?!{_W})"
+CUT_OFF = rf"(?=[a-z])(?<!{_W})[a-z]++-(?={_W})"
+PUNCTUATION_RUN = r"([.?!])\1++"
+CONSONANT_RUN = rf"(?=[bcdfghjklmnpqrstvwxyz]{{4}})(?<!{_W})[bcdfghjklmnpqrstvwxyz]++(?!{_W})"
 
 
 def uncertainty_level(logprob: Column | str) -> Column:
@@ -57,28 +58,40 @@ def text_indicators(df: DataFrame, text: str = "text", whole_words: bool = False
     else:
         fillers = sum(F.contains(lower, F.lit(f)).cast("int") for f in FILLERS)
     hits = lambda s, pattern: F.regexp_count(s, F.lit(pattern))
-    rows = df.withColumn(
-        "indicators",
-        F.struct(
-            F.when(count > 0, fillers / count).otherwise(F.lit(0.0)).alias("filler_ratio"),
-            (hits(t, SHORT_WORD) + hits(t, CUT_OFF)).alias("incomplete_words"),
-            hits(t, PUNCTUATION_RUN).alias("unusual_punctuation"),
-            count.alias("word_count"),
-            hits(lower, CONSONANT_RUN).alias("incoherent_matches"),
-        ),
+    # each pattern runs once: plain columns first, which Spark keeps in a projection of their own
+    rows = df.withColumns(
+        {
+            "_words": count,
+            "_fillers": fillers,
+            "_incomplete": hits(t, SHORT_WORD)
+            + F.when(F.contains(t, F.lit("-")), hits(t, CUT_OFF)).otherwise(F.lit(0)),
+            "_punctuation": hits(t, PUNCTUATION_RUN),
+            "_consonants": hits(lower, CONSONANT_RUN),
+            "_repeats": F.regexp_like(lower, F.lit(REPETITION)),
+            "_empty": F.coalesce(F.length(t), F.lit(0)) == 0,
+        }
     )
-    i = F.col("indicators")
+    ratio = F.when(F.col("_words") > 0, F.col("_fillers") / F.col("_words")).otherwise(F.lit(0.0))
     issues = present(
-        (F.regexp_like(lower, F.lit(REPETITION)), "repetitive_text"),
-        (i["filler_ratio"] > 0.2, "excessive_fillers"),
-        (i["incomplete_words"] > 2, "incomplete_words"),
-        (i["unusual_punctuation"] > 0, "unusual_punctuation"),
-        (i["word_count"] < 2, "very_short_segment"),
-        (i["word_count"] > 50, "very_long_segment"),
-        (i["incoherent_matches"] > 0, "incoherent_text"),
+        (F.col("_repeats"), "repetitive_text"),
+        (ratio > 0.2, "excessive_fillers"),
+        (F.col("_incomplete") > 2, "incomplete_words"),
+        (F.col("_punctuation") > 0, "unusual_punctuation"),
+        (F.col("_words") < 2, "very_short_segment"),
+        (F.col("_words") > 50, "very_long_segment"),
+        (F.col("_consonants") > 0, "incoherent_text"),
+    )
+    return rows.select(
+        *df.columns,
+        F.struct(
+            ratio.alias("filler_ratio"),
+            F.col("_incomplete").alias("incomplete_words"),
+            F.col("_punctuation").alias("unusual_punctuation"),
+            F.col("_words").alias("word_count"),
+            F.col("_consonants").alias("incoherent_matches"),
+        ).alias("indicators"),
+        F.when(F.col("_empty"), F.array(F.lit("empty_text"))).otherwise(issues).alias("text_issues"),
     )
-    empty = F.coalesce(F.length(t), F.lit(0)) == 0
-    return rows.withColumn("text_issues", F.when(empty, F.array(F.lit("empty_text"))).otherwise(issues))
 
 
 def rate_issues(start_ms: str, end_ms: str, words: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import to_ms
-from cadenza.timeline import KEY, SLICE, SLICE_MS, carry
+from cadenza.timeline import KEY, SLICE, SLICE_MS, beside, carry, known
 
 REPAIR_MS = 20
 OVERLAP_STEP_MS = 1
@@ -71,7 +71,8 @@ def word_slices(words: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
         F.col("timing_repaired"),
     )
     return (
-        words.withColumn(SLICE, F.floor(sort / F.lit(slice_ms)).cast("bigint"))
+        known(words)
+        .withColumn(SLICE, F.floor(sort / F.lit(slice_ms)).cast("bigint"))
         .groupBy(KEY, SLICE)
         .agg(F.array_sort(F.collect_list(item)).alias("words"))
     )
@@ -90,7 +91,7 @@ def repaired(words: DataFrame, timing_repair: bool = True) -> DataFrame:
 
 def _with_previous_end(slices: DataFrame) -> DataFrame:
     tails = slices.select(KEY, SLICE, F.element_at("words", -1)["end_ms"].alias("_tail"))
-    joined = slices.join(carry(tails, "_tail", "last", "_carried"), [KEY, SLICE], "left")
+    joined = beside(slices, carry(tails, "_tail", "last", "_carried"))
 
     def step(w: Column, i: Column) -> Column:
         before = F.when(i == 0, F.col("_carried")).otherwise(F.get("words", i - 1)["end_ms"])

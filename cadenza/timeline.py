@@ -26,9 +26,9 @@ SLICES_PER_BLOCK = 256
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there.
 
-    Used where a table feeds several branches of a plan: it is computed once, survives the
-    loss of executors, keeps its partitioning, and later plans start from it.  The folder is
-    the one the session names in spark.checkpoint.dir; only a local session gets its own.
+    Used for stage tables that feed several branches of a plan: each is computed once,
+    survives the loss of executors, and later plans start from it.  The folder is the one the
+    session names in spark.checkpoint.dir; only a local session gets its own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -47,6 +47,10 @@ def with_slice(df: DataFrame, position: str, width: int) -> DataFrame:
     return df.withColumn(SLICE, F.expr(f"`{position}` div {int(width)}L"))
 
 
+def block_number() -> Column:
+    return F.coalesce(F.expr(f"{SLICE} div {SLICES_PER_BLOCK}L"), F.lit(0))
+
+
 def carry(summaries: DataFrame, value: str, how: str, out: str, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """(keys, slice, out): what the slices before this one say about ``value``.
 
@@ -70,7 +74,7 @@ def carry(summaries: DataFrame, value: str, how: str, out: str, keys: Sequence[s
     parts = F.array_sort(F.collect_list(F.struct(F.col(SLICE), F.col(value).alias("v"))), _by_slice)
     blocks = (
         summaries.select(*keys, SLICE, value)
-        .groupBy(*keys, F.expr(f"{SLICE} div {SLICES_PER_BLOCK}L").alias("_block"))
+        .groupBy(*keys, block_number().alias("_block"))
         .agg((F.reverse(parts) if down else parts).alias("_parts"))
     )
     whole = F.aggregate("_parts", empty, lambda seen, p: fold(seen, p["v"]).cast(empty_type(summaries, value)))
@@ -104,6 +108,19 @@ def _out_type(df: DataFrame, value: str) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(SLICE, T.LongType()), T.StructField("v", empty_type(df, value))]))
 
 
+def known(df: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """Rows with a recording.  Said once up front, so that every branch of a plan carries the
+    same filter and Spark can share their exchange."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
+
+
+def beside(slices: DataFrame, summaries: DataFrame, keys: Sequence[str] = (KEY,), how: str = "left") -> DataFrame:
+    """Join one small row per slice onto the slices, which stay where they are."""
+    return slices.join(summaries.hint("shuffle_hash"), [*keys, SLICE], how)
+
+
 def packed(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (KEY,)) -> DataFrame:
     """(keys, slice, items): the rows of each slice as one sorted array of structs.
 
@@ -117,7 +134,7 @@ def packed(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (KEY,)) ->
         x, y = a["_order"], b["_order"]
         return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
-    return df.groupBy(*keys, SLICE).agg(F.array_sort(F.collect_list(item), by_order).alias("items"))
+    return known(df, keys).groupBy(*keys, SLICE).agg(F.array_sort(F.collect_list(item), by_order).alias("items"))
 
 
 def _unpack(df: DataFrame, columns: Sequence[str], order: Sequence[str], keys: Sequence[str], item: str = "w") -> list:
@@ -159,7 +176,7 @@ def neighbour(
         return F.struct(w.alias("w"), F.when(edge_row, F.col("_carried")).otherwise(inner).alias("n"))
 
     return (
-        slices.join(carried, [*keys, SLICE], "left")
+        beside(slices, carried, keys)
         .select(*keys, SLICE, F.explode(F.transform("items", step)).alias("x"))
         .select(*_unpack(df, df.columns, order, keys, "x.w"), F.col("x.n").alias(out))
     )
@@ -189,7 +206,7 @@ def running(
         F.coalesce(local, F.lit(0)) + F.coalesce("_carried", F.lit(0)) if how == "sum" else F.greatest(local, "_carried")
     )
     return (
-        slices.join(carried, [*keys, SLICE], "left")
+        beside(slices, carried, keys)
         .select(*keys, SLICE, "_carried", F.explode("items").alias("w"))
         .select(*_unpack(df, df.columns, order, keys), "w._rest._value", "_carried")
         .withColumn(out, merged)
@@ -204,7 +221,7 @@ def numbered(df: DataFrame, order: Sequence[str], out: str, keys: Sequence[str]
     counts = slices.select(*keys, SLICE, F.size("items").cast("bigint").alias("_n"))
     carried = carry(counts, "_n", "sum", "_offset", keys)
     return (
-        slices.join(carried, [*keys, SLICE], "left")
+        beside(slices, carried, keys)
         .select(*keys, SLICE, "_offset", F.posexplode("items").alias("_i", "w"))
         .select(
             *_unpack(df, df.columns, order, keys),

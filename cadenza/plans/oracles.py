@@ -787,6 +787,7 @@ _BODY: dict[str, str] = {
         (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n
          FROM events)) GROUP BY user_id, s""",
     "stream_progress": """SELECT user_id % 10 AS job_id, count(*) AS processed, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1""",
+    "stream_bucketize": "SELECT recording_id, bucket_index, start_ms, end_ms, word_count, text FROM buckets",
     "stream_merge_chunks": "SELECT recording_id, count(*) AS segments FROM core GROUP BY 1",
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -15,7 +16,7 @@ from cadenza.operators import buckets, cadence, chunks, hooks, legacy, reprocess
 from cadenza.plans import fixtures as fx
 from cadenza.sources import documents, render
 from cadenza.streaming import streams
-from cadenza.timeline import KEY, SLICE, settle
+from cadenza.timeline import KEY, SLICE, checkpoint_folder, settle
 
 HELPERS = {SLICE, "_lo", "_hi"}
 
@@ -1033,6 +1034,38 @@ def stream_progress(k):
     return rows.transform(streams.stream_progress)
 
 
+@query
+def stream_bucketize(k):
+    """Runs as a real stream: the words go to files, the stateful stream cuts them into buckets."""
+    folder = f"{checkpoint_folder(k.spark)}/stream-{uuid.uuid4().hex}"
+    begin, far = "timestamp'2024-01-01 00:00:00'", 10**11
+    at = lambda ms: F.timestamp_millis(F.unix_millis(F.expr(begin)) + ms)
+    told = k.clean.select(KEY, "sort_ms", "segment_id", "pos", "start_ms", "end_ms", "word").withColumn("ts", at(F.col("sort_ms")))
+    # a last word far in the future moves the watermark past every recording
+    last = told.where(F.lit(False)).unionByName(
+        k.spark.range(1).select(
+            F.lit(-1).cast("bigint").alias(KEY),
+            *[F.lit(0).cast(t).alias(n) for n, t in told.dtypes if n not in (KEY, "ts")],
+            at(F.lit(far)).alias("ts"),
+        )
+    )
+    told.unionByName(last).write.parquet(f"{folder}/words")
+    k.spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    source = k.spark.readStream.schema(told.schema).parquet(f"{folder}/words")
+    running = (
+        streams.stream_bucketize(source)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start(f"{folder}/buckets")
+    )
+    running.awaitTermination()
+    return k.spark.read.schema(streams.BUCKETS).parquet(f"{folder}/buckets").where(F.col(KEY) >= 0)
+
+
 @query
 def stream_merge_chunks(k):
     return streams.stream_merge_chunks(k.absolute, k.chunks).groupBy(KEY).agg(F.count(F.lit(1)).alias("segments"))

@@ -203,8 +203,9 @@ class BucketProcessor(StatefulProcessor):
             self._timer(int(max(r[0].timestamp() for r in later) * 1000) + 1)
         else:
             self.waiting.clear()
-            if ready:
-                self._timer(int(mark) + self.idle_ms)
+            due = int(ready[-1][0].timestamp() * 1000) + self.idle_ms if ready else mark
+            if due > mark:
+                self._timer(due)
             elif words:
                 out.append((key[0], no, start, end, len(words), " ".join(words)))
                 no, start, words = no + 1, end, []

@@ -169,10 +169,7 @@ def slice_entries(maps: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
 
 def _ordered_by(position: str):
     """Collected (position, map, cold), sorted by position (unique within the group)."""
-    return F.array_sort(
-        F.collect_list(F.struct(position, "map", "cold")),
-        lambda a, b: (a[position] - b[position]).cast("int"),
-    )
+    return F.array_sort(F.collect_list(F.struct(position, "map", "cold")))
 
 
 # ---------------------------------------------------------------- closing buckets

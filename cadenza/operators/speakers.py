@@ -76,16 +76,10 @@ def dedupe_overlaps(overlaps: DataFrame, eps_ms: int = EPSILON_MS, by_speakers:
         F.slice("_rows", 1, 0),
         lambda kept, x: F.when(F.exists(kept, lambda k: near(x, k)), kept).otherwise(F.array_append(kept, x)),
     )
-    first = by_end.groupBy(*keys, "_i", "_j").agg(F.array_sort(F.collect_list(row), _turn_order).alias("_rows"))
+    first = by_end.groupBy(*keys, "_i", "_j").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     return first.select(*keys, F.explode(settled).alias("x")).select(*keys, "x.*").select(*overlaps.columns)
 
 
-def _turn_order(a, b):
-    x = F.struct(a["first_turn"], a["second_turn"])
-    y = F.struct(b["first_turn"], b["second_turn"])
-    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
-
-
 def assign_speakers(segments: DataFrame, diarization: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
     """Label each segment with the turn that covers most of it; earlier turns win ties."""
     a = segments.select(KEY, "segment_id", "start_ms", "end_ms")

@@ -75,7 +75,7 @@ def carry(summaries: DataFrame, value: str, how: str, out: str, keys: Sequence[s
             return F.greatest(seen, x)
         return F.coalesce(x, seen)
 
-    parts = F.array_sort(F.collect_list(F.struct(F.col(SLICE), F.col(value).alias("v"))), _by_slice)
+    parts = F.array_sort(F.collect_list(F.struct(F.col(SLICE), F.col(value).alias("v"))))
     blocks = (
         summaries.select(*keys, SLICE, value)
         .groupBy(*keys, block_number().alias("_block"))
@@ -100,10 +100,6 @@ def carry(summaries: DataFrame, value: str, how: str, out: str, keys: Sequence[s
     return chained.select(*keys, F.explode(folded).alias("c")).select(*keys, f"c.{SLICE}", carried.alias(out))
 
 
-def _by_slice(a, b):
-    return (a[SLICE] - b[SLICE]).cast("int")
-
-
 def empty_type(df: DataFrame, value: str):
     return df.schema[value].dataType
 
@@ -129,16 +125,12 @@ def packed(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (KEY,)) ->
     """(keys, slice, items): the rows of each slice as one sorted array of structs.
 
     The rows shuffle once; the branch that summarises slices and the branch that uses the
-    summaries both read this one exchange.
+    summaries both read this one exchange.  ``order`` must be unique and no column a map.
     """
     rest = [c for c in df.columns if c not in (*order, *keys, SLICE)]
     item = F.struct(F.struct(*order).alias("_order"), F.struct(*rest).alias("_rest") if rest else F.lit(0).alias("_rest"))
 
-    def by_order(a, b):
-        x, y = a["_order"], b["_order"]
-        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
-
-    return known(df, keys).groupBy(*keys, SLICE).agg(F.array_sort(F.collect_list(item), by_order).alias("items"))
+    return known(df, keys).groupBy(*keys, SLICE).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def _unpack(df: DataFrame, columns: Sequence[str], order: Sequence[str], keys: Sequence[str], item: str = "w") -> list:

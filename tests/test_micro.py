@@ -192,3 +192,40 @@ def test_hot_recording_spreads_over_slices(spark):
     assert per_slice <= 101
     table = buckets.bucket_table(buckets.bucketize_raw(w, slice_ms=60_000))
     assert table.agg(F.sum("word_count")).first()[0] == 4001
+
+
+def test_dedupe_by_speakers_keeps_other_pairs(spark):
+    rows = [(1, 0, 1, 0, 1000, 1000, ["A", "B"], "partial"), (1, 0, 2, 10, 1010, 1000, ["A", "C"], "partial"), (1, 3, 4, 20, 1020, 1000, ["A", "B"], "partial")]
+    schema = (
+        "recording_id bigint, first_turn bigint, second_turn bigint, start_ms bigint, end_ms bigint, duration_ms bigint, "
+        "speakers array<string>, overlap_type string"
+    )
+    df = spark.createDataFrame(rows, schema)
+    got = speakers.dedupe_overlaps(df, by_speakers=True).orderBy("second_turn").collect()
+    assert [r.second_turn for r in got] == [1, 2]
+    assert speakers.dedupe_overlaps(df).count() == 1
+
+
+def test_fillers_as_substrings_or_words(spark):
+    df = spark.createDataFrame([("there we are",), ("um er ah",)], "text string")
+    loose = [r.indicators.filler_ratio for r in uncertainty.text_indicators(df).collect()]
+    strict = [r.indicators.filler_ratio for r in uncertainty.text_indicators(df, whole_words=True).collect()]
+    assert loose[0] > 0 and strict == [0.0, 1.0]
+
+
+def test_rescale_reaches_into_words(spark):
+    df = spark.createDataFrame(
+        [(1, 400, 800, 10_000, [("a", 400, 800)])],
+        "recording_id bigint, start_ms bigint, end_ms bigint, chunk_start bigint, words array<struct<word:string,start_ms:bigint,end_ms:bigint>>",
+    )
+    row = chunks.rescale_time(df, 1.75, "chunk_start").first()
+    assert (row.start_ms, row.end_ms, row.words[0].start_ms, row.words[0].end_ms) == (10_700, 11_400, 10_700, 11_400)
+
+
+def test_reprocessing_can_keep_the_better_score(spark):
+    schema = "recording_id bigint, segment_id bigint, start_ms bigint, end_ms bigint, text string, avg_logprob double, no_speech_prob double"
+    old = spark.createDataFrame([(1, 0, 0, 1000, "a", -0.6, 0.1)], schema)
+    new = spark.createDataFrame([(1, 0, 0, 1000, "b", -0.9, 0.1)], schema)
+    assert reprocess.apply_reprocessed(old, new).first().text == "b"
+    kept = reprocess.apply_reprocessed(old, new, only_if_better=True).first()
+    assert (kept.text, kept.reprocessed, kept.original_confidence) == ("a", False, -0.6)

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import common, toxicity
+from cadenza.llm import common, gam, toxicity
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.table(spark, sf_dir, "documents")
+    scored = gam.score(documents, gam.fit_labels(documents, common.table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", (common.remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +26,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op7_toxicity": op7_toxicity,
 }
 

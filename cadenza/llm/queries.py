@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import common, gam, packing, toxicity
+from cadenza.llm import common, gam, outliers, packing, toxicity
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outliers.reject(common.table(spark, sf_dir, "documents"))
+    return judged.drop("lang", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,
+    "op9_outliers": op9_outliers,
 }
 
 SQL: dict[str, str] = {}

@@ -29,6 +29,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``table`` (on disk, a few numbers a row), marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def with_columns(
     df: DataFrame,
     make: Callable[..., Sequence],

@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import common, gam, outliers, packing, toxicity
+from cadenza.llm import common, gam, outliers, packing, simhash, toxicity
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents")).drop("fp")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +40,7 @@ def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import common, gam, outliers, packing, simhash, toxicity
+from cadenza.llm import common, decontaminate, gam, outliers, packing, simhash, toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = outliers.reject(common.table(spark, sf_dir, "documents"))
     return judged.drop("lang", "source")
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_decontaminate": op8_decontaminate,
     "op9_outliers": op9_outliers,
 }
 

@@ -376,7 +376,7 @@ def hexadecimal(fp: Column) -> Column:
 NEAR_WORDS = 5
 NEAR_BITS = 12
 NEAR_MORE = 2
-NEAR_TOTAL = 34
+NEAR_TOTAL = 33
 
 
 def distinct_documents(df: DataFrame) -> DataFrame:

@@ -208,6 +208,15 @@ def score(df: DataFrame, model: Model, keep: list[str] | None = None, threshold:
     return common.with_columns(df, scored, ["text"], "score double, predicted int", keep)
 
 
+def accepted(df: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``df`` whose score is at least ``threshold``, with all columns."""
+
+    def enough(text):
+        return [model.score(measured(text)) >= threshold]
+
+    return common.with_columns(df, enough, ["text"], "__accepted boolean").where("__accepted").select(df.columns)
+
+
 def fit_labels(documents: DataFrame, labels: DataFrame, held: int = 2, by: int = 4, limit: int = MAX_EXAMPLES) -> Model:
     """Model of the labelled documents outside the held-out fold, at most ``limit`` of them."""
     sample = common.label_sample(labels, "quality", common.remainder("doc_id", by) != held, limit)

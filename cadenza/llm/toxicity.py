@@ -37,8 +37,10 @@ BLOCK = 64
 TERM = re.compile(r"\w+")
 
 
-def terms(text: str) -> Counter:
-    return Counter(TERM.findall(text.lower()))
+def terms(text: str, vocabulary: dict[str, int] | None = None) -> Counter:
+    """How often each term occurs, of ``vocabulary`` only if it is given."""
+    found = TERM.findall(text.lower())
+    return Counter(found if vocabulary is None else filter(vocabulary.__contains__, found))
 
 
 @dataclass
@@ -59,8 +61,8 @@ class Index:
     seen: dict = field(default_factory=dict)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights of a text; both empty if it has no vocabulary term."""
-        found = sorted((self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary)
+        """Term numbers and unit weights of the vocabulary terms of a text."""
+        found = sorted((self.vocabulary[t], n) for t, n in counts.items())
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         at = np.array([t for t, _ in found])
@@ -86,7 +88,7 @@ class Index:
         return best
 
     def vote(self, text: str, k: int) -> tuple[float, list[int], list[float]]:
-        at, w = self.vector(terms(text))
+        at, w = self.vector(terms(text, self.vocabulary))
         if not len(at):
             return self.bare_rate, self.bare_ids[:k], [0.0] * len(self.bare_ids[:k])
         key = (at.tobytes(), w.tobytes())
@@ -194,6 +196,15 @@ def score(df: DataFrame, index: Index, keep: list[str] | None = None, k: int = N
     return common.with_columns(df, voted, ["text"], "score double, predicted int, neighbours array<long>, cosines array<double>", keep)
 
 
+def harmless(df: DataFrame, index: Index, k: int = NEIGHBOURS, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``df`` whose score is below ``threshold``, with all columns."""
+
+    def below(text):
+        return [[index.vote(t, k)[0] < threshold for t in common.texts(text)]]
+
+    return common.with_columns(df, below, ["text"], "__harmless boolean").where("__harmless").select(df.columns)
+
+
 def fit_labels(documents: DataFrame, labels: DataFrame, held: int = 1, by: int = 3, limit: int = MAX_EXAMPLES) -> Index:
     """Index of the labelled documents outside the held-out fold, at most ``limit`` of them."""
     sample = common.label_sample(labels, "toxic", common.remainder("doc_id", by) != held, limit)

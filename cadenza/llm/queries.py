@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import common, decontaminate, gam, html, outliers, packing, simhash, toxicity, warc
+from cadenza.llm import common, decontaminate, gam, html, outliers, packing, pitman_yor, simhash, toxicity, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,13 @@ def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lang", "source")
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = common.remainder("doc_id", 7) == 2
+    documents = common.table(spark, sf_dir, "documents").withColumn("train", ~held)
+    scored = pitman_yor.score(documents)
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_outliers": op9_outliers,
+    "op10_pitman_yor": op10_pitman_yor,
 }
 
 SQL: dict[str, str] = {

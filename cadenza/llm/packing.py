@@ -18,7 +18,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
+from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,53 +35,65 @@ from cadenza.llm import common
 CAPACITY = 2_048
 END = 0
 CACHED = 400_000
-GROUP_CHARS = 1_000_000
+#: Longer chunks are not kept.
+LONGEST = 64
+ROWS = 500
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Where white space meets a space, the tokenizer's pieces depend on more than one space-separated chunk.
-ENTANGLED = re.compile(r"\s \s|  ")
+ENTANGLED = re.compile(r"[^\S ] [^\S ]")
 
 
-class Encoder:
-    """Token ids as little-endian 32-bit words, by ``tokenizers``, with ids of frequent chunks kept.
+def encoding(path: str) -> Callable[[str], list[int]]:
+    """Text to ids by the vocabulary at ``path``: a tokenizer in JSON, or ranks of a byte-level BPE.
+
+    Both forms of a vocabulary give the same ids (tests compare them); ranks encode short strings
+    several times as fast.  Strings of special tokens are ordinary text.
+    """
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+class Encoder(dict):
+    """Token ids of texts as little-endian 32-bit words; ids of frequent chunks are kept.
 
     The tokenizer splits a text before every single space, so chunks between single spaces are
     encoded alone; texts with other white space beside a space are encoded in one piece.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        super().__init__()
+        self.encode = encoding(path)
+
+    def words(self, text: str) -> bytes:
+        return np.array(self.encode(text), "<u4").tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array("I", self.encode(" " + chunk)).tobytes() if LITTLE else self.words(" " + chunk)
+        if len(self) >= CACHED:
+            self.clear()
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.kept: dict[str, bytes] = {}
-
-    def encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the caller bounds the size of the list."""
-        if len(self.kept) > CACHED:
-            self.kept.clear()
-        split = [[t] if ENTANGLED.search(t) else t.split(" ") for t in texts]
-        new = list({c for parts in split for c in parts[1:]}.difference(self.kept))
-        self.kept.update(zip(new, self.encode([" " + c for c in new]), strict=True))
-        ids = self.kept.__getitem__
-        return [first + b"".join(map(ids, parts[1:])) for first, parts in zip(self.encode([p[0] for p in split]), split, strict=True)]
-
-
-def groups(column, chars: int = GROUP_CHARS):
-    """The texts of an Arrow column in lists of about ``chars`` characters."""
-    held, size = [], 0
-    for x in column:
-        held.append(x.as_py() or "")
-        size += len(held[-1])
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    def ids(self, text: str) -> bytes:
+        if "  " in text or ENTANGLED.search(text):
+            return self.words(text)
+        first, *rest = text.split(" ")
+        return self.words(first) + b"".join(map(self.__getitem__, rest))
 
 
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -94,21 +109,20 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
 
     def run(batches):
         encoder = Encoder(tokenizer_path)
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            at = 0
-            for held in groups(batch.column(1)):
+            for low in range(0, batch.num_rows, ROWS):
                 rows: list[tuple] = []
-                for i, ids in enumerate(encoder.batch(held), at):
-                    ids += close
+                for i in range(low, min(low + ROWS, batch.num_rows)):
+                    ids = encoder.ids(batch.column(1)[i].as_py() or "") + close
                     n = len(ids) // 4
-                    ends = range((n - 1) % capacity + 1, n + 1, capacity)
-                    for k, stop in enumerate(ends):
-                        start = max(0, stop - capacity) if k else 0
+                    start = 0
+                    for k, stop in enumerate(range((n - 1) % capacity + 1, n + 1, capacity)):
                         own = ids[4 * start : 4 * stop]
-                        rows.append((i, k, start, stop - start, zlib.crc32(own), own))
-                at += len(held)
+                        rows.append((i, k, start, stop - start, zlib.crc32(own), own if keep_ids else None))
+                        start = stop
                 cut = list(zip(*rows, strict=True))
-                arrays = [batch.column(0).take(pa.array(cut[0])), *(pa.array(c, t) for c, t in zip(cut[1:5], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
+                arrays = [batch.column(0).take(pa.array(cut[0])), *(pa.array(c, t) for c, t in zip(cut[1:5], kinds, strict=True))]
                 if keep_ids:
                     arrays.append(pa.array([np.frombuffer(x, "<i4") for x in cut[5]], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)

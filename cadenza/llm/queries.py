@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import common, decontaminate, gam, html, outliers, packing, pitman_yor, simhash, toxicity, warc
+from cadenza.llm import common, decontaminate, gam, html, outliers, packing, pitman_yor, quotes, simhash, toxicity, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(common.table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(common.table(spark, sf_dir, "conversations"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_main_text": op3_main_text,
+    "op4_quotes": op4_quotes,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_quotes": quotes.SQL,
     "op6_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

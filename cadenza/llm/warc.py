@@ -204,9 +204,22 @@ def unpacked(content: bytes) -> bytes:
     return b"".join(out) if out else content
 
 
-ROW = T.StructType.fromDDL(
-    "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, problem string,"
-    " origin string, segment int, total long, block binary"
+LONG, TEXT, BYTES = T.LongType(), T.StringType(), T.BinaryType()
+ROW = T.StructType(
+    [
+        T.StructField("page_id", LONG),
+        T.StructField("url", TEXT),
+        T.StructField("record_type", TEXT),
+        T.StructField("refers_to", LONG),
+        T.StructField("payload_bytes", LONG),
+        T.StructField("payload_digest", TEXT),
+        T.StructField("payload", BYTES),
+        T.StructField("problem", TEXT),
+        T.StructField("origin", TEXT),
+        T.StructField("segment", T.IntegerType()),
+        T.StructField("total", LONG),
+        T.StructField("block", BYTES),
+    ]
 )
 SHAPE = to_arrow_schema(ROW)
 

@@ -76,8 +76,16 @@ def format_gaps(gaps_ms: Column | str, max_gaps: int | None = None, precision: i
     return F.array_join(F.transform(g, lambda x: fixed(x / F.lit(1000.0), precision)), sep)
 
 
+#: White space as Unicode has it, which strip() and split() of most languages follow.
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+
+
+def strip(text: Column | str) -> Column:
+    return F.regexp_replace(col(text), rf"^{SPACE}++|{SPACE}++$", "")
+
+
 def tokens(text: Column | str) -> Column:
-    return F.filter(F.split(F.trim(col(text)), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(col(text), f"{SPACE}+"), lambda t: t != "")
 
 
 def word_count(text: Column | str) -> Column:

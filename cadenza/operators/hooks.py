@@ -23,28 +23,35 @@ def map_chunks(
     schema: str,
     setup: Callable[[], object] | None = None,
 ) -> DataFrame:
-    """Run ``fn`` over ``manifest``, one row (a pandas frame of one) at a time.
+    """Run ``fn`` over ``manifest``, one Arrow batch of rows (a pandas frame) at a time.
 
     ``setup`` runs once per partition (load a model there); ``fn`` is then called as
-    ``fn(row, state)``.  Every output row has ``error``,
-    null on success; a failed manifest row keeps its key columns.
+    ``fn(rows, state)``.  If it raises, the rows of that batch are tried one by one, so that only
+    those fail that cannot be done.  Every output row has ``error``, null on success; a failed
+    manifest row keeps its key columns.
     """
     spark = manifest.sparkSession
     fields = spark.createDataFrame([], schema).schema.fields
     names = [f.name for f in fields]
     kept = [n for n in names if n in manifest.columns]
 
+    def call(rows: pd.DataFrame, state: object) -> pd.DataFrame:
+        out = fn(rows, state) if setup else fn(rows)
+        return out.assign(error=None)[[*names, "error"]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = setup() if setup else None
         for batch in batches:
-            for i in range(len(batch)):
-                one = batch.iloc[i : i + 1]
-                try:
-                    out = fn(one, state) if setup else fn(one)
-                    yield out.assign(error=None)[[*names, "error"]]
-                except Exception as e:  # a failed input is a row, not the end of the job
-                    failed = one[kept].assign(error=f"{type(e).__name__}: {e}")
-                    yield failed.reindex(columns=[*names, "error"])
+            try:
+                yield call(batch, state)
+            except Exception:  # some row of the batch fails
+                for i in range(len(batch)):
+                    one = batch.iloc[i : i + 1]
+                    try:
+                        yield call(one, state)
+                    except Exception as e:  # a failed input is a row, not the end of the job
+                        failed = one[kept].assign(error=f"{type(e).__name__}: {e}")
+                        yield failed.reindex(columns=[*names, "error"])
 
     out = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in fields], T.StructField("error", T.StringType())])
     return manifest.mapInPandas(run, out)

@@ -10,7 +10,6 @@ from cadenza.operators.buckets import BUCKETS_PER_SLICE
 from cadenza.timeline import KEY, exact_percentiles, numbered, with_facts
 
 PERCENTILES = (25, 50, 75, 90, 95, 99)
-GAP_LIST_MAX = 20
 
 
 def sample_variance(total: Column, squares: Column, n: Column) -> Column:
@@ -53,7 +52,16 @@ def timing_buckets(cut: DataFrame) -> DataFrame:
     )
 
 
-def gap_lists(cut: DataFrame, gap_list_max: int = GAP_LIST_MAX) -> DataFrame:
+def gap_lists(cut: DataFrame) -> DataFrame:
+    """All gaps of each bucket in order, in parts: one per slice that the bucket touches."""
+    item = F.struct("sort_ms", "segment_id", "pos", "gap_ms")
+    gaps = cut.where(F.col("gap_ms").isNotNull())
+    return gaps.groupBy(KEY, "bucket_index", F.col("slice").alias("part_no")).agg(
+        F.transform(F.array_sort(F.collect_list(item)), lambda w: w["gap_ms"]).alias("gaps_ms")
+    )
+
+
+def first_gaps(cut: DataFrame, gap_list_max: int) -> DataFrame:
     """First ``gap_list_max`` gaps of each bucket, in order.
 
     Words are numbered over the recording's slices; a bucket's first words are those with a

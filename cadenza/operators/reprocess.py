@@ -9,24 +9,29 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.columns import overlap_ms, word_count
 from cadenza.operators.hooks import map_chunks
-from cadenza.timeline import KEY, neighbour, with_slice
+from cadenza.timeline import KEY, SLICE, neighbour, with_slice
 
-THRESHOLD, MAX_SEGMENTS, PADDING_MS = -0.5, 10, 2000
+THRESHOLD, PADDING_MS = -0.5, 2000
 SLOW_SPEED = 0.7
 # slowed-down times carry this many steps per ms, so that division by the speed stays whole
 SLOW_TENTHS = 7
 SEGMENTS_PER_SLICE = 256
 
 
-def lowest_confidence(segments: DataFrame, threshold: float = THRESHOLD, n: int = MAX_SEGMENTS) -> DataFrame:
-    """The ``n`` lowest scores below ``threshold`` per recording; then short, silent or wordless ones go.
+def lowest_confidence(segments: DataFrame, threshold: float = THRESHOLD, n: int | None = None) -> DataFrame:
+    """All segments below ``threshold`` but short, silent and wordless ones.
 
-    The cut comes before the filters.  Spark limits each task to its own ``n`` rows per
-    recording before the shuffle, so a long recording sends few rows.
+    With ``n`` only the ``n`` lowest scores of a recording, ``rank`` by score; that cut comes
+    before the filters.  It is taken in every slice first, so that no task ranks a whole recording.
     """
-    w = Window.partitionBy(KEY).orderBy("avg_logprob", "segment_id")
-    top = segments.where(F.col("avg_logprob") < threshold).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return reprocess_filter(top)
+    low = segments.where(F.col("avg_logprob") < threshold)
+    if n is None:
+        return reprocess_filter(low)
+    order = ["avg_logprob", "segment_id"]
+    sliced = with_slice(low, "segment_id", max(SEGMENTS_PER_SLICE, n))
+    near = sliced.withColumn("rank", F.row_number().over(Window.partitionBy(KEY, SLICE).orderBy(*order))).where(F.col("rank") <= n)
+    top = near.withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy(*order))).where(F.col("rank") <= n)
+    return reprocess_filter(top.drop(SLICE))
 
 
 def reprocess_filter(candidates: DataFrame) -> DataFrame:
@@ -146,14 +151,17 @@ RESULT = (
 )
 
 
-def reprocess(segments: DataFrame, fn: Callable, threshold: float = THRESHOLD, n: int = MAX_SEGMENTS) -> DataFrame:
+def reprocess(segments: DataFrame, fn: Callable, threshold: float = THRESHOLD, n: int | None = None) -> DataFrame:
     """The whole second pass: pick, widen, run ``fn`` over the windows, match, map back, replace.
 
     ``fn`` receives pandas frames of windows and returns rows of ``RESULT`` (slowed-down times).
+    A segment whose window failed keeps its first version and says why in ``error``.
     """
     picked = lowest_confidence(segments, threshold, n).select(KEY, "segment_id", "text", "avg_logprob", "no_speech_prob")
     context = expand_context(segments).join(picked.select(KEY, "segment_id"), [KEY, "segment_id"], "left_semi")
-    results = map_chunks(context.join(picked, [KEY, "segment_id"]), fn, RESULT).where(F.col("error").isNull()).drop("error")
-    return apply_reprocessed(segments, map_back(match_target(results, context), context))
+    ran = map_chunks(context.join(picked, [KEY, "segment_id"]), fn, RESULT)
+    results = ran.where(F.col("error").isNull()).drop("error")
+    failed = ran.where(F.col("error").isNotNull()).groupBy(KEY, "segment_id").agg(F.max("error").alias("error"))
+    return apply_reprocessed(segments, map_back(match_target(results, context), context)).join(failed, [KEY, "segment_id"], "left")
 
 

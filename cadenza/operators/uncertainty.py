@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import col, present, word_count
+from cadenza.functions.columns import col, present, strip, word_count
 from cadenza.timeline import KEY, exact_percentiles, neighbour, with_slice
 
 SEGMENTS_PER_SLICE = 256
@@ -50,7 +50,7 @@ def speech_priority(share: Column | str) -> Column:
 
 def text_indicators(df: DataFrame, text: str = "text", whole_words: bool = False) -> DataFrame:
     """Add struct ``indicators`` and array ``text_issues`` for one text column."""
-    t = F.trim(F.col(text))
+    t = strip(text)
     lower = F.lower(t)
     count = word_count(t)
     if whole_words:
@@ -131,7 +131,7 @@ def segment_uncertainty(
         "segment_id",
         "start_ms",
         "end_ms",
-        F.trim("text").alias("text"),
+        strip("text").alias("text"),
         F.col("avg_logprob").alias("confidence_score"),
         "uncertainty_level",
         "uncertainty_reasons",

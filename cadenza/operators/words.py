@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import to_ms
+from cadenza.functions.columns import strip, to_ms
 from cadenza.timeline import KEY, SLICE, SLICE_MS, beside, carry, known
 
 REPAIR_MS = 20
@@ -45,7 +45,7 @@ def flatten_words(segments: DataFrame) -> DataFrame:
             KEY,
             "segment_id",
             "pos",
-            F.trim(F.coalesce("w.word", F.lit(""))).alias("word"),
+            strip(F.coalesce("w.word", F.lit(""))).alias("word"),
             F.coalesce(to_ms("w.start"), F.lit(0)).cast("bigint").alias("start_ms"),
             F.coalesce(to_ms("w.end"), F.lit(0)).cast("bigint").alias("end_ms"),
             F.coalesce("w.probability", F.lit(0.0)).alias("probability"),

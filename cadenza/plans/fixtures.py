@@ -112,7 +112,7 @@ def durations_from(clean: DataFrame) -> DataFrame:
 
 
 def nested_segments(seg: DataFrame, w: DataFrame) -> DataFrame:
-    """Segments with their raw words nested; one in seven has none, as some models emit them."""
+    """Segments with their raw words nested."""
     item = F.struct(
         "pos",
         F.col("word"),
@@ -121,7 +121,6 @@ def nested_segments(seg: DataFrame, w: DataFrame) -> DataFrame:
         "probability",
     )
     lists = w.groupBy(KEY, "segment_id").agg(F.array_sort(F.collect_list(item)).alias("_w"))
-    bare = (F.col(KEY) + F.col("segment_id")) % 7 == 0
     return seg.join(lists, [KEY, "segment_id"]).select(
         KEY,
         "segment_id",
@@ -132,7 +131,7 @@ def nested_segments(seg: DataFrame, w: DataFrame) -> DataFrame:
         "no_speech_prob",
         F.lit("en").alias("language"),
         F.lit(0.0).alias("temperature"),
-        F.when(~bare, F.transform("_w", lambda x: x.dropFields("pos"))).alias("words"),
+        F.transform("_w", lambda x: x.dropFields("pos")).alias("words"),
     )
 
 
@@ -234,8 +233,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def processing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items summed per order; a third of the orders has none."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 3 != 0)
+    """Line items summed per order."""
+    li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_orderkey").cast("string").alias("job_id")).agg(
         F.count(F.lit(1)).cast("int").alias("chunks_processed"),
         F.sum(F.col("l_quantity").cast("bigint")).alias("original_duration_seconds"),
@@ -257,7 +256,7 @@ def job_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(k % 2 == 0).select(
+    return table(spark, sf_dir, "orders").select(
         k.cast("string").alias("job_id"),
         ((k % 1000) / 1000.0).alias("gap_mean"),
         F.concat(F.lit("pace "), (k % 5).cast("string")).alias("cadence_summary"),

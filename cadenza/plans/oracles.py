@@ -327,8 +327,7 @@ CTES: dict[str, str] = {
     "core": "SELECT * FROM heard WHERE start_ms >= round(original_start * 1000) AND start_ms < round(original_end * 1000)",
     "runs": """SELECT recording_id, chunk_id, CASE WHEN (recording_id + chunk_id) % 3 = 0 THEN 'en' ELSE 'de' END AS language, (80 + chunk_id % 20) / 100.0 AS lp,
         duration, 1.0 + (chunk_id % 4) * 0.25 AS pt, -((recording_id + chunk_id) % 200) / 100.0 AS ac FROM chunks""",
-    "top": """SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY avg_logprob, segment_id) AS rank FROM segments WHERE avg_logprob < -0.5
-        QUALIFY rank <= 10""",
+    "top": """SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY avg_logprob, segment_id) AS rank FROM segments WHERE avg_logprob < -0.5""",
     "picked": r"""SELECT * FROM top WHERE end_ms - start_ms >= 1000 AND no_speech_prob <= 0.8
         AND len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')) >= 2""",
     "wide": """SELECT *, greatest(0, least(start_ms - 2000, coalesce(ps, start_ms))) AS xs, greatest(end_ms + 2000, coalesce(ne, end_ms)) AS xe FROM (SELECT *,
@@ -395,8 +394,7 @@ SEC = "start_ms / 1000.0 AS start_time, end_ms / 1000.0 AS end_time"
 
 _BODY: dict[str, str] = {
     "flatten_words": """SELECT w.recording_id, w.segment_id, pos, trim(word) AS word, w.start_ms, w.end_ms, probability FROM words w
-        SEMI JOIN segments USING (recording_id, segment_id) WHERE (w.recording_id + w.segment_id) % 7 <> 0
-        UNION ALL SELECT recording_id, segment_id, 0, trim(text), start_ms, end_ms, avg_logprob FROM segments WHERE (recording_id + segment_id) % 7 = 0""",
+        SEMI JOIN segments USING (recording_id, segment_id)""",
     "clean_words": """SELECT recording_id, sort_ms, segment_id, pos, start_ms, end_ms, word, probability, timing_repaired, prev_end_ms FROM clean""",
     "clean_words_without_repair": f"""SELECT recording_id, segment_id, pos, CASE WHEN start_ms < p THEN p + 1 ELSE start_ms END AS start_ms, end_ms FROM
         (SELECT *, lag(end_ms) OVER (PARTITION BY recording_id ORDER BY start_ms, segment_id, pos) AS p FROM words
@@ -447,7 +445,8 @@ _BODY: dict[str, str] = {
     "timing_buckets": f"""SELECT recording_id, bucket_index, start_ms, end_ms, word_count, {r('wps')} AS words_per_second, {r('speech_ms / 1000.0')} AS total_speech_time,
         {r('(end_ms - start_ms - speech_ms) / 1000.0')} AS total_silence_time, {r('confidence')} AS confidence, gap_count AS word_gap_count, {r('m')} AS word_gap_mean,
         {r('v')} AS word_gap_var, gap_sum, gap_squares FROM old_t""",
-    "gap_lists": """SELECT recording_id, bucket_index, array_to_string(list(gap_ms ORDER BY rn)[1:20], '|') AS gaps_ms FROM old_bucketed WHERE gap_ms IS NOT NULL GROUP BY 1, 2""",
+    "gap_lists": """SELECT recording_id, bucket_index, sort_ms // 300000 AS part_no, array_to_string(list(gap_ms ORDER BY rn), '|') AS gaps_ms FROM old_bucketed WHERE gap_ms IS NOT NULL GROUP BY 1, 2, 3""",
+    "first_gaps": """SELECT recording_id, bucket_index, array_to_string(list(gap_ms ORDER BY rn)[1:20], '|') AS gaps_ms FROM old_bucketed WHERE gap_ms IS NOT NULL GROUP BY 1, 2""",
     "bucket_text_parts": "SELECT recording_id, bucket_index, sort_ms // 300000 AS part_no, string_agg(word, ' ' ORDER BY rn) AS text FROM old_bucketed GROUP BY 1, 2, 3",
     "global_cadence": f"""SELECT recording_id, {r('gm')} AS global_gap_mean, {r('gs')} AS global_gap_std, total_words, gap_count AS total_gaps, bucket_count, 1.5 AS anomaly_threshold,
         {', '.join(f"{r(f'p{p}')} AS p{p}" for p in PCTS)}, summary AS cadence_summary FROM old_gs""",
@@ -557,18 +556,19 @@ _BODY: dict[str, str] = {
         (SELECT recording_id, count(*) AS n, avg(duration) AS a, min(duration) AS mn, max(duration) AS mx, stddev_pop(duration) AS sd, sum(original_end - original_start) AS core FROM chunks GROUP BY 1)
         LEFT JOIN (SELECT recording_id, stddev_pop(o) AS so FROM (SELECT recording_id, unnest([overlap_prev, overlap_next]) AS o FROM chunks) WHERE o > 0 GROUP BY 1) USING (recording_id)
         JOIN durations USING (recording_id)""",
-    "lowest_confidence": "SELECT recording_id, segment_id, avg_logprob, rank FROM picked",
+    "lowest_confidence": "SELECT recording_id, segment_id, avg_logprob FROM picked",
+    "lowest_confidence_10": "SELECT recording_id, segment_id, avg_logprob, rank FROM picked WHERE rank <= 10",
     "expand_context": """SELECT recording_id, segment_id, start_ms, end_ms, xs AS expanded_start_ms, xe AS expanded_end_ms, start_ms - xs AS overlap_before_ms, xe - end_ms AS overlap_after_ms FROM wide""",
     "match_target": f"""SELECT recording_id, segment_id, no AS result_no, a AS result_start_ms, b AS result_end_ms, t AS text, {r('lp')} AS avg_logprob, {r('ns')} AS no_speech_prob FROM hit""",
     "map_back": f"SELECT recording_id, segment_id, start_ms, end_ms, text, {r('avg_logprob')} AS avg_logprob, {r('no_speech_prob')} AS no_speech_prob FROM back",
-    "apply_reprocessed": f"SELECT recording_id, segment_id, start_ms, end_ms, text, {r('avg_logprob')} AS avg_logprob, {r('no_speech_prob')} AS no_speech_prob, reprocessed, original_confidence FROM final",
+    "apply_reprocessed": f"SELECT recording_id, segment_id, start_ms, end_ms, text, {r('avg_logprob')} AS avg_logprob, {r('no_speech_prob')} AS no_speech_prob, reprocessed, original_confidence, CAST(NULL AS VARCHAR) AS error FROM final",
     "apply_reprocessed_if_better": f"""SELECT recording_id, segment_id, better AS reprocessed, {r('CASE WHEN better THEN lp ELSE o END')} AS avg_logprob, {r('o')} AS original_confidence FROM
         (SELECT s.recording_id, s.segment_id, s.avg_logprob AS o, b.avg_logprob - CASE WHEN s.segment_id % 2 = 0 THEN 1 ELSE 0 END AS lp,
          coalesce(b.avg_logprob - CASE WHEN s.segment_id % 2 = 0 THEN 1 ELSE 0 END > s.avg_logprob, false) AS better FROM segments s LEFT JOIN back b USING (recording_id, segment_id))""",
     "confidence_delta": f"SELECT recording_id, segment_id, reprocessed, {r('avg_logprob - original_confidence')} AS improvement FROM final",
     "reprocess_report": f"""SELECT recording_id, n AS total_segments, k AS reprocessed_segments, {r('g')} AS average_confidence_improvement, {r('mx')} AS max_confidence_improvement,
         {r('k / n')} AS reprocessing_rate, -0.5 AS confidence_threshold_used, 0.7 AS slow_speed_multiplier, 2.0 AS context_padding_seconds FROM report""",
-    "reprocess_with_model": f"SELECT recording_id, segment_id, start_ms, end_ms, text, {r('avg_logprob')} AS avg_logprob, {r('no_speech_prob')} AS no_speech_prob, reprocessed, original_confidence FROM final",
+    "reprocess_with_model": f"SELECT recording_id, segment_id, start_ms, end_ms, text, {r('avg_logprob')} AS avg_logprob, {r('no_speech_prob')} AS no_speech_prob, reprocessed, original_confidence, CAST(NULL AS VARCHAR) AS error FROM final",
     "map_chunks_failures": "SELECT recording_id, count(*) FILTER (role <> 'system') AS succeeded, count(*) FILTER (role = 'system') AS failed FROM conv GROUP BY 1",
     "map_recordings": "SELECT recording_id, 0 AS turn_no, 'A' AS speaker, 0 AS start_ms, duration_ms AS end_ms, CAST(NULL AS VARCHAR) AS error FROM durations",
     "srt_plain": srt_lines("segments", "segment_id", "text"),
@@ -744,14 +744,14 @@ _BODY: dict[str, str] = {
     "warehouse_checks": "SELECT CAST(recording_id AS VARCHAR) AS job_id, '' AS bucket_id, '' AS failed_check FROM timing WHERE confidence < 0 OR confidence > 1",
     "job_status_summary": f"""SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'queued' END AS status, strftime(o_orderdate, '%Y-%m-%d') AS created_at,
         CAST(o_orderkey % 3600 AS INT) AS processing_time_seconds, o_orderkey * 1000 AS file_size_bytes, {r('CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)')} AS duration_seconds,
-        coalesce(tb, 0) AS total_buckets, coalesce(ab, 0) AS anomalous_buckets, {r('ac')} AS avg_confidence, CASE WHEN o_orderkey % 2 = 0 THEN {r('(o_orderkey % 1000) / 1000.0')} END AS gap_mean,
-        CASE WHEN o_orderkey % 2 = 0 THEN 'pace ' || (o_orderkey % 5) END AS cadence_summary, {r('cost')} AS cost_estimate_usd FROM orders
+        coalesce(tb, 0) AS total_buckets, coalesce(ab, 0) AS anomalous_buckets, {r('ac')} AS avg_confidence, {r('(o_orderkey % 1000) / 1000.0')} AS gap_mean,
+        'pace ' || (o_orderkey % 5) AS cadence_summary, {r('cost')} AS cost_estimate_usd FROM orders
         LEFT JOIN (SELECT l_orderkey, count(*) AS tb, count(*) FILTER (l_returnflag = 'R') AS ab, floor(avg(CAST(l_discount AS DECIMAL(18,2))) * 1000000.0 + 0.5) / 1000000.0 AS ac,
-          CASE WHEN l_orderkey % 3 <> 0 THEN CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) END AS cost FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
     "processing_performance": f"""SELECT strftime(date_trunc('day', o_orderdate), '%Y-%m-%d') AS processing_date, count(*) AS jobs_processed, {r('avg(o_orderkey % 3600)')} AS avg_processing_time,
         {r('avg(n)')} AS avg_chunks_per_job, {r('avg(a - b)')} AS avg_time_saved, {r('CAST(sum(cost) AS DOUBLE)')} AS total_cost_usd, {r('avg(sp)')} AS avg_speed_multiplier FROM orders JOIN
         (SELECT l_orderkey, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS a, sum(CAST(floor(l_quantity / 2) AS BIGINT)) AS b, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS cost,
-         max(CAST(l_discount AS DECIMAL(18,2))) AS sp FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1""",
+         max(CAST(l_discount AS DECIMAL(18,2))) AS sp FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1""",
     "file_stats": f"""SELECT l_suppkey AS batch_id, count(*) AS total_files, {r('sum(l_quantity)')} AS total_processing_time, {r('sum(l_quantity * 4)')} AS total_original_duration,
         {r('sum(l_quantity * 2 + l_linenumber)')} AS total_processed_duration, {r('sum(l_quantity * 2 + l_linenumber) / sum(l_quantity * 4)')} AS compression_ratio,
         {r('sum(l_quantity * 4) / sum(l_quantity)')} AS processing_speed, {r('sum(l_quantity) / count(*)')} AS average_processing_time,
@@ -767,7 +767,7 @@ _BODY: dict[str, str] = {
     "stage_outcomes": f"""SELECT CAST(l_orderkey AS VARCHAR) AS run_id, count(*) FILTER (l_returnflag = 'N') AS stages_completed, count(*) FILTER (l_returnflag = 'R') AS stages_failed,
         {r('sum(l_quantity)')} AS total_processing_time, 600.0 AS audio_duration, {r("count(*) FILTER (l_returnflag = 'N') / count(*) * 100")} AS success_rate,
         {r('600.0 / sum(l_quantity)')} AS processing_speed_factor FROM lineitem GROUP BY l_orderkey""",
-    "recording_report": f"""SELECT d.recording_id, duration_ms, {r('q')} AS overall_quality_score, flagged AS flagged_segments, CASE WHEN d.recording_id % 4 <> 0 THEN spk END AS speaker_count,
+    "recording_report": f"""SELECT d.recording_id, duration_ms, {r('q')} AS overall_quality_score, flagged AS flagged_segments, spk AS speaker_count,
         bucket_count, odd AS anomalous_buckets, {r('gm')} AS global_gap_mean, summary AS cadence_summary FROM durations d LEFT JOIN quality USING (recording_id)
         LEFT JOIN dsum USING (recording_id) LEFT JOIN new_a USING (recording_id)""",
     "search_text": rf"""SELECT recording_id, bucket_index, hits FROM (SELECT *, len(list_filter(regexp_extract_all(lower(text), '[{W}]+'), lambda x: x = 'the')) AS hits FROM buckets) WHERE hits > 0""",
@@ -800,4 +800,13 @@ def _assemble(body: str) -> str:
     return with_ctes(body).replace("\n" + body, body, 1)
 
 
-ORACLES: dict[str, str] = {name: _assemble(body) for name, body in _BODY.items()}
+#: White space as Unicode has it, for strip() and split().
+SPACE = r"[\s\x0b\p{Z}\x1c-\x1f\x{85}]"
+STRIP = f"regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def _spaced(sql: str) -> str:
+    return sql.replace("trim(text)", STRIP).replace("trim(word)", STRIP.replace("(text", "(word")).replace(r"'\s+'", f"'{SPACE}+'")
+
+
+ORACLES: dict[str, str] = {name: _spaced(_assemble(body)) for name, body in _BODY.items()}

@@ -251,6 +251,11 @@ def gap_lists(k):
     return legacy.gap_lists(k.legacy_cut)
 
 
+@query
+def first_gaps(k):
+    return legacy.first_gaps(k.legacy_cut, 20)
+
+
 @query
 def bucket_text_parts(k):
     return legacy.bucket_text_parts(k.legacy_cut)
@@ -561,7 +566,12 @@ def chunking_stats(k):
 
 @query
 def lowest_confidence(k):
-    return k.picked.select(KEY, "segment_id", "avg_logprob", "rank")
+    return k.picked.select(KEY, "segment_id", "avg_logprob")
+
+
+@query
+def lowest_confidence_10(k):
+    return reprocess.lowest_confidence(k.segments, n=10).select(KEY, "segment_id", "avg_logprob", "rank")
 
 
 @query
@@ -965,7 +975,7 @@ def stage_outcomes(k):
 
 @query
 def recording_report(k):
-    talk = speakers.speaker_report(k.turns, k.overlaps).where(F.col(KEY) % 4 != 0)
+    talk = speakers.speaker_report(k.turns, k.overlaps)
     return warehouse.recording_report(k.durations, k.quality, talk, k.timing_analysis)
 
 
@@ -1050,11 +1060,12 @@ def stream_bucketize(k):
         )
     )
     told.unionByName(last).write.parquet(f"{folder}/words")
-    k.spark.conf.set(
+    session = k.spark.newSession()  # the state store is set for this stream alone
+    session.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    source = k.spark.readStream.schema(told.schema).parquet(f"{folder}/words")
+    source = session.readStream.schema(told.schema).parquet(f"{folder}/words")
     running = (
         streams.stream_bucketize(source)
         .writeStream.format("parquet")

@@ -20,7 +20,7 @@ def scan_media(
     pattern: str | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Path, size and time of media files, by path.  ``pattern`` is ``*``, ``*.mp3`` or ``.mp3``."""
+    """Path, size and time of media files, by path.  ``pattern`` is ``*``, ``*.mp3``, ``.mp3`` or ``mp3``."""
     wanted = [e.lower() for e in (extensions or (*AUDIO, *VIDEO))]
     files = (
         spark.read.format("binaryFile")
@@ -30,6 +30,7 @@ def scan_media(
         .withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
     )
     if pattern and pattern not in ("*", "*.*"):
-        wanted = [e for e in wanted if e == pattern.lower().lstrip("*")] if extensions else [pattern.lower().lstrip("*")]
+        only = "." + pattern.lower().lstrip("*.")
+        wanted = [e for e in wanted if e == only] if extensions else [only]
     listed = files.where(F.col("extension").isin(*wanted)).orderBy("path")
     return listed.limit(max_files) if max_files else listed

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import fixed, format_gaps, mmss, mmss_ms, seconds, srt_time, time_range
+from cadenza.functions.columns import fixed, format_gaps, mmss, mmss_ms, seconds, srt_time, strip, time_range
 from cadenza.operators.cadence import UNKNOWN_OVERLAP, markdown_statistics
 from cadenza.operators.legacy import PERCENTILES
 from cadenza.timeline import KEY, SLICE, numbered, with_slice
@@ -62,7 +62,7 @@ def cue_text(style: str) -> Column:
         weak = F.when(F.col("reprocessed"), F.lit(" [ENHANCED]")).when(
             F.col("avg_logprob") < -0.5, F.lit(" [LOW_CONF]")
         )
-        return F.concat(F.trim(text), F.coalesce(weak, F.lit("")))
+        return F.concat(strip(text), F.coalesce(weak, F.lit("")))
     return text
 
 
@@ -81,7 +81,7 @@ def to_txt(rows: DataFrame, style: str = "timestamped", report: DataFrame | None
         named = F.coalesce(F.col("speaker"), F.lit("")) != ""
         who = F.when(named, F.concat(F.lit("["), F.col("speaker"), F.lit("] "))).otherwise(F.lit(""))
         return _lines(rows, 0, F.col("segment_id"), F.array(_text("[", mmss("start_ms"), "] ", who, F.col("text"))))
-    body = _lines(rows, 1, F.col("segment_id"), F.array(F.trim("text")))
+    body = _lines(rows, 1, F.col("segment_id"), F.array(strip("text")))
     if style == "paragraph":
         return body
     n, k = F.col("total_segments"), F.col("reprocessed_segments")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -36,12 +36,13 @@ def stream_transcript_windows(
 
 
 def stream_progress(chunk_events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Distinct chunks done and failed per job; repeated reports of a chunk count once."""
+    """Distinct chunks done and failed per job; of repeated reports of a chunk the latest counts (a stream: the first)."""
     chunk = ["job_id", "chunk_id"]
     if chunk_events.isStreaming:
         once = chunk_events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(chunk)
     else:
-        once = chunk_events.dropDuplicates(chunk)
+        latest = F.max_by("status", F.struct("ts", "status")).alias("status")
+        once = chunk_events.groupBy(*chunk).agg(latest)
     return (
         once.groupBy("job_id")
         .agg(
@@ -115,22 +116,33 @@ def stream_merge_chunks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def overwrite_chunks(path: str):
-    """``foreachBatch`` sink: a chunk delivered again replaces its earlier rows.
+    """``foreachBatch`` sink for ``delivered_chunks``: each micro-batch is kept under its number.
 
-    Each (recording, chunk) is a directory of its own, and only those touched are rewritten.
+    A micro-batch that runs again replaces only itself; what earlier ones brought stays.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        (
-            batch.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("recording_id", "chunk_id")
-            .parquet(path)
-        )
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={int(epoch)}")
 
     return write
 
 
+def delivered_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``overwrite_chunks`` has kept: of each chunk those of its newest delivery.
+
+    Rows may carry ``delivery``, a number that grows when a chunk is sent again; a delivery may
+    come in any number of micro-batches.  Within it (and without that column) a segment that
+    comes again replaces its earlier row.
+    """
+    rows = spark.read.parquet(path)
+    key = ["recording_id", "chunk_id"]
+    if "delivery" in rows.columns:
+        newest = rows.groupBy(*key).agg(F.max("delivery").alias("delivery"))
+        rows = rows.join(newest, [*key, "delivery"], "left_semi")
+    last = Window.partitionBy(*key, "segment_id").orderBy(F.desc("epoch"))
+    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "epoch")
+
+
 # ---------------------------------------------------------------- stateful buckets
 
 BUCKETS = StructType(
@@ -143,16 +155,19 @@ BUCKETS = StructType(
         StructField("text", StringType()),
     ]
 )
-_OPEN = "bucket_index long, start_ms long, end_ms long, words array<string>"
-_WAITING = "at timestamp, sort_ms long, segment_id long, pos long, start_ms long, end_ms long, word string"
+_OPEN = "bucket_index long, start_ms long, end_ms long, last_ms long, words array<string>"
+_HELD = "rows array<struct<sort_ms:long,segment_id:long,pos:long,start_ms:long,end_ms:long,word:string>>"
+SLOT_MS = 1000
 
 
 class BucketProcessor(StatefulProcessor):
     """Closes a bucket once a word reaches the span; the watermark releases words in time order.
 
-    Words wait until the watermark has passed them, so late arrivals within the delay still
-    take their place; then the rule is the batch rule.  The open bucket goes out when the
-    recording has been silent for ``idle_ms`` of event time.
+    Words wait in slots of a second until the watermark has passed the slot, so late arrivals
+    within the delay still take their place; then the rule is the batch rule.  Every slot has
+    its own timer, which later words do not move: a recording that never pauses is cut as it
+    goes, and what waits spans no more than the delay.  The open bucket, which is bounded by the
+    span, goes out when the recording has been silent for ``idle_ms`` of event time.
     """
 
     def __init__(self, bucket_ms: int = 4000, idle_ms: int = 60_000):
@@ -161,55 +176,43 @@ class BucketProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _OPEN)
-        self.waiting = handle.getListState("waiting", _WAITING)
-
-    def _put(self, state, no, start, end, words):
-        state.update((no, start, end, words))
-
-    def _timer(self, at: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(at)
+        self.waiting = handle.getMapState("waiting", "slot long", _HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = 0
+        fields = ["sort_ms", "segment_id", "pos", "start_ms", "end_ms"]
+        new: dict[int, list[tuple]] = {}
         for batch in rows:
-            fields = ["sort_ms", "segment_id", "pos", "start_ms", "end_ms"]
-            new = [
-                (ts.to_pydatetime(), *map(int, ids), str(word))
-                for ts, ids, word in zip(batch["ts"], batch[fields].itertuples(index=False), batch["word"])
-            ]
-            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-            self.waiting.appendList(new)
-        self._timer(latest + 1)
+            for ts, ids, word in zip(batch["ts"], batch[fields].itertuples(index=False), batch["word"], strict=True):
+                new.setdefault(int(ts.timestamp() * 1000) // SLOT_MS, []).append((*map(int, ids), str(word)))
+        for slot, words in new.items():
+            held = [tuple(r) for r in self.waiting.getValue((slot,))[0]] if self.waiting.containsKey((slot,)) else []
+            self.waiting.updateValue((slot,), (held + words,))
+            self.handle.registerTimer((slot + 1) * SLOT_MS)
         yield pd.DataFrame(columns=BUCKETS.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.waiting.get(), key=lambda r: tuple(r)[1:4])
-        ready = [r for r in held if r[0].timestamp() * 1000 <= mark]
-        later = [r for r in held if r[0].timestamp() * 1000 > mark]
-        no, start, end, words = (tuple(self.open.get()) if self.open.exists() else (0, None, None, []))
+        slots = sorted(int(k[0]) for k in self.waiting.keys())
+        ready = [s for s in slots if (s + 1) * SLOT_MS <= mark]
+        no, start, end, heard, words = tuple(self.open.get()) if self.open.exists() else (0, None, None, 0, [])
         words, out = list(words or []), []
-        for _, _, _, _, first, last, word in ready:
-            start = first if start is None else start
-            words.append(word)
-            end = last
-            if last - start >= self.bucket_ms:
-                out.append((key[0], no, start, last, len(words), " ".join(words)))
-                no, start, words = no + 1, last, []
-        if later:
-            self.waiting.put([tuple(r) for r in later])
-            self._timer(int(max(r[0].timestamp() for r in later) * 1000) + 1)
-        else:
-            self.waiting.clear()
-            due = int(ready[-1][0].timestamp() * 1000) + self.idle_ms if ready else mark
-            if due > mark:
-                self._timer(due)
-            elif words:
+        for slot in ready:
+            for _, _, _, first, last, word in sorted(tuple(r) for r in self.waiting.getValue((slot,))[0]):
+                start = first if start is None else start
+                words.append(word)
+                end = last
+                if last - start >= self.bucket_ms:
+                    out.append((key[0], no, start, last, len(words), " ".join(words)))
+                    no, start, words = no + 1, last, []
+            self.waiting.removeKey((slot,))
+            heard = (slot + 1) * SLOT_MS
+        if words and len(ready) == len(slots):
+            if heard + self.idle_ms > mark:
+                self.handle.registerTimer(heard + self.idle_ms)
+            else:
                 out.append((key[0], no, start, end, len(words), " ".join(words)))
                 no, start, words = no + 1, end, []
-        self.open.update((no, start, end, words))
+        self.open.update((no, start, end, heard, words))
         yield pd.DataFrame(out, columns=BUCKETS.names)
 
     def close(self) -> None:

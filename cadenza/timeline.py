@@ -11,6 +11,7 @@ no task ever sees more than one block of summaries plus one row per block.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,14 +25,16 @@ SLICES_PER_BLOCK = 256
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
+    """Write ``df`` as Parquet below the checkpoint folder and go on from there.
 
     Used for stage tables that feed several branches of a plan: each is computed once,
-    survives the loss of executors, and later plans start from it.  The folder is the one the
-    session names in spark.checkpoint.dir; only a local session gets its own.
+    survives the loss of executors, and later plans read only the columns and rows they need.
+    The folder is the one the session names in spark.checkpoint.dir; only a local session
+    without one gets its own.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

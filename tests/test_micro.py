@@ -178,10 +178,12 @@ def test_search_and_severity_words(spark):
     assert list(warehouse.SEVERITY.values()) == ["low", "medium", "high", "critical"]
 
 
-def test_gap_lists_stop_at_twenty(spark):
+def test_gap_lists_hold_every_gap(spark):
     w = make_words(spark, [(10_000 * i, 10_000 * i + 100) for i in range(50)])
     cut = buckets.bucketize_legacy(w, slice_ms=70_000)
-    assert [len(r.gaps_ms) for r in legacy.gap_lists(cut).collect()] == [20]
+    parts = legacy.gap_lists(cut).orderBy("part_no").collect()
+    assert len(parts) > 1 and [g for r in parts for g in r.gaps_ms] == [9_900] * 49
+    assert [r.gaps_ms for r in legacy.first_gaps(cut, 20).collect()] == [[9_900] * 20]
     assert legacy.timing_buckets(cut).first().word_gap_count == 49
 
 
@@ -229,3 +231,26 @@ def test_reprocessing_can_keep_the_better_score(spark):
     assert reprocess.apply_reprocessed(old, new).first().text == "b"
     kept = reprocess.apply_reprocessed(old, new, only_if_better=True).first()
     assert (kept.text, kept.reprocessed, kept.original_confidence) == ("a", False, -0.6)
+
+
+def test_white_space_is_unicode(spark):
+    from cadenza.operators import uncertainty
+
+    df = spark.createDataFrame([(0, "a\u00a0b\u2003c"), (1, "\n\t\u00a0"), (2, "\u3000x y\u2028")], "id int, text string")
+    got = {r.id: r for r in uncertainty.text_indicators(df).collect()}
+    assert [got[i].indicators.word_count for i in range(3)] == [3, 0, 2] and got[1].text_issues == ["empty_text"]
+
+
+def test_hooks_call_batches_and_retry_rows(spark):
+    from cadenza.operators import hooks
+
+    def sizes(rows):
+        if (rows["segment_id"] == 7).any():
+            raise ValueError("bad")
+        return rows.assign(size=len(rows))
+
+    df = spark.range(20, numPartitions=1).select(F.lit(1).cast("bigint").alias("recording_id"), F.col("id").alias("segment_id"))
+    got = hooks.map_chunks(df, sizes, "recording_id bigint, segment_id bigint, size bigint").collect()
+    assert sorted(r.segment_id for r in got) == list(range(20)) and [r.segment_id for r in got if r.error] == [7]
+    clean = hooks.map_chunks(df.where("segment_id <> 7"), sizes, "recording_id bigint, segment_id bigint, size bigint").collect()
+    assert {r.size for r in clean} == {19}

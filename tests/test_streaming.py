@@ -89,11 +89,25 @@ def test_sustained_alert_across_midnight(spark):
 
 
 def test_merge_sink_replaces_a_chunk(spark, tmp_path):
-    schema = "recording_id bigint, chunk_id bigint, text string"
+    schema = "recording_id bigint, chunk_id bigint, segment_id bigint, delivery bigint, text string"
     write = streams.overwrite_chunks(str(tmp_path / "m"))
-    write(spark.createDataFrame([(1, 0, "old"), (1, 1, "kept")], schema), 0)
-    write(spark.createDataFrame([(1, 0, "new")], schema), 1)
-    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "m")).collect()) == ["kept", "new"]
+    write(spark.createDataFrame([(1, 0, 0, 0, "old"), (1, 0, 5, 0, "stale"), (1, 1, 0, 0, "kept")], schema), 0)
+    write(spark.createDataFrame([(1, 0, 0, 1, "new")], schema), 1)
+    write(spark.createDataFrame([(1, 0, 1, 1, "more"), (1, 1, 1, 0, "second half")], schema), 2)
+    write(spark.createDataFrame([(1, 0, 1, 1, "more"), (1, 1, 1, 0, "second half")], schema), 2)  # the batch runs again
+    got = streams.delivered_chunks(spark, str(tmp_path / "m"))
+    assert sorted(r.text for r in got.collect()) == ["kept", "more", "new", "second half"]
+
+
+def test_live_recording_emits_as_it_goes(spark, tmp_path):
+    """Eight micro-batches of one uninterrupted recording and no row from the future."""
+    base = datetime(2024, 1, 1)
+    rows = [(1, base + timedelta(milliseconds=500 * i), 500 * i, i, 0, 500 * i, 500 * i + 400, f"w{i}") for i in range(480)]
+    df = spark.createDataFrame(rows, "recording_id bigint, ts timestamp, sort_ms bigint, segment_id bigint, pos int, start_ms bigint, end_ms bigint, word string")
+    _split(df, str(tmp_path / "l"), "ts", 8)
+    got = _finish(streams.stream_bucketize(_stream(spark, str(tmp_path / "l"))), "live_buckets", "append", tmp_path).orderBy("bucket_index").collect()
+    assert len(got) >= 45 and [r.bucket_index for r in got] == list(range(len(got)))
+    assert " ".join(r.text for r in got).split() == [f"w{i}" for i in range(sum(r.word_count for r in got))]
 
 
 def test_stateful_buckets_equal_batch(spark, small, tmp_path):

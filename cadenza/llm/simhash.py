@@ -9,17 +9,19 @@ correlated bits share a partition.  *Thresholds.*  If the thresholds t_i of m pa
 to distance - m + 1, fingerprints within ``distance`` differ in at most t_i bits of some
 partition i (t_i = -1: the partition is left out).  For every number of partitions, dynamic
 programming chooses the thresholds of least cost, where the cost of (partition, t) is the
-number of probes, weighted, plus the number of candidates that the tree model expects for it.
+number of probes, weighted, plus the number of candidates that the tree model expects for it
+(more where keys would be too large).
 *Probes.*  With threshold t a fingerprint is filed once for every way of masking t bits of the
 partition: fingerprints within t bits there meet under a key.  A key's fingerprints agree on
 the bits it shows.
 
-A key with more than ``GROUP`` fingerprints is never gathered: its fingerprints are filed
-again, under the same principle, by parts of the bits that the key does not show, until
-groups are small.  That ends, because each time a third or more of the open bits become shown,
-and there are at most 2^b distinct fingerprints with b open bits.  *Verification.*  Inside a
-group all pairs are compared, but only a spanning forest of the links goes on: one row per
-fingerprint at most, never all pairs.  Components come from repeated contraction of the links.
+A key with more than ``GROUP`` fingerprints is never gathered.  While a key leaves enough bits
+open, its fingerprints are filed again, under the same principle, by ``distance`` + 1 parts of the
+open bits.  Otherwise they are dealt into blocks, and every two blocks form a group.
+*Verification.*  Inside a group all pairs are compared, but only a spanning forest of the links
+goes on: one row per fingerprint at most, never all pairs; a fingerprint that is reached is not
+compared again as a target, so that dense groups take few rounds.  Components come from repeated
+contraction of the links.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ from cadenza.llm import common
 SEED = 42
 DISTANCE = 2
 #: Most fingerprints that are compared with each other in one group.
-GROUP = 2_000
+GROUP = 16_384
+#: Parts with fewer bits than this hardly divide a key.
+PART = 8
 #: A filed row costs about as much as so many comparisons.
 PROBE = 1_000
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -209,6 +213,8 @@ def choose(counts: np.ndarray, distance: int = DISTANCE) -> list[tuple[list[int]
             for t in range(min(distance, len(bits) - 1) + 1):
                 probes = math.comb(len(bits), t)
                 options[t] = PROBE * n * probes + n * n / 2 * near[t]
+                if n * near[t] > GROUP:  # most keys would be filed again, by distance + 1 parts
+                    options[t] += PROBE * n * probes * (distance + 1)
             costs.append(options)
         cost, chosen = allocate(costs, distance - m + 1)
         if cost < best[0]:
@@ -252,6 +258,14 @@ def opened(df: DataFrame, distance: int) -> DataFrame:
     return more.withColumn("shown", F.explode("next")).drop("next").withColumn("value", F.col("fp").bitwiseAND(F.col("shown")))
 
 
+def paired(keys: DataFrame, large: DataFrame, group: int) -> DataFrame:
+    """The fingerprints of large keys in groups (i, j) of two blocks; any two of a key share a group."""
+    rows = keys.join(large, ["shown", "value"]).withColumn("blocks", F.ceil(2 * F.col("n") / group))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
+    each = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return each.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "blocks", "own", "other")
+
+
 def forest(bits: np.ndarray, distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (row numbers) of a spanning forest over linked rows of ``bits`` (fingerprints x words)."""
     left: list[int] = []
@@ -302,15 +316,22 @@ def links(nodes: DataFrame, distance: int = DISTANCE, total: int = 0, group: int
                 found.append((node[at[i] + a], node[at[i] + b]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
+    def linked(filed_: DataFrame, by: list[str]) -> DataFrame:
+        gathered = filed_.groupBy(*by).agg(F.collect_list(F.struct("node", *names)).alias("rows"))
+        lists = [F.col("rows")[c].alias(c) for c in ("node", *names)]
+        return common.stage(gathered.select(*lists).mapInArrow(compared, "a long, b long").distinct(), "links")
+
     found: DataFrame | None = None
     while True:
         sizes = common.stage(keys.groupBy("shown", "value").agg(F.count("*").alias("n")).where("n > 1"), "keys")
         small = keys.join(sizes.where(F.col("n") <= group).drop("n"), ["shown", "value"])
-        gathered = small.groupBy("shown", "value").agg(F.collect_list(F.struct("node", *names)).alias("rows"))
-        lists = [F.col("rows")[c].alias(c) for c in ("node", *names)]
-        own = common.stage(gathered.select(*lists).mapInArrow(compared, "a long, b long").distinct(), "links")
-        found = own if found is None else found.union(own)
+        found = linked(small, ["shown", "value"]) if found is None else found.union(linked(small, ["shown", "value"]))
         large = sizes.where(F.col("n") > group)
+        narrow = 64 - F.bit_count("shown") < PART * (distance + 1)
+        blocks = large.where(narrow)
+        if not blocks.isEmpty():
+            found = found.union(linked(paired(keys, blocks, group), ["shown", "value", "i", "j"]))
+        large = large.where(~narrow)
         if large.isEmpty():
             return found.distinct()
         # the same fingerprint may come by several large keys

@@ -15,13 +15,14 @@ WORDS = (
 
 DIARIZATION = "recording_id bigint, turn_no bigint, speaker string, start_ms bigint, end_ms bigint"
 
-# segment documents as the pipeline writes them; both spellings of the aliased keys
-SEGMENT_DOCUMENT = (
-    "struct<recording_id:bigint,segments:array<struct<id:bigint,start:double,end:double,text:string,"
+# segment documents as the pipeline writes them; both spellings of the aliased keys, both places of the segments
+_SEGMENTS = (
+    "array<struct<id:bigint,start:double,end:double,text:string,"
     "avg_logprob:double,confidence:double,no_speech_prob:double,language:string,temperature:double,"
     "reprocessed:boolean,original_confidence:double,"
-    "words:array<struct<word:string,text:string,start:double,end:double,probability:double,confidence:double>>>>>"
+    "words:array<struct<word:string,text:string,start:double,end:double,probability:double,confidence:double>>>>"
 )
+SEGMENT_DOCUMENT = f"struct<recording_id:bigint,segments:{_SEGMENTS},transcription:struct<segments:{_SEGMENTS}>>"
 
 CHUNK_DOCUMENT = (
     "struct<recording_id:bigint,original_file:string,total_duration:double,total_chunks:bigint,"

@@ -10,20 +10,46 @@ from cadenza.functions.columns import to_ms
 from cadenza.timeline import KEY, with_facts
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
+def _documents(spark: SparkSession, path: str, inner: str | None = None) -> DataFrame:
+    """Documents below ``path`` with ``file_key``, for those that do not name their recording.
+
+    Documents that ``write_lines`` wrote lie in one directory per recording, in several parts
+    with an item on each line; every item of the array ``inner`` is then a document of its own.
+    Other files are one document each.  The key is the file's name, or a hash of it if the
+    name is no number.
+    """
+    lines = spark.read.text(path)
+    if inner is not None and KEY in lines.columns:
+        items = lines.where(F.col("value").rlike(r"^,?\{.*\}$")).select(F.col(KEY).cast("bigint").alias(KEY), F.lit(1).alias("section"), F.col("value").alias("line"))
+        return item_documents(items, inner).withColumn("file_key", F.lit(None).cast("bigint"))
+    stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
+    number = F.when(stem.rlike(r"^[0-9]{1,18}$"), stem.cast("bigint")).otherwise(F.xxhash64(stem))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("document"), number.alias("file_key"))
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of every file below ``path`` that is no JSON document; the readers get no rows from it."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.where(F.expr("try_parse_json(value)").isNull()).select("path", F.length("value").alias("length"))
+
+
+def _keyed(documents: DataFrame, column: str, schema: str) -> DataFrame:
+    """The parsed document ``d`` and its key."""
+    doc = F.from_json(column, schema)
+    key = F.coalesce(F.col(f"d.{KEY}"), F.col("file_key")) if "file_key" in documents.columns else F.col(f"d.{KEY}")
+    return documents.withColumn("d", doc).select(key.alias(KEY), "d")
 
 
 def parse_segments(documents: DataFrame, column: str = "document") -> DataFrame:
     """Segment documents to rows; both spellings of text, score and probability keys are accepted."""
-    doc = documents.select(F.from_json(column, schemas.SEGMENT_DOCUMENT).alias("d"))
+    doc = _keyed(documents, column, schemas.SEGMENT_DOCUMENT)
     word = lambda w: F.struct(
         F.coalesce(w["word"], w["text"], F.lit("")).alias("word"),
         F.coalesce(w["start"], F.lit(0.0)).alias("start"),
         F.coalesce(w["end"], F.lit(0.0)).alias("end"),
         F.coalesce(w["probability"], w["confidence"], F.lit(0.0)).alias("probability"),
     )
-    return doc.select(F.col(f"d.{KEY}").alias(KEY), F.posexplode("d.segments").alias("_i", "s")).select(
+    return doc.select(KEY, F.posexplode(F.coalesce("d.segments", "d.transcription.segments")).alias("_i", "s")).select(
         KEY,
         F.coalesce("s.id", F.col("_i").cast("bigint")).alias("segment_id"),
         F.coalesce("s.start", F.lit(0.0)).alias("start"),
@@ -38,21 +64,21 @@ def parse_segments(documents: DataFrame, column: str = "document") -> DataFrame:
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    return parse_segments(_documents(spark, path))
+    return parse_segments(_documents(spark, path, "segments"))
 
 
 def parse_chunk_metadata(documents: DataFrame, column: str = "document") -> DataFrame:
     """Chunk metadata to rows; speech flag and confidence are not stored and take their defaults."""
-    doc = documents.select(F.from_json(column, schemas.CHUNK_DOCUMENT).alias("d"))
+    doc = _keyed(documents, column, schemas.CHUNK_DOCUMENT)
     return (
-        doc.select(F.col(f"d.{KEY}").alias(KEY), F.explode("d.chunks").alias("c"))
+        doc.select(KEY, F.explode("d.chunks").alias("c"))
         .select(KEY, "c.*")
         .withColumns({"has_speech": F.lit(True), "confidence": F.lit(1.0)})
     )
 
 
 def read_chunk_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return parse_chunk_metadata(_documents(spark, path))
+    return parse_chunk_metadata(_documents(spark, path, "chunks"))
 
 
 def parse_rttm(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -73,9 +99,9 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_timing(documents: DataFrame, column: str = "document") -> DataFrame:
     """Timing documents to bucket rows with flat metrics."""
-    doc = documents.select(F.from_json(column, schemas.TIMING_DOCUMENT).alias("d"))
+    doc = _keyed(documents, column, schemas.TIMING_DOCUMENT)
     return (
-        doc.select(F.col(f"d.{KEY}").alias(KEY), F.explode("d.timing_analysis.buckets").alias("b"))
+        doc.select(KEY, F.explode("d.timing_analysis.buckets").alias("b"))
         .select(KEY, "b.*")
         .select(
             KEY,
@@ -93,7 +119,7 @@ def parse_timing(documents: DataFrame, column: str = "document") -> DataFrame:
 
 
 def read_timing_json(spark: SparkSession, path: str) -> DataFrame:
-    return parse_timing(_documents(spark, path))
+    return parse_timing(_documents(spark, path, "timing_analysis.buckets"))
 
 
 def item_documents(lines: DataFrame, inner: str = "segments") -> DataFrame:
@@ -121,7 +147,7 @@ def parse_lines(lines: DataFrame, head: str, item: str) -> DataFrame:
     closing = lines.where(F.col("section") == 2).select(KEY, F.col("line").alias("_b"))
     items = lines.where(F.col("section") == 1)
     span = items.groupBy(KEY).agg(F.min("item").alias("_lo"), F.max("item").alias("_hi"))
-    heads = opening.join(closing, KEY).join(span, KEY)
+    heads = opening.join(closing, KEY).join(span, KEY)  # a document without items has no rows
     facts = heads.select(KEY, F.from_json(F.concat("_a", "_b"), head).alias("d"), "_lo", "_hi")
     parsed = items.select(KEY, "item", F.from_json(F.regexp_replace("line", "^,", ""), item).alias("x"))
     return with_facts(parsed, facts, "item", "_lo", "_hi", 4096).select(KEY, "d", "x")
@@ -167,10 +193,9 @@ def validate_report(documents: DataFrame, column: str = "document") -> DataFrame
             "valid": every,
             "file_size": F.length(c),
             "section_count": F.regexp_count(c, F.lit(r"(?m)^\d+\.\s\*\*\[")),
-            "content_preview": F.when(F.length(c) > 200, F.concat(F.substring(c, 1, 200), F.lit("..."))).otherwise(c),
         }
     )
 
 
 def read_and_validate_report(spark: SparkSession, path: str) -> DataFrame:
-    return validate_report(_documents(spark, path))
+    return validate_report(_documents(spark, path).drop("file_key"))

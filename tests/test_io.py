@@ -49,6 +49,26 @@ def test_aliased_keys_are_normalised(spark, tmp_path):
     assert (rows[1].text, rows[1].end) == ("", 0.0)
 
 
+def test_written_parts_are_read_back(spark, tmp_path):
+    rows = spark.range(50).select(F.lit(1).cast("bigint").alias("recording_id"), F.col("id").alias("segment_id"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 900).alias("end_ms"), F.concat(F.lit("t "), F.col("id").cast("string")).alias("text"), F.lit(-0.5).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"))
+    facts = rows.select("recording_id").distinct().withColumns({"language": F.lit("en"), "duration_ms": F.lit(50_000)})
+    writers.write_lines(render.segment_json(rows, facts), str(tmp_path / "parts"), partitions=3)
+    assert len(list((tmp_path / "parts" / "recording_id=1").glob("part-*"))) > 1
+    back = documents.read_segments(spark, str(tmp_path / "parts")).orderBy("segment_id").collect()
+    assert [(r.recording_id, r.segment_id, r.text) for r in back] == [(1, i, f"t {i}") for i in range(50)]
+
+
+def test_documents_as_other_tools_write_them(spark, tmp_path):
+    segment = {"start": 1.0, "end": 2.0, "text": "hi", "confidence": -0.3}
+    (tmp_path / "17.json").write_text(json.dumps({"transcription": {"segments": [segment, segment]}, "metadata": {}}, indent=2))
+    (tmp_path / "talk.json").write_text(json.dumps({"chunk_id": 3, "segments": [segment]}))
+    (tmp_path / "broken.json").write_text('{"segments": [')
+    rows = documents.read_segments(spark, str(tmp_path)).collect()
+    assert sorted(r.segment_id for r in rows if r.recording_id == 17) == [0, 1] and len(rows) == 3
+    assert all(r.recording_id is not None and r.avg_logprob == -0.3 for r in rows)
+    assert [r.path.rpartition("/")[2] for r in documents.unreadable(spark, str(tmp_path)).collect()] == ["broken.json"]
+
+
 def test_rttm_round_trip(spark, tmp_path):
     turns = spark.createDataFrame([(1, 0, "A", 0, 1234), (1, 1, "B", 1000, 2000)], "recording_id bigint, turn_no bigint, speaker string, start_ms bigint, end_ms bigint")
     writers.write_lines(render.to_rttm(turns), str(tmp_path / "r"))

@@ -18,6 +18,7 @@ VAD_TARGET_MS, VAD_OVERLAP_MS, VAD_MIN_MS = 45_000, 3_000, 10_000
 PLAN_MS = 3_600_000
 POINTS_PER_STEP = 4096
 FRAMES_PER_SLICE = 30_000
+CHUNKS_PER_SLICE = 256
 
 
 # ---------------------------------------------------------------- speech and silence
@@ -70,8 +71,8 @@ def silences_with_edges(speech: DataFrame, durations: DataFrame) -> DataFrame:
 
 def speech_runs(frames: DataFrame, hop_ms: int = 100, energy_pct: float = 0.30, centroid_pct: float = 0.40) -> DataFrame:
     """Runs of frames above the recording's own energy and centroid percentiles."""
-    limits = exact_percentiles(frames, "energy", [energy_pct], ["_energy"], 1.0).join(
-        exact_percentiles(frames, "centroid", [centroid_pct], ["_centroid"], 1.0), KEY
+    limits = exact_percentiles(frames, "energy", [energy_pct], ["_energy"]).join(
+        exact_percentiles(frames, "centroid", [centroid_pct], ["_centroid"]), KEY
     )
     span = frames.groupBy(KEY).agg(F.min("idx").alias("_lo"), F.max("idx").alias("_hi"))
     rows = with_facts(frames, limits.join(span, KEY), "idx", "_lo", "_hi", FRAMES_PER_SLICE)
@@ -318,8 +319,10 @@ def vad_chunks(
 
 def prioritised(chunks: DataFrame) -> DataFrame:
     """Order of work per recording: most speech first, then by position."""
-    # a priority is a percentage, so the negated value is a bounded slice number
-    rows = chunks.withColumn("_rank", -F.col("priority").cast("bigint")).withColumn(SLICE, F.col("_rank") + 100)
+    # slices follow the order: by percentage, then by position, as most chunks share a few percentages
+    rows = chunks.withColumn("_rank", -F.col("priority").cast("bigint")).withColumn(
+        SLICE, F.expr(f"(_rank + 100) * {1 << 24}L + chunk_no div {CHUNKS_PER_SLICE}L")
+    )
     return numbered(rows, ["_rank", "chunk_no"], "work_order").drop("_rank", SLICE)
 
 

@@ -260,25 +260,33 @@ def with_facts(
     )
 
 
+def relative_slice(value: Column) -> Column:
+    """Slice number that grows with the value, in steps of a constant factor away from zero."""
+    steps = lambda x: F.floor(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.log(x))) * 64)
+    zero = F.lit(-3_000).cast("bigint")
+    return F.when(value > 0, steps(value)).when(value < 0, 2 * zero - steps(-value)).otherwise(zero)
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
     points: Sequence[float],
     names: Sequence[str],
-    width: float,
+    width: float | None = None,
     keys: Sequence[str] = (KEY,),
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per key, without collecting a key's values.
 
     Equal values are first folded into counts; counts are then ranked across slices of
-    ``width`` value units; each percentile needs the two values around its rank only.
+    ``width`` value units, or of about 1.6 per cent of the value where no width is given;
+    each percentile needs the two values around its rank only.
     """
     keys = list(keys)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(SLICE, F.floor(F.col("_v") / F.lit(width)))
+        .withColumn(SLICE, F.floor(F.col("_v") / F.lit(width)) if width else relative_slice(F.col("_v")))
     )
     ranked = running(counted, F.col("_n"), ["_v"], "_before", "sum", keys)
     totals = counted.groupBy(*keys).agg(

@@ -254,3 +254,17 @@ def test_hooks_call_batches_and_retry_rows(spark):
     assert sorted(r.segment_id for r in got) == list(range(20)) and [r.segment_id for r in got if r.error] == [7]
     clean = hooks.map_chunks(df.where("segment_id <> 7"), sizes, "recording_id bigint, segment_id bigint, size bigint").collect()
     assert {r.size for r in clean} == {19}
+
+
+def test_percentiles_of_real_values_in_relative_slices(spark):
+    import numpy as np
+
+    from cadenza import timeline
+
+    rng = np.random.default_rng(1)
+    values = [*rng.lognormal(0, 0.5, 900).tolist(), *(-rng.lognormal(0, 3, 80)).tolist(), *[0.0] * 20, 1e300, -1e-300]
+    df = spark.createDataFrame([(1, float(v)) for v in values], "recording_id bigint, v double")
+    got = timeline.exact_percentiles(df, "v", [0.01, 0.3, 0.5, 0.99], ["a", "b", "c", "d"]).first()
+    assert np.allclose([got.a, got.b, got.c, got.d], np.percentile(values, [1, 30, 50, 99]))
+    sizes = df.where("v > 0 and v < 1e9").groupBy(timeline.relative_slice(F.col("v")).alias("s")).count()
+    assert sizes.agg(F.max("count")).first()[0] < 40

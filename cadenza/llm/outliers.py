@@ -9,12 +9,14 @@ The estimate covers all rows of a group.  It starts from coordinate-wise medians
 covariance of the half with the smallest ones.  A step is one aggregation: rows are counted
 and summed by (group, distance class), with partial sums before the shuffle, so that a group
 of any size is a few dozen small rows afterwards.  The class in which the half ends counts in
-proportion.  Groups with too few rows are pooled by language, and if need be all together.  A floor on each variance keeps statistics that are constant in most texts from
-making the scatter singular.
+proportion.  Groups with too few rows are pooled by language, and if need be all together.  Statistics that
+are constant in most texts would make the scatter singular; no spread is taken to be less than
+what counting itself leaves open in a text of the group's typical length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -31,8 +33,6 @@ SPACE = b" \t\n\r\x0b\x0c"
 WIDTH = 5
 PRODUCTS = [(i, j) for i in range(WIDTH) for j in range(i, WIDTH)]
 ESTIMATE = "pool long, centre array<double>, inverse array<double>"
-#: Smallest spread that a transformed statistic is taken to have.
-FLOOR = np.array([0.3, 0.12, 0.15, 0.15, 0.15])
 STEPS = 4
 #: Distance classes: each wider than the one before by a constant factor.
 CLASSES = 40
@@ -42,8 +42,8 @@ RATIO = 0.25
 SMALLEST = 100
 #: Makes the scatter of the inner half of normal rows that of all: 0.5 / P(chi2_7 <= median of chi2_5).
 CONSISTENT = 1.91
-#: 1 - 1e-6 quantile of chi-square with five degrees of freedom
-CUTOFF = 36.83
+#: 0.999 quantile of chi-square with five degrees of freedom
+CUTOFF = 20.515
 
 
 def statistics(text: str) -> tuple[int, int, int, int, int]:
@@ -119,16 +119,25 @@ def distance() -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def regular(scatter: np.ndarray) -> np.ndarray:
-    """Inverse of the scatter with every variance raised to its floor."""
-    return np.linalg.inv(scatter + np.diag(np.maximum(FLOOR**2 - np.diag(scatter), 1e-9)))
+def resolution(centre: np.ndarray) -> float:
+    """Smallest spread that a transformed statistic is taken to have around ``centre``.
+
+    In a text of n words one word more or less moves the square root of a rate, from none, by
+    1 / sqrt(n), and a count of n, on the scale of logarithms, is uncertain by as much.
+    """
+    return 1 / math.sqrt(max(1.0, math.expm1(centre[0])))
+
+
+def regular(scatter: np.ndarray, floor: float = 0.0) -> np.ndarray:
+    """Inverse of the scatter with every spread raised to ``floor``."""
+    return np.linalg.inv(scatter + np.diag(np.maximum(floor**2 - np.diag(scatter), 1e-9)))
 
 
 def start(rows: pd.DataFrame) -> pd.DataFrame:
     """Medians and quartile spreads of one pool as centre and diagonal scatter."""
     low, middle, high = (np.array([rows[f"q{i}"].iloc[0][k] for i in range(WIDTH)], float) for k in range(3))
     scatter = np.diag(((high - low) / 1.349) ** 2)
-    return pd.DataFrame({"pool": [rows["pool"].iloc[0]], "centre": [middle], "inverse": [regular(scatter).ravel()]})
+    return pd.DataFrame({"pool": [rows["pool"].iloc[0]], "centre": [middle], "inverse": [regular(scatter, resolution(middle)).ravel()]})
 
 
 def concentrated(rows: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +154,7 @@ def concentrated(rows: pd.DataFrame) -> pd.DataFrame:
     for k, (i, j) in enumerate(PRODUCTS):
         products[i, j] = products[j, i] = part @ rows[f"p{k}"].to_numpy(float) / total
     scatter = CONSISTENT * (products - np.outer(centre, centre))
-    return pd.DataFrame({"pool": [rows["pool"].iloc[0]], "centre": [centre], "inverse": [regular(scatter).ravel()]})
+    return pd.DataFrame({"pool": [rows["pool"].iloc[0]], "centre": [centre], "inverse": [regular(scatter, resolution(centre)).ravel()]})
 
 
 def estimates(measured: DataFrame, keys: Sequence[str] = ("lang", "source"), smallest: int = SMALLEST, steps: int = STEPS) -> DataFrame:

@@ -165,6 +165,25 @@ def test_outliers_stand_out_of_their_group(spark):
     assert sum(got[i].kept for i in range(400)) >= 398 and got[2_000].kept and got[2_001].kept
 
 
+def test_menus_and_repeated_lines_alone_are_outliers(spark):
+    """Half a symbol a word, or a tenth of a line repeated a word, stands out where other texts have none."""
+    rng = random.Random(1)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(n)]
+    rows = [(i, " ".join(words(rng.randint(150, 350))), "en", "s") for i in range(300)]
+    rows += [(1_000 + i, "\n".join(f"{a} {b} |" for a, b in zip(words(120), words(120), strict=True)), "en", "s") for i in range(10)]
+    rows += [(2_000 + i, "\n".join([*words(210), *["again"] * 31]), "en", "s") for i in range(10)]
+    got = {r.doc_id: r for r in outliers.reject(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and not any(r.kept for i, r in got.items() if i >= 1_000)
+    assert sum(got[i].kept for i in range(300)) >= 297
+
+
+def test_labelled_bad_rows_past_the_base_rules_are_rejected(spark):
+    folder = "/root/testdata/sf0.1"
+    judged = queries.op9_outliers(spark, folder).where("not base_failed").join(common.table(spark, folder, "labels"), "doc_id")
+    share = {r.quality: r.share for r in judged.groupBy("quality").agg(F.avg((~F.col("kept")).cast("double")).alias("share")).collect()}
+    assert share[0] > 0.97 and share[1] < 0.03
+
+
 def test_concentration_matches_plain_steps():
     import pandas as pd
 

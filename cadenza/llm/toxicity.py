@@ -1,19 +1,20 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased word tokens.  The vocabulary holds the terms whose presence differs
-between the two classes of the labelled examples (likelihood-ratio statistic), so that the
-cosine measures wording that bears on the label and not length or topic.  Examples are
-indexed in an inverted index whose postings are cut into blocks of examples; each block keeps
-the largest weight of every term.  A query visits blocks in the order of their upper bounds
-and stops when no block can still hold a nearer example: the neighbours are exact.
+Terms are lower-cased word tokens.  The vocabulary holds every term that two labelled examples
+share.  A term's weight is its inverse document frequency, scaled up by how much its presence
+differs between the two classes (likelihood-ratio statistic), so that the cosine follows wording
+that bears on the label before length or topic.  Examples are indexed in an inverted index whose
+postings are cut into blocks of examples; each block keeps the largest weight of every term.  A
+query visits blocks in the order of their upper bounds and stops when no block can still hold a
+nearer example: the neighbours are exact.
 
 Votes are weighted by nearness and smoothed with the rate among all examples of the same kind
 (with or without vocabulary terms), which keeps scores calibrated where neighbours are few.
-A text without vocabulary terms (also an empty or null one) has no direction; its neighbours
+A text without any known word (also an empty or null one) has no direction; its neighbours
 are the examples without such terms, and its score is their rate.
 
-The labelled examples are bounded by ``max_examples`` and the vocabulary by ``max_terms``;
-everything that is scored is scored whole.
+The labelled examples are bounded by ``max_examples``; all their terms are used, and everything
+that is scored is scored whole.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from cadenza.llm import common
 
 MAX_EXAMPLES = 8_000
-MAX_TERMS = 4_096
-MIN_STATISTIC = 20.0
+MIN_EXAMPLES = 2
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that a query visits first; then twice as many, and so on.
+VISITED = 4
+SEEN = 2_000
 TERM = re.compile(r"\w+")
 
 
@@ -51,10 +54,12 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    starts: np.ndarray  # of each term's postings
+    starts: np.ndarray  # of each term's entries, one for each block that holds the term
+    block: np.ndarray  # of each entry
+    largest: np.ndarray  # weight of each entry
+    ends: np.ndarray  # where each entry's postings begin, and those of the next
     posting: np.ndarray  # example numbers, ascending within a term
     weight: np.ndarray
-    block_max: np.ndarray  # terms x blocks
     rate: float  # of label 1 among examples with vocabulary terms
     bare_rate: float  # and among those without
     bare_ids: list[int]
@@ -71,20 +76,24 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of largest cosine as (cosine, example number); ties by number."""
-        bounds = w @ self.block_max[at]
+        entry, x = spread(self.starts, at, w)
+        block = self.block[entry]
+        bounds = np.bincount(block, x * self.largest[entry], minlength=-(-len(self.ids) // BLOCK))
+        order = np.argsort(-bounds, kind="stable")[: np.count_nonzero(bounds > 0)]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            # a bound that only ties with the k-th cosine may still hold a smaller number
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-9):
-                break
-            low, high = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-            near = np.zeros(high - low)
-            for t, x in zip(at, w, strict=True):
-                post = self.posting[self.starts[t] : self.starts[t + 1]]
-                i, j = np.searchsorted(post, (low, high))
-                near[post[i:j] - low] += x * self.weight[self.starts[t] + i : self.starts[t] + j]
-            best += [(round(float(near[i]), 12), int(low + i)) for i in np.flatnonzero(near)]
-            best = sorted(best, key=lambda p: (-p[0], p[1]))[:k]
+        low, step = 0, VISITED
+        # a bound that only ties with the k-th cosine may still hold a smaller number
+        while low < len(order) and (len(best) < k or bounds[order[low]] >= best[-1][0] - 1e-9):
+            visited = np.zeros(len(bounds), bool)
+            visited[order[low : low + step]] = True
+            own = visited[block]
+            i, y = spread(self.ends, entry[own], x[own])
+            near = np.round(np.bincount(self.posting[i], y * self.weight[i], minlength=len(self.ids)), 12)
+            found = np.flatnonzero(near)
+            if len(found) > k:
+                found = found[near[found] >= np.partition(near[found], -k)[-k]]
+            best = sorted([*best, *zip(near[found].tolist(), found.tolist(), strict=True)], key=lambda p: (-p[0], p[1]))[:k]
+            low, step = low + step, 2 * step
         return best
 
     def vote(self, text: str, k: int) -> tuple[float, list[int], list[float]]:
@@ -93,7 +102,7 @@ class Index:
             return self.bare_rate, self.bare_ids[:k], [0.0] * len(self.bare_ids[:k])
         key = (at.tobytes(), w.tobytes())
         if key not in self.seen:
-            if len(self.seen) >= 20_000:
+            if len(self.seen) >= SEEN:
                 self.seen.clear()
             best = self.nearest(at, w, k)
             votes = np.array([1 / (0.1 + 1 - c) for c, _ in best])
@@ -103,42 +112,51 @@ class Index:
         return self.seen[key]
 
 
-def build(vocabulary: list[str], found: list[tuple[int, int, list[str], list[int]]], k: int = NEIGHBOURS) -> Index:
-    """``found``: (doc_id, label, vocabulary terms, counts) of every example."""
+def spread(starts: np.ndarray, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from starts[a] to starts[a + 1] for each a of ``at``, and the weight ``w`` of their a."""
+    n = starts[at + 1] - starts[at]
+    return np.repeat(starts[at] - n.cumsum() + n, n) + np.arange(n.sum()), np.repeat(w, n)
+
+
+def build(
+    vocabulary: list[str], found: list[tuple[int, int, list[str], list[int]]], k: int = NEIGHBOURS, scale: np.ndarray | None = None
+) -> Index:
+    """``found``: (doc_id, label, vocabulary terms, counts) of every example; ``scale``: factors of the terms' weights."""
     number = {t: i for i, t in enumerate(vocabulary)}
     n = max(1, len(found))
     df = np.zeros(len(vocabulary))
     for _, _, own, _ in found:
         df[[number[t] for t in own]] += 1
-    idf = np.log((1 + n) / (1 + df)) + 1
+    idf = (np.log((1 + n) / (1 + df)) + 1) * (1.0 if scale is None else scale)
     bare = sorted(r for r in found if not r[2])
-    # alike examples lie together, which makes the block maxima tight
-    rows = sorted((r for r in found if r[2]), key=lambda r: (sorted(r[2]), r[0]))
-    entries = []
-    for i, (_, _, own, counts) in enumerate(rows):
-        at = np.array([number[t] for t in own])
-        w = (1 + np.log(np.array(counts, float))) * idf[at]
-        entries += [(t, i, x) for t, x in zip(at, w / np.sqrt(w @ w), strict=True)]
-    entries.sort()
-    starts = np.searchsorted([e[0] for e in entries], np.arange(len(vocabulary) + 1))
-    block_max = np.zeros((len(vocabulary), -(-len(rows) // BLOCK)))
-    for t, i, x in entries:
-        block_max[t, i // BLOCK] = max(block_max[t, i // BLOCK], x)
+    # examples that share their weightiest terms lie together, which makes the block maxima tight
+    heavy = lambda own: sorted((-idf[number[t]], number[t]) for t in own)[:8]
+    rows = sorted((r for r in found if r[2]), key=lambda r: (heavy(r[2]), r[0]))
+    at, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for _, _, own, counts in rows:
+        at.append(np.array([number[t] for t in own], np.int64))
+        w = (1 + np.log(np.array(counts, float))) * idf[at[-1]]
+        weights.append(w / np.sqrt(w @ w))
+    term, weight = np.concatenate(at), np.concatenate(weights)
+    posting = np.repeat(np.arange(len(rows)), [len(x) for x in at[1:]])
+    order = np.lexsort((posting, term))
+    term, weight, posting = term[order], weight[order], posting[order]
+    begins = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(posting // BLOCK, prepend=-1))
     labels = np.array([r[1] for r in rows], int)
     base = sum(r[1] for r in found) / n
     smooth = lambda own: (sum(own) + base) / (len(own) + 1)
     return Index(
-        number, idf, np.array([r[0] for r in rows], np.int64), labels, starts,
-        np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], float), block_max,
+        number, idf, np.array([r[0] for r in rows], np.int64), labels, np.searchsorted(term[begins], np.arange(len(vocabulary) + 1)),
+        posting[begins] // BLOCK, np.maximum.reduceat(weight, begins) if len(begins) else weight, np.append(begins, len(term)), posting, weight,
         smooth(labels.tolist()), smooth([r[1] for r in bare]), [r[0] for r in bare][:k],
     )
 
 
-def fit(examples: DataFrame, min_statistic: float = MIN_STATISTIC, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Index:
+def fit(examples: DataFrame, k: int = NEIGHBOURS) -> Index:
     """Index of ``examples`` (doc_id, label, text), whose number the caller bounds.
 
     Term statistics are counted by Spark; the driver receives the vocabulary and, of each
-    example, its vocabulary terms.
+    example, the numbers of its vocabulary terms.
     """
 
     def counted(text):
@@ -151,8 +169,6 @@ def fit(examples: DataFrame, min_statistic: float = MIN_STATISTIC, max_terms: in
     rows = words.groupBy("label").count().collect()
     n1 = sum(r["count"] for r in rows if r["label"] == 1)
     n0 = sum(r["count"] for r in rows if r["label"] == 0)
-    if not n0 or not n1:
-        return build([], [(r.doc_id, r.label, [], []) for r in words.select("doc_id", "label").collect()], k)
     a, b = F.col("a"), F.col("b")
     n, df = float(n0 + n1), a + b
 
@@ -164,27 +180,27 @@ def fit(examples: DataFrame, min_statistic: float = MIN_STATISTIC, max_terms: in
         words.select("label", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
-        .where(df >= 2)
+        .where(df >= MIN_EXAMPLES)
         .select("term", statistic.alias("s"))
-        .where(F.col("s") >= min_statistic)
-        .orderBy(F.desc("s"), "term")
-        .limit(max_terms)
+        .toArrow()
+        .sort_by("term")
     )
-    chosen = sorted(r.term for r in vocabulary.collect())
-    wanted = frozenset(chosen)
+    chosen = vocabulary["term"].to_pylist()
+    number = {t: i for i, t in enumerate(chosen)}
 
     def only(own, counts):
-        pairs = [[(t, n) for t, n in zip(*x, strict=True) if t in wanted] for x in zip(own.to_pylist(), counts.to_pylist(), strict=True)]
+        pairs = [[(number[t], n) for t, n in zip(*x, strict=True) if t in number] for x in zip(own.to_pylist(), counts.to_pylist(), strict=True)]
         return [[t for t, _ in x] for x in pairs], [[n for _, n in x] for x in pairs]
 
-    found = common.with_columns(words, only, ["terms", "counts"], "own array<string>, n array<int>", ["doc_id", "label"]).collect()
-    return build(chosen, [tuple(r) for r in found], k)
+    found = common.with_columns(words, only, ["terms", "counts"], "own array<int>, n array<int>", ["doc_id", "label"]).toArrow()
+    rows = [(i, label, [chosen[t] for t in own], n) for i, label, own, n in zip(*(c.to_pylist() for c in found.columns), strict=True)]
+    return build(chosen, rows, k, 1 + vocabulary["s"].to_numpy())
 
 
 def score(df: DataFrame, index: Index, keep: list[str] | None = None, k: int = NEIGHBOURS, threshold: float = 0.7) -> DataFrame:
     """Adds score, predicted, neighbours (example ids) and cosines to every row of ``df``.
 
-    Null and empty texts get the rate of the examples without vocabulary terms.  Columns of
+    Null and empty texts get the rate of the examples without known words.  Columns of
     ``df`` with these names are replaced; repeated rows stay; an empty table stays empty.
     """
 

@@ -74,6 +74,19 @@ def test_votes_are_rates_without_terms():
     assert 0 <= empty.vote("anything", 15)[0] <= 1
 
 
+def test_every_shared_word_counts(spark):
+    """Wording of two toxic examples among many is found, and every example with a shared word can be evidence."""
+    rows = [(i, 0, f"plain words about topic t{i % 50} today") for i in range(300)]
+    rows += [(500, 1, "grumbledore snark"), (501, 1, "grumbledore snark"), (502, 0, "xyzzy plugh")]
+    index = toxicity.fit(spark.createDataFrame(rows, "doc_id long, label int, text string"))
+    assert set(index.ids.tolist()) == {*range(300), 500, 501} and index.bare_ids == [502]
+    score, evidence, _ = index.vote("what a grumbledore", 15)
+    assert score > 0.7 and evidence == [500, 501]
+    near, evidence, _ = index.vote("topic t7", 15)
+    assert near < 0.1 and evidence[:6] == [7, 57, 107, 157, 207, 257]
+    assert index.vote("frobozz", 15)[1] == [502]
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     scored = queries.op7_toxicity(spark, folder).join(common.table(spark, folder, "labels"), "doc_id").where("held_out")

@@ -196,6 +196,18 @@ def test_both_vocabulary_forms_give_the_same_ids(spark, small):
         assert ranks(t) == ids and np.frombuffer(kept.ids(t), "<u4").tolist() == ids, t[:80]
 
 
+def test_ids_are_those_of_the_unmodified_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain, kept = Tokenizer.from_file(JSON), packing.Encoder(RANKS)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f" {end} ", f"x{end}y z", f"a  {end}\n b", f"a\n{end}  b", f"é {end}, I'm {end}.", f"{end[:-1]} {end}", "a <|endof text|> b", f"{'w' * 80}{end} {'w' * 80}{end}"]
+    for t in texts:
+        ids = plain.encode(t, add_special_tokens=False).ids
+        assert packing.encoding(JSON)(t) == packing.encoding(RANKS)(t) == np.frombuffer(kept.ids(t), "<u4").tolist() == ids, t
+    assert np.frombuffer(kept.ids(f"a {end} b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_hold_everything_and_waste_little(seed):
     rng = random.Random(seed)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,29 +40,52 @@ def with_columns(
     read: Sequence[str],
     out: str,
     keep: Sequence[str] | None = None,
-    spread: Callable[[], Callable] | None = None,
 ) -> DataFrame:
     """Columns made from Arrow batches: ``make(*columns)`` returns one sequence for each of ``out``.
 
     ``keep`` names the columns that stay (all by default).  A kept column whose name clashes
-    with one of ``out`` (upper and lower case alike) gives way to it.
+    with one of ``out`` (upper and lower case alike) gives way to it.  A column that is kept and
+    read travels once.  Batches are worked through in slices of at most ``SLICE_ROWS`` rows and
+    about ``SLICE_BYTES`` bytes, so that long texts do not meet in one list.
     """
     fields = T.StructType.fromDDL(out)
     taken = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__read{i}") for i, c in enumerate(read)])
+    more = [c for c in dict.fromkeys(read) if c not in kept]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__read{i}") for i, c in enumerate(more)])
     schema = T.StructType([*source.schema.fields[: len(kept)], *fields])
     types = [to_arrow_schema(T.StructType([f])).field(0).type for f in fields]
+    at = [[*kept, *more].index(c) for c in read]
+    many = len(kept)
 
     def run(batches):
         for batch in batches:
-            made = make(*batch.columns[len(kept) :])
-            arrays = [*batch.columns[: len(kept)], *(pa.array(m, t) for m, t in zip(made, types, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            for part in slices(batch):
+                made = make(*(part.column(i) for i in at))
+                arrays = [*part.columns[:many], *(pa.array(m, t) for m, t in zip(made, types, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+#: Bounds of what a task works on at once.
+SLICE_ROWS = 2_000
+SLICE_BYTES = 16_000_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of ``batch``; a part above ``SLICE_BYTES`` is halved down to single rows."""
+    todo = [batch.slice(low, SLICE_ROWS) for low in range(0, batch.num_rows, SLICE_ROWS)] or [batch]
+    todo.reverse()
+    while todo:
+        part = todo.pop()
+        if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def texts(column) -> list[str]:
     """The strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

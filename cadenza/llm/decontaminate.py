@@ -236,7 +236,11 @@ def matches(df: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
 
 
 def clean(df: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """The rows of ``df`` in whose text no passage stands, with all columns."""
+    """The rows of ``df`` in whose text no passage stands, with all columns.
+
+    Null and empty texts hold no passage and stay; repeated rows share their verdict; without
+    passages every row stays; an empty table stays empty.
+    """
     out = df
     for passages in blocks(benchmark):
         flagged = common.with_columns(out, counter(passages, edits), ["text"], "__places int")

@@ -209,7 +209,11 @@ def score(df: DataFrame, model: Model, keep: list[str] | None = None, threshold:
 
 
 def accepted(df: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``df`` whose score is at least ``threshold``, with all columns."""
+    """The rows of ``df`` whose score is at least ``threshold``, with all columns.
+
+    Null and empty texts are scored like any other; repeated rows share their verdict; an empty
+    table stays empty.
+    """
 
     def enough(text):
         return [model.score(measured(text)) >= threshold]

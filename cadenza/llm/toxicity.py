@@ -4,9 +4,12 @@ Terms are lower-cased word tokens.  The vocabulary holds every term that two lab
 share.  A term's weight is its inverse document frequency, scaled up by how much its presence
 differs between the two classes (likelihood-ratio statistic), so that the cosine follows wording
 that bears on the label before length or topic.  Examples are indexed in an inverted index whose
-postings are cut into blocks of examples; each block keeps the largest weight of every term.  A
-query visits blocks in the order of their upper bounds and stops when no block can still hold a
-nearer example: the neighbours are exact.
+postings are cut into blocks of examples.  Most terms have few postings, which are added up
+directly.  The few very frequent terms keep, for every block, their largest weight there and all
+weights of the block as a small matrix: what the rare terms gave plus the block maxima bounds every
+example of a block, blocks are visited in the order of these bounds, and those whose bound lies
+below the k-th cosine found are passed over: the neighbours are exact.  Texts are searched in
+groups, so that a block is visited once for all texts that need it.
 
 Votes are weighted by nearness and smoothed with the rate among all examples of the same kind
 (with or without vocabulary terms), which keeps scores calibrated where neighbours are few.
@@ -19,6 +22,7 @@ that is scored is scored whole.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -34,9 +38,12 @@ MAX_EXAMPLES = 8_000
 MIN_EXAMPLES = 2
 NEIGHBOURS = 15
 BLOCK = 64
-#: Blocks that a query visits first; then twice as many, and so on.
-VISITED = 4
-SEEN = 2_000
+#: So many of the most frequent terms have block maxima and block matrices.
+FREQUENT = 384
+#: Blocks that a text visits first, then next; then all whose bounds still reach.
+VISITED = (2, 8)
+#: Texts that are searched together.
+GROUP = 128
 TERM = re.compile(r"\w+")
 
 
@@ -54,16 +61,26 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    starts: np.ndarray  # of each term's entries, one for each block that holds the term
-    block: np.ndarray  # of each entry
-    largest: np.ndarray  # weight of each entry
-    ends: np.ndarray  # where each entry's postings begin, and those of the next
+    frequent: np.ndarray  # of each term, its number among the frequent ones, or -1
+    starts: np.ndarray  # of each term's postings, and those of the next
     posting: np.ndarray  # example numbers, ascending within a term
     weight: np.ndarray
     rate: float  # of label 1 among examples with vocabulary terms
     bare_rate: float  # and among those without
     bare_ids: list[int]
-    seen: dict = field(default_factory=dict)
+    blocks: np.ndarray | None = field(default=None, repr=False)  # [block, frequent term, example]
+
+    def __getstate__(self):
+        return self.__dict__ | {"blocks": None}
+
+    def matrices(self) -> np.ndarray:
+        """Weights of the frequent terms, a matrix for each block; made once where it is used."""
+        if self.blocks is None:
+            chosen = np.flatnonzero(self.frequent >= 0)
+            own, term = spread(self.starts, chosen, self.frequent[chosen])
+            self.blocks = np.zeros((-(-len(self.ids) // BLOCK), len(chosen), BLOCK))
+            self.blocks[self.posting[own] // BLOCK, term, self.posting[own] % BLOCK] = self.weight[own]
+        return self.blocks
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit weights of the vocabulary terms of a text."""
@@ -74,42 +91,80 @@ class Index:
         w = np.array([1 + math.log(n) for _, n in found]) * self.idf[at]
         return at, w / math.sqrt(float(w @ w))
 
+    def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, term number, unit weight) of every vocabulary term of every text."""
+        size, absent = len(self.vocabulary), itertools.repeat(-1)
+        found = [np.array(list(map(self.vocabulary.get, TERM.findall(t.lower()), absent)), np.int64) for t in texts]
+        term = np.concatenate([*found, np.zeros(0, np.int64)])
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        key, n = np.unique((row * size + term)[term >= 0], return_counts=True)
+        row, term = key // max(1, size), key % max(1, size)
+        w = (1 + np.log(n)) * self.idf[term]
+        return row, term, w / np.sqrt(np.bincount(row, w * w, minlength=len(texts)))[row]
+
+    def search(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, texts: int, k: int) -> list[list[tuple[float, int]]]:
+        """For each of ``texts`` vectors the k examples of largest cosine as (cosine, example number); ties by number."""
+        matrices = self.matrices()
+        many, size = len(matrices), len(matrices) * BLOCK
+        if not many:
+            return [[] for _ in range(texts)]
+        rare = self.frequent[term] < 0
+        i, x = spread(self.starts, term[rare], w[rare])
+        at = spread(self.starts, term[rare], row[rare])[1]
+        near = np.bincount(at * size + self.posting[i], x * self.weight[i], minlength=texts * size).astype(float).reshape(texts, many, BLOCK)
+        query = np.zeros((texts, matrices.shape[1]))
+        query[row[~rare], self.frequent[term[~rare]]] = w[~rare]
+        bounds = near.max(axis=2) + query @ matrices.max(axis=2).T
+        order = np.argsort(-bounds, axis=1)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(many)[None, :], axis=1)
+        visited = np.zeros(bounds.shape, bool)
+        least = np.zeros(texts)
+        for most in (*VISITED, many):
+            # a bound that only ties with the k-th cosine may still hold a smaller number
+            wanted = (rank < most) & ~visited & (bounds > 0) & (bounds >= least[:, None] - 1e-9)
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows = np.flatnonzero(wanted[:, b])
+                near[rows, b] += query[rows] @ matrices[b]
+            visited |= wanted
+            first = np.take_along_axis(near, order[:, : min(most, VISITED[-1]), None], axis=1).reshape(texts, -1)
+            seen = np.take_along_axis(visited, order[:, : min(most, VISITED[-1])], axis=1)
+            first[np.repeat(~seen, BLOCK, axis=1)] = 0
+            if most < many and first.shape[1] >= k:
+                least = np.partition(first, -k, axis=1)[:, -k]
+        near[~visited] = 0
+        near = near.reshape(texts, size)
+        q, number = np.nonzero((near > 0) & (near >= least[:, None] - 1e-9))
+        cosine = np.round(near[q, number], 12)
+        sort = np.lexsort((number, -cosine, q))
+        q, number, cosine = q[sort], number[sort].tolist(), cosine[sort].tolist()
+        begin = np.searchsorted(q, np.arange(texts + 1)).tolist()
+        return [list(zip(cosine[a : min(a + k, b)], number[a : min(a + k, b)], strict=True)) for a, b in itertools.pairwise(begin)]
+
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k examples of largest cosine as (cosine, example number); ties by number."""
-        entry, x = spread(self.starts, at, w)
-        block = self.block[entry]
-        bounds = np.bincount(block, x * self.largest[entry], minlength=-(-len(self.ids) // BLOCK))
-        order = np.argsort(-bounds, kind="stable")[: np.count_nonzero(bounds > 0)]
-        best: list[tuple[float, int]] = []
-        low, step = 0, VISITED
-        # a bound that only ties with the k-th cosine may still hold a smaller number
-        while low < len(order) and (len(best) < k or bounds[order[low]] >= best[-1][0] - 1e-9):
-            visited = np.zeros(len(bounds), bool)
-            visited[order[low : low + step]] = True
-            own = visited[block]
-            i, y = spread(self.ends, entry[own], x[own])
-            near = np.round(np.bincount(self.posting[i], y * self.weight[i], minlength=len(self.ids)), 12)
-            found = np.flatnonzero(near)
-            if len(found) > k:
-                found = found[near[found] >= np.partition(near[found], -k)[-k]]
-            best = sorted([*best, *zip(near[found].tolist(), found.tolist(), strict=True)], key=lambda p: (-p[0], p[1]))[:k]
-            low, step = low + step, 2 * step
-        return best
+        """The k examples of largest cosine with one vector."""
+        return self.search(np.zeros(len(at), np.int64), at, w, 1, k)[0]
+
+    def votes(self, texts: list[str], k: int) -> list[tuple[float, list[int], list[float]]]:
+        """(score, ids of the neighbours, their cosines) of every text; equal texts are searched once."""
+        number = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        unique = list(number)
+        found: list[tuple[float, list[int], list[float]]] = []
+        for low in range(0, len(unique), GROUP):
+            group = unique[low : low + GROUP]
+            row, term, w = self.vectors(group)
+            known = np.bincount(row, minlength=len(group)) > 0
+            for best, any_ in zip(self.search(row, term, w, len(group), k), known, strict=True):
+                if not any_:
+                    found.append((self.bare_rate, self.bare_ids[:k], [0.0] * len(self.bare_ids[:k])))
+                    continue
+                near = [1 / (0.1 + 1 - c) for c, _ in best]
+                own = sum(v for v, (_, i) in zip(near, best, strict=True) if self.labels[i])
+                found.append(((own + self.rate) / (sum(near) + 1), [int(self.ids[i]) for _, i in best], [c for c, _ in best]))
+        return [found[number[t]] for t in texts]
 
     def vote(self, text: str, k: int) -> tuple[float, list[int], list[float]]:
-        at, w = self.vector(terms(text, self.vocabulary))
-        if not len(at):
-            return self.bare_rate, self.bare_ids[:k], [0.0] * len(self.bare_ids[:k])
-        key = (at.tobytes(), w.tobytes())
-        if key not in self.seen:
-            if len(self.seen) >= SEEN:
-                self.seen.clear()
-            best = self.nearest(at, w, k)
-            votes = np.array([1 / (0.1 + 1 - c) for c, _ in best])
-            own = np.array([self.labels[i] for _, i in best], float)
-            score = float((votes @ own + self.rate) / (votes.sum() + 1)) if best else self.rate
-            self.seen[key] = score, [int(self.ids[i]) for _, i in best], [c for c, _ in best]
-        return self.seen[key]
+        return self.votes([text], k)[0]
 
 
 def spread(starts: np.ndarray, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,14 +195,16 @@ def build(
     term, weight = np.concatenate(at), np.concatenate(weights)
     posting = np.repeat(np.arange(len(rows)), [len(x) for x in at[1:]])
     order = np.lexsort((posting, term))
-    term, weight, posting = term[order], weight[order], posting[order]
-    begins = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(posting // BLOCK, prepend=-1))
+    term, weight, posting = term[order], weight[order], posting[order].astype(np.int32)
+    starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+    frequent = np.full(len(vocabulary), -1)
+    most = np.argsort(-np.diff(starts), kind="stable")[:FREQUENT]
+    frequent[most] = np.argsort(np.argsort(most))
     labels = np.array([r[1] for r in rows], int)
     base = sum(r[1] for r in found) / n
     smooth = lambda own: (sum(own) + base) / (len(own) + 1)
     return Index(
-        number, idf, np.array([r[0] for r in rows], np.int64), labels, np.searchsorted(term[begins], np.arange(len(vocabulary) + 1)),
-        posting[begins] // BLOCK, np.maximum.reduceat(weight, begins) if len(begins) else weight, np.append(begins, len(term)), posting, weight,
+        number, idf, np.array([r[0] for r in rows], np.int64), labels, frequent, starts, posting, weight,
         smooth(labels.tolist()), smooth([r[1] for r in bare]), [r[0] for r in bare][:k],
     )
 
@@ -205,7 +262,7 @@ def score(df: DataFrame, index: Index, keep: list[str] | None = None, k: int = N
     """
 
     def voted(text):
-        got = [index.vote(t, k) for t in common.texts(text)]
+        got = index.votes(common.texts(text), k)
         scores = [g[0] for g in got]
         return scores, [int(s >= threshold) for s in scores], [g[1] for g in got], [g[2] for g in got]
 
@@ -213,10 +270,14 @@ def score(df: DataFrame, index: Index, keep: list[str] | None = None, k: int = N
 
 
 def harmless(df: DataFrame, index: Index, k: int = NEIGHBOURS, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``df`` whose score is below ``threshold``, with all columns."""
+    """The rows of ``df`` whose score is below ``threshold``, with all columns.
+
+    Null and empty texts are judged by the rate of the examples without known words; repeated
+    rows share their verdict and stay or go together; an empty table stays empty.
+    """
 
     def below(text):
-        return [[index.vote(t, k)[0] < threshold for t in common.texts(text)]]
+        return [[v[0] < threshold for v in index.votes(common.texts(text), k)]]
 
     return common.with_columns(df, below, ["text"], "__harmless boolean").where("__harmless").select(df.columns)
 

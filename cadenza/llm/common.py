@@ -40,13 +40,14 @@ def with_columns(
     read: Sequence[str],
     out: str,
     keep: Sequence[str] | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Columns made from Arrow batches: ``make(*columns)`` returns one sequence for each of ``out``.
 
     ``keep`` names the columns that stay (all by default).  A kept column whose name clashes
     with one of ``out`` (upper and lower case alike) gives way to it.  A column that is kept and
     read travels once.  Batches are worked through in slices of at most ``SLICE_ROWS`` rows and
-    about ``SLICE_BYTES`` bytes, so that long texts do not meet in one list.
+    about ``limit`` bytes (``SLICE_BYTES`` by default), so that long texts do not meet in one list.
     """
     fields = T.StructType.fromDDL(out)
     taken = {f.name.lower() for f in fields}
@@ -60,7 +61,7 @@ def with_columns(
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit or SLICE_BYTES):
                 made = make(*(part.column(i) for i in at))
                 arrays = [*part.columns[:many], *(pa.array(m, t) for m, t in zip(made, types, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
@@ -73,13 +74,13 @@ SLICE_ROWS = 2_000
 SLICE_BYTES = 16_000_000
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of ``batch``; a part above ``SLICE_BYTES`` is halved down to single rows."""
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of ``batch``; a part above ``limit`` bytes is halved down to single rows."""
     todo = [batch.slice(low, SLICE_ROWS) for low in range(0, batch.num_rows, SLICE_ROWS)] or [batch]
     todo.reverse()
     while todo:
         part = todo.pop()
-        if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+        if part.num_rows > 1 and part.nbytes > limit:
             half = part.num_rows // 2
             todo += [part.slice(half), part.slice(0, half)]
         else:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import common, decontaminate, gam, html, outliers, packing, pitman_yor, quotes, simhash, toxicity, warc
+from cadenza.llm import bpe, common, decontaminate, gam, html, outliers, packing, pitman_yor, quotes, resample, simhash, toxicity, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,23 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", ~F.col("train")).drop("train")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(common.table(spark, sf_dir, "documents"), path, ["doc_id"]), path, ["doc_id", "ids"])
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -74,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_outliers": op9_outliers,
     "op10_pitman_yor": op10_pitman_yor,
+    "op11_bpe": op11_bpe,
+    "op12_resample": op12_resample,
 }
 
 SQL: dict[str, str] = {

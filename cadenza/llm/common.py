@@ -74,9 +74,9 @@ SLICE_ROWS = 2_000
 SLICE_BYTES = 16_000_000
 
 
-def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of ``batch``; a part above ``limit`` bytes is halved down to single rows."""
-    todo = [batch.slice(low, SLICE_ROWS) for low in range(0, batch.num_rows, SLICE_ROWS)] or [batch]
+    todo = [batch.slice(low, rows) for low in range(0, batch.num_rows, rows)] or [batch]
     todo.reverse()
     while todo:
         part = todo.pop()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, common, decontaminate, gam, html, outliers, packing, pitman_yor, quotes, resample, simhash, toxicity, warc
+from cadenza.llm import bpe, common, decontaminate, gam, html, outliers, packing, pitman_yor, quotes, resample, simhash, toxicity, trie, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(common.table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -93,10 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pitman_yor": op10_pitman_yor,
     "op11_bpe": op11_bpe,
     "op12_resample": op12_resample,
+    "op13_trie": op13_trie,
 }
 
 SQL: dict[str, str] = {
     "op4_quotes": quotes.SQL,
+    "op13_trie": trie.SQL,
     "op6_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

@@ -393,25 +393,136 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+# --- near copies by similarity ----------------------------------------------------------------
+
 #: For pairs of similarity 0.8 (Jaccard of five-word shingles): their cosine is about 8/9, so that 0.15 of the bits differ.
 NEAR_WORDS = 5
-NEAR_BITS = 12
+NEAR_BITS = 14
 NEAR_MORE = 2
-NEAR_TOTAL = 33
+NEAR_TOTAL = 40
+SIMILARITY = 0.8
+#: Most texts, and shingles of texts, that are compared in one group.
+GROUP_TEXTS = 4_096
+GROUP_SHINGLES = 2_000_000
+
+
+def shingles(text: str, words: int = NEAR_WORDS) -> np.ndarray:
+    """Distinct hashes of the shingles; the whole sequence is one if it is shorter, also the empty one."""
+    own = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    joined = b" ".join(own)
+    ends = list(itertools.accumulate((len(w) + 1 for w in own), initial=0))
+    spans = [(a, b - 1) for a, b in zip(ends, ends[words:], strict=False)] or [(0, len(joined))]
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
+
+
+def similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest over the pairs of ``sets`` (distinct numbers) with Jaccard ``least`` or more.
+
+    A breadth-first walk: what a set shares with all others is counted along the postings of its
+    members; a set that is reached is not compared again as a target.
+    """
+    if len(sets) == 2:
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if shared >= least * (len(sets[0]) + len(sets[1]) - shared) else []
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    unique, member = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(member, kind="stable")
+    posting, starts = row[order], np.searchsorted(member[order], np.arange(len(unique) + 1))
+    begin = np.cumsum(size) - size
+    free = np.ones(len(sets), bool)
+    found = []
+    for first in range(len(sets)):
+        if not free[first]:
+            continue
+        free[first], queue = False, [first]
+        while queue and free.any():
+            i = queue.pop()
+            own = member[begin[i] : begin[i] + size[i]]
+            n = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - n.cumsum() + n, n) + np.arange(n.sum())
+            shared = np.bincount(posting[at], minlength=len(sets))
+            near = np.flatnonzero(free & (shared >= least * (size[i] + size - shared)))
+            free[near] = False
+            queue += near.tolist()
+            found += [(i, j) for j in near.tolist()]
+    return found
+
+
+def verified(groups: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between similar nodes of each group of ``groups`` (root, i, j, node, set), which lies together and in order."""
+
+    def run(batches):
+        key, node, sets = None, [], []
+
+        def links():
+            pairs = similar(sets, least) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([node[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for part in common.slices(batch):
+                keys = zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)
+                for own, n, x in zip(keys, part.column(3).to_pylist(), part.column(4), strict=True):
+                    if own != key:
+                        yield links()
+                        key, node, sets = own, [], []
+                    node.append(n)
+                    sets.append(x.values.to_numpy().view(np.uint64))
+        yield links()
+
+    by = ["root", "i", "j"]
+    return groups.select(*by, "node", "set").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+
+
+def similar_components(df: DataFrame, words: int = NEAR_WORDS, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` as (doc_id, __node), on disk, and (node, root) of every text with a similar other text.
+
+    Equal texts are one node.  SimHash links (at most NEAR_BITS of 64 bits and NEAR_TOTAL of all)
+    gather what may be similar in components; inside these the Jaccard similarity of the shingle
+    sets is exact, and only pairs with ``least`` or more link.  A component with many
+    texts or shingles is dealt into blocks, and every two blocks are compared as one group.
+    """
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = df.select("doc_id", "text").withColumn("__node", node)
+    marked = common.stage(fingerprints(texts, words, ["doc_id", "__node"], NEAR_MORE), "marked")
+    names = ["fp", *(f"w{i}" for i in range(1, NEAR_MORE + 1))]
+    nodes = common.stage(marked.groupBy(F.col("__node").alias("node")).agg(*[F.first(n).alias(n) for n in names]), "nodes")
+    loose = common.stage(components(links(nodes, NEAR_BITS, NEAR_TOTAL)).select(F.col("fp").alias("__node"), "root"), "loose")
+    linked = texts.drop("doc_id").join(common.small(loose), "__node").dropDuplicates(["__node"])
+    sets = common.stage(
+        common.with_columns(linked, lambda text: [[shingles(t, words).view(np.int64) for t in common.texts(text)]], ["text"], "set array<long>", ["__node", "root"]).withColumnRenamed("__node", "node"),
+        "sets",
+    )
+    sizes = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("set")).alias("m"))
+    blocks = F.greatest(F.ceil(2 * F.col("n") / GROUP_TEXTS), F.ceil(2 * F.col("m") / GROUP_SHINGLES))
+    whole = (F.col("n") <= GROUP_TEXTS) & (F.col("m") <= GROUP_SHINGLES)
+    dealt = sets.join(common.small(common.stage(sizes.withColumn("blocks", F.when(whole, 1).otherwise(blocks)).drop("n", "m"), "sizes")), "root")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
+    each = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    groups = each.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return marked.select("doc_id", "__node"), components(verified(groups, least).distinct()).withColumnRenamed("fp", "node")
 
 
-def distinct_documents(df: DataFrame) -> DataFrame:
+def distinct_documents(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` without near copies: of each group the row with the smallest doc_id stays.
 
-    Groups come from SimHashes of five-word shingles that estimate a similarity of 0.8 or more
-    (at most NEAR_BITS of the first 64 bits and NEAR_TOTAL of all differ).  Of repeated rows with one
-    doc_id one stays.  Rows without doc_id cannot be named by a decision and stay.
+    Groups are texts linked by a Jaccard similarity of five-word shingles of ``least`` or more.
+    Rows are judged by doc_id and text together: of repeated rows one stays, and different texts under one
+    doc_id are judged apart.  Null and empty texts are copies of each other.  Rows without doc_id
+    cannot be named by a decision and stay.  An empty table stays empty.
     """
-    found = near_duplicates(df, NEAR_WORDS, NEAR_BITS, ("doc_id",), NEAR_MORE, NEAR_TOTAL).where("doc_id is not null")
-    found = common.stage(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "groups")
-    gone = common.stage(found.where((F.col("doc_id") != F.col("component_id")) | (F.col("n") > 1)).select("doc_id"), "copies")
-    unique = df.join(common.small(gone), "doc_id", "left_anti")
-    repeated = found.where((F.col("doc_id") == F.col("component_id")) & (F.col("n") > 1)).select("doc_id")
+    marked, roots = similar_components(df, least=least)
+    rows = marked.where("doc_id is not null").groupBy("doc_id", "__node").agg(F.count("*").alias("n"))
+    rooted = rows.join(common.small(common.stage(roots.withColumnRenamed("node", "__node"), "roots")), "__node", "left")
+    rooted = common.stage(rooted.withColumn("root", F.coalesce("root", "__node")), "rows")
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "__node")).alias("first"), F.count("*").alias("many")).where("many > 1")
+    losing = rooted.join(common.small(common.stage(first, "first")), "root").where(F.struct("doc_id", "__node") != F.col("first"))
+    key = ["doc_id", "__node"]
+    gone = common.stage(losing.select(*key), "copies")
+    named = df.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    unique = named.join(common.small(gone), key, "left_anti")
+    repeated = rooted.where("n > 1").join(gone, key, "left_anti").select(*key)
     if repeated.isEmpty():
         return unique.select(df.columns)
-    return unique.select(df.columns).unionByName(df.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(df.columns))
+    once = named.join(repeated, key, "left_semi").dropDuplicates(key).select(df.columns)
+    return unique.join(repeated, key, "left_anti").select(df.columns).unionByName(once)

@@ -118,6 +118,60 @@ def test_near_copies_go_and_others_stay(spark):
     assert left >= set(range(60)) and len(left & copies) <= 1
 
 
+def plain_groups(sets, least):
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_similar_sets_link_like_all_pairs():
+    rng = random.Random(4)
+    for _ in range(60):
+        base = rng.sample(range(500), 40)
+        sets = [set(rng.sample(base, rng.randint(30, 40)) + rng.sample(range(500), rng.randint(0, 8))) for _ in range(rng.randint(2, 25))]
+        links = simhash.similar([np.array(sorted(s), np.uint64) for s in sets], 0.8)
+        parent = list(range(len(sets)))
+        for _ in sets:
+            for a, b in links:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        assert len(links) < len(sets) and parent == plain_groups(sets, 0.8)
+
+
+@pytest.mark.parametrize(("texts", "total"), [(4_096, 2_000_000), (3, 2_000_000), (4_096, 500)])
+def test_copies_by_exact_similarity(spark, monkeypatch, texts, total):
+    """Pairs around 0.8: none below goes, nearly all above do, whatever the size of the groups."""
+    monkeypatch.setattr(simhash, "GROUP_TEXTS", texts)
+    monkeypatch.setattr(simhash, "GROUP_SHINGLES", total)
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choices("abcdefghijklm", k=6)) for _ in range(n)]
+    rows, near = [], {}
+    for i in range(150):
+        own = words(rng.randint(80, 200))
+        rows.append((i, " ".join(own)))
+        copy = list(own)
+        for at in rng.sample(range(len(own)), rng.randint(1, 5)):
+            copy[at] = "changed"
+        rows.append((1_000 + i, " ".join(copy)))
+        a, b = (set(simhash.shingles(t).tolist()) for t in (rows[-2][1], rows[-1][1]))
+        near[1_000 + i] = len(a & b) / len(a | b)
+    rows += [(3, "unlike " + " ".join(words(90))), (2_000, rows[0][1]), (2_000, "unlike " + " ".join(words(90)))]
+    left = collections.Counter(r.doc_id for r in simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left[3] == 2 and left[2_000] == 1 and all(left[i] == 1 for i in range(150) if i != 3)
+    assert all(left[i] for i, x in near.items() if x < 0.8)
+    above = [i for i, x in near.items() if x >= 0.8]
+    assert len(above) > 50 and sum(not left[i] for i in above) >= 0.93 * len(above)
+
+
 # --- extraction ----------------------------------------------------------------------------
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{x:"</p>"}</style></head><body class="has-sidebar"><div id="header"><a href="/">Home</a></div>

@@ -265,19 +265,24 @@ def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values))
 
 
-def encode(df: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Adds ids and offsets (of each token, in bytes of the UTF-8 text) to every row of ``df`` (text).
 
-    ``path`` names ranks of a byte-level vocabulary.  Null and empty texts have no ids.  Columns
-    with these names are replaced; repeated rows stay; an empty table stays empty.
+    ``path`` names ranks of a byte-level vocabulary.  With ``decoded`` the ids are decoded at once and
+    their bytes are added, which saves sending long lists of ids to another Python stage.  Null and
+    empty texts have no ids.  Columns with these names are replaced; repeated rows stay; an empty
+    table stays empty.
     """
 
     def encoded(text):
+        words = vocabulary(path)
         data, starts = flat(text)
-        ids, offsets, ends = vocabulary(path).encode(data, starts)
-        return lists(ids, ends), lists(offsets, ends)
+        ids, offsets, ends = words.encode(data, starts)
+        out = [lists(ids, ends), lists(offsets, ends)]
+        return [*out, pa.array(words.decode(ids, offsets, ends), pa.binary())] if decoded else out
 
-    return common.with_columns(df, encoded, ["text"], "ids array<int>, offsets array<int>", keep, SLICE_BYTES)
+    out = "ids array<int>, offsets array<int>" + (", bytes binary" if decoded else "")
+    return common.with_columns(df, encoded, ["text"], out, keep, SLICE_BYTES)
 
 
 def flat(text: pa.Array) -> tuple[bytes, np.ndarray]:

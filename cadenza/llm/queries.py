@@ -65,7 +65,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(common.table(spark, sf_dir, "documents"), path, ["doc_id"]), path, ["doc_id", "ids"])
+    decoded = bpe.encode(common.table(spark, sf_dir, "documents"), path, ["doc_id"], decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select(
         "doc_id",

@@ -92,6 +92,8 @@ def test_bpe_of_odd_rows(odd, library):
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.bytes) == (r.text or "").encode()
         assert [bytes(r.bytes)[o : o + 3] for o in r.offsets[:5]] == [(r.text or "").encode()[o : o + 3] for o in r.offsets[:5]]
     assert bpe.decode(bpe.encode(odd.limit(0), PATH), PATH).count() == 0
+    both = bpe.encode(odd, PATH, ["doc_id"], decoded=True).collect()
+    assert sorted(bytes(r.bytes) for r in both) == sorted((r.text or "").encode() for r in odd.collect())
     nothing = odd.selectExpr("doc_id", "cast(null as array<int>) ids", "cast(null as array<int>) offsets")
     assert all(bytes(r.bytes) == b"" for r in bpe.decode(nothing, PATH).collect())
 

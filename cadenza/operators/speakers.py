@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import overlap_ms, ratio
 from cadenza.operators.intervals import BIN_MS, interval_pairs
-from cadenza.timeline import KEY, SLICE, neighbour, numbered, running, settle, with_facts, with_slice
+from cadenza.timeline import KEY, SLICE, SLICE_MS, known, neighbour, numbered, settle, with_facts, with_slice
 
 SEGMENTS_PER_PART = 256
 EPSILON_MS = 100
@@ -41,43 +42,91 @@ def detect_overlaps(diarization: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
     )
 
 
-def _islands(df: DataFrame, column: str, reach: int, keys: list[str], out: str, width: int) -> DataFrame:
-    """Number runs of rows whose ``column`` values chain in steps below ``reach``."""
-    order = [column, "first_turn", "second_turn"]
-    rows = neighbour(with_slice(df, column, width), [column], order, "_before", keys)
-    starts = F.col("_before").isNull() | (F.col(column) - F.col(f"_before.{column}") >= reach)
-    head = F.when(starts, F.col(column))
-    placed = running(rows.withColumn("_head", head), F.col("_head"), order, "_prior", "max", keys)
-    return placed.withColumn(out, F.coalesce("_head", "_prior")).drop("_before", "_head", "_prior", SLICE)
+_STRIP = "array<struct<first_turn:bigint,second_turn:bigint,start_ms:bigint,end_ms:bigint>>"
+
+
+def _kept(rows: list[tuple], around: list[tuple], eps: int) -> list[tuple]:
+    """The rows (first_turn, second_turn, start, end) that survive, in order, beside the kept rows ``around``.
+
+    Kept rows lie in a grid of cells of ``eps``; a cell holds one of them at most, and only the
+    nine cells around a row can hold one that is near.
+    """
+    grid: dict[tuple[int, int], tuple[int, int]] = {}
+    out = []
+    given = set(around)
+    for row in sorted([*rows, *given]):
+        start, end = row[2], row[3]
+        x, y = start // eps, end // eps
+        if row not in given and any(
+            (k := grid.get((i, j))) is not None and abs(k[0] - start) < eps and abs(k[1] - end) < eps for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1)
+        ):
+            continue
+        grid[x, y] = (start, end)
+        if row not in given:
+            out.append(row)
+    return out
+
+
+def _settle_slices(slices: DataFrame, keys: list[str], eps_ms: int) -> DataFrame:
+    """(keys, slice, kept, low, high): what survives of each slice beside what its neighbours keep at the border.
+
+    ``low`` and ``high`` are the kept rows within ``eps_ms`` of the slice's own borders.
+    """
+
+    def settled(items: pd.Series, around: pd.Series, number: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows, other, n in zip(items, around, number):
+            own = [(r["first_turn"], r["second_turn"], r["start_ms"], r["end_ms"]) for r in rows]
+            kept = _kept(own, [(r["first_turn"], r["second_turn"], r["start_ms"], r["end_ms"]) for r in other], eps_ms)
+            begin, end = n * SLICE_MS, (n + 1) * SLICE_MS
+            strip = lambda chosen: [dict(zip(("first_turn", "second_turn", "start_ms", "end_ms"), k)) for k in chosen]
+            out.append((strip(kept), strip(k for k in kept if k[2] < begin + eps_ms), strip(k for k in kept if k[2] > end - eps_ms)))
+        return pd.DataFrame(out, columns=["kept", "low", "high"])
+
+    settle_rows = F.pandas_udf(settled, f"struct<kept:{_STRIP},low:{_STRIP},high:{_STRIP}>")
+    return slices.select(*keys, SLICE, settle_rows("items", "around", SLICE).alias("s")).select(*keys, SLICE, "s.*")
 
 
 def dedupe_overlaps(overlaps: DataFrame, eps_ms: int = EPSILON_MS, by_speakers: bool = False) -> DataFrame:
     """Drop near-duplicates: both ends within ``eps_ms`` of an overlap kept before.
 
-    Whether an overlap survives depends only on earlier ones that chain to it in steps
-    below ``eps_ms``, so copies of the same span are first folded to the earliest, the rest
-    is split into islands by start and then by end, and each island is settled on its own.
+    Copies of the same span are first folded to the earliest; slices of five minutes are then settled
+    at once, each by a walk over a grid of kept overlaps.  Only overlaps within ``eps_ms`` of a slice border
+    can be decided by another slice: slices whose neighbours keep something there are settled anew
+    until nothing changes at any border.  The rule has one consistent answer (it looks at earlier
+    overlaps only), so that is the answer of the walk over the whole recording.  Rounds are as
+    many as the slices that one unbroken chain of near overlaps decides, usually two.
     """
     keys = [KEY, "speakers"] if by_speakers else [KEY]
     order = F.struct("first_turn", "second_turn")
     value = F.struct("first_turn", "second_turn", "duration_ms", *([] if by_speakers else ["speakers"]), "overlap_type")
     single = (
-        overlaps.groupBy(*keys, "start_ms", "end_ms")
+        known(overlaps).groupBy(*keys, "start_ms", "end_ms")
         .agg(F.min_by(value, order).alias("v"))
         .select(*keys, "start_ms", "end_ms", "v.*")
     )
-    by_start = settle(_islands(settle(single), "start_ms", eps_ms, keys, "_i", 300_000))
-    by_end = _islands(by_start, "end_ms", eps_ms, [*keys, "_i"], "_j", 300_000)
-    rest = [c for c in single.columns if c not in (*keys, "first_turn", "second_turn")]
-    row = F.struct("first_turn", "second_turn", *rest)
-    near = lambda a, b: (F.abs(a["start_ms"] - b["start_ms"]) < eps_ms) & (F.abs(a["end_ms"] - b["end_ms"]) < eps_ms)
-    settled = F.aggregate(
-        "_rows",
-        F.slice("_rows", 1, 0),
-        lambda kept, x: F.when(F.exists(kept, lambda k: near(x, k)), kept).otherwise(F.array_append(kept, x)),
-    )
-    first = by_end.groupBy(*keys, "_i", "_j").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    return first.select(*keys, F.explode(settled).alias("x")).select(*keys, "x.*").select(*overlaps.columns)
+    single = settle(with_slice(single, "start_ms", SLICE_MS))
+    number = ("first_turn", "second_turn", "start_ms", "end_ms")
+    item = F.struct(*[F.col(c).cast("bigint").alias(c) for c in number])
+    slices = single.groupBy(*keys, SLICE).agg(F.collect_list(item).alias("items"))
+    none = F.array().cast(_STRIP)
+    now = settle(_settle_slices(slices.withColumn("around", none), keys, eps_ms).withColumn("around", none))
+    while True:
+        # what each slice keeps at its borders, as its neighbours see it
+        given = now.select(*keys, (F.col(SLICE) + 1).alias(SLICE), F.col("high").alias("strip")).unionAll(
+            now.select(*keys, (F.col(SLICE) - 1).alias(SLICE), F.col("low").alias("strip"))
+        )
+        met = given.where(F.size("strip") > 0).groupBy(*keys, SLICE).agg(F.array_sort(F.flatten(F.collect_list("strip"))).alias("around"))
+        beside_it = now.join(met.withColumnRenamed("around", "_around"), [*keys, SLICE], "left")
+        around = F.coalesce("_around", none)
+        stale = settle(beside_it.where(around != F.col("around")).select(*keys, SLICE, around.alias("around")))
+        if stale.isEmpty():
+            break
+        again = settle(_settle_slices(slices.join(stale, [*keys, SLICE]), keys, eps_ms).join(stale, [*keys, SLICE]))
+        rest = now.join(stale.select(*keys, SLICE), [*keys, SLICE], "left_anti")
+        now = settle(rest.unionByName(again))
+    kept = now.select(*keys, F.explode("kept").alias("k")).select(*keys, *[F.col(f"k.{c}").alias(c) for c in number])
+    return single.join(kept, [*keys, *number], "left_semi").select(*overlaps.columns)
 
 
 def assign_speakers(segments: DataFrame, diarization: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:

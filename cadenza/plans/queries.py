@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from cadenza.functions import columns as c
 from cadenza.operators import buckets, cadence, chunks, hooks, legacy, reprocess, speakers, uncertainty, warehouse, words
 from cadenza.plans import fixtures as fx
-from cadenza.sources import documents, render
+from cadenza.sources import documents, render, writers
 from cadenza.streaming import streams
 from cadenza.timeline import KEY, SLICE, checkpoint_folder, settle
 
@@ -733,6 +733,40 @@ def json_segment(k):
     )
 
 
+def stored(lines: DataFrame) -> str:
+    """The folder to which a line table has just been written, for queries that read files back."""
+    path = f"{checkpoint_folder(lines.sparkSession)}/files-{uuid.uuid4().hex}"
+    writers.write_lines(lines, path)
+    return path
+
+
+@query
+def segment_files(k):
+    facts = k.durations.withColumn("language", F.lit("en"))
+    rows = documents.read_segments(k.spark, stored(render.segment_json(k.segments, facts)))
+    return rows.select(KEY, "segment_id", "start", "end", "text", "avg_logprob", "no_speech_prob")
+
+
+@query
+def timing_files(k):
+    rows = documents.read_timing_json(k.spark, stored(render.timing_json(k.timing, k.timing_analysis)))
+    return rows.select(KEY, "bucket_id", "start_ts", "end_ts", "text", "word_count", F.size("words").alias("listed_words"), "word_gap_count", "word_gap_mean", "confidence", "speaker_overlap", "cadence_severity")
+
+
+@query
+def chunk_files(k):
+    totals = chunks.chunking_totals(chunks.silence_removal_plan(k.speech, k.durations), k.durations)
+    counted = k.chunks.groupBy(KEY).agg(F.count(F.lit(1)).alias("total_chunks"))
+    return documents.read_chunk_metadata(k.spark, stored(render.chunk_json(k.chunks, totals.join(counted, KEY))))
+
+
+@query
+def report_files(k):
+    checked = documents.read_and_validate_report(k.spark, stored(render.to_bucket_markdown(k.records)))
+    key = F.regexp_extract("path", "recording_id=(.*)$", 1).cast("bigint").alias(KEY)
+    return checked.select(key, *[c for c in checked.columns if c not in ("path", "file_size")])
+
+
 @query
 def json_advanced(k):
     head = "struct<speaker_analysis:struct<speaker_count:bigint,overlaps_detected:bigint>>"

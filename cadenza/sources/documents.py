@@ -2,42 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza import schemas
 from cadenza.functions.columns import to_ms
-from cadenza.timeline import KEY, with_facts
+from cadenza.sources.items import array_items
+from cadenza.timeline import KEY, settle, with_facts
 
 
-def _documents(spark: SparkSession, path: str, inner: str | None = None) -> DataFrame:
-    """Documents below ``path`` with ``file_key``, for those that do not name their recording.
+#: Where the items of each kind of document stand.
+PLACES = {
+    "segments": [("segments",), ("transcription", "segments")],
+    "chunks": [("chunks",)],
+    "timing_analysis.buckets": [("timing_analysis", "buckets")],
+}
 
-    Documents that ``write_lines`` wrote lie in one directory per recording, in several parts
-    with an item on each line; every item of the array ``inner`` is then a document of its own.
-    Other files are one document each.  The key is the file's name, or a hash of it if the
-    name is no number.
+
+def _documents(spark: SparkSession, path: str, inner: str) -> DataFrame:
+    """Every item of the array ``inner`` in the documents below ``path`` as a document of its own, with its number.
+
+    Documents may be pretty-printed, on one line, or in several parts in one directory per
+    recording; none is ever held whole.
     """
-    lines = spark.read.text(path)
-    if inner is not None and KEY in lines.columns:
-        items = lines.where(F.col("value").rlike(r"^,?\{.*\}$")).select(F.col(KEY).cast("bigint").alias(KEY), F.lit(1).alias("section"), F.col("value").alias("line"))
-        return item_documents(items, inner).withColumn("file_key", F.lit(None).cast("bigint"))
-    stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
-    number = F.when(stem.rlike(r"^[0-9]{1,18}$"), stem.cast("bigint")).otherwise(F.xxhash64(stem))
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("document"), number.alias("file_key"))
+    listed, _ = array_items(spark, path, PLACES[inner])
+    return listed.select(_document(F.col(KEY), inner, F.col("text")).alias("document"), "item")
+
+
+def _document(key: Column, inner: str, item: Column) -> Column:
+    path = inner.split(".")
+    opening = "".join(f'"{p}":{{' for p in path[:-1]) + f'"{path[-1]}":['
+    return F.concat(F.lit('{"recording_id":'), key.cast("string"), F.lit("," + opening), item, F.lit("]" + "}" * len(path)))
+
 
+def unreadable(spark: SparkSession, path: str, inner: str = "segments") -> DataFrame:
+    """(path, length, problem) of the documents below ``path`` of which the readers miss something.
 
-def unreadable(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of every file below ``path`` that is no JSON document; the readers get no rows from it."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.where(F.expr("try_parse_json(value)").isNull()).select("path", F.length("value").alias("length"))
+    That is a document whose brackets or strings do not close, one without the array ``inner``, and one
+    of whose items is no JSON (the first of them is named).  ``length`` is in bytes.
+    """
+    listed, whole = array_items(spark, path, PLACES[inner])
+    bad = listed.where(F.expr("try_parse_json(text)").isNull()).groupBy("doc").agg(F.min("item").alias("bad"))
+    problem = (
+        F.when(~F.col("balanced"), F.lit("brackets or strings do not close"))
+        .when(~F.col("found"), F.lit(f"no array {inner}"))
+        .when(F.col("bad").isNotNull(), F.concat(F.lit("item "), F.col("bad").cast("string"), F.lit(" is no JSON")))
+    )
+    found = whole.join(bad, "doc", "left").select(F.col("doc").alias("path"), "length", problem.alias("problem"))
+    return found.where("problem is not null")
 
 
 def _keyed(documents: DataFrame, column: str, schema: str) -> DataFrame:
-    """The parsed document ``d`` and its key."""
-    doc = F.from_json(column, schema)
-    key = F.coalesce(F.col(f"d.{KEY}"), F.col("file_key")) if "file_key" in documents.columns else F.col(f"d.{KEY}")
-    return documents.withColumn("d", doc).select(key.alias(KEY), "d")
+    """The parsed document ``d``, its key, and the number of its first item."""
+    first = F.col("item") if "item" in documents.columns else F.lit(0)
+    return documents.withColumn("d", F.from_json(column, schema)).select(F.col(f"d.{KEY}").alias(KEY), "d", first.cast("bigint").alias("first"))
 
 
 def parse_segments(documents: DataFrame, column: str = "document") -> DataFrame:
@@ -49,9 +67,9 @@ def parse_segments(documents: DataFrame, column: str = "document") -> DataFrame:
         F.coalesce(w["end"], F.lit(0.0)).alias("end"),
         F.coalesce(w["probability"], w["confidence"], F.lit(0.0)).alias("probability"),
     )
-    return doc.select(KEY, F.posexplode(F.coalesce("d.segments", "d.transcription.segments")).alias("_i", "s")).select(
+    return doc.select(KEY, "first", F.posexplode(F.coalesce("d.segments", "d.transcription.segments")).alias("_i", "s")).select(
         KEY,
-        F.coalesce("s.id", F.col("_i").cast("bigint")).alias("segment_id"),
+        F.coalesce("s.id", F.col("first") + F.col("_i")).alias("segment_id"),
         F.coalesce("s.start", F.lit(0.0)).alias("start"),
         F.coalesce("s.end", F.lit(0.0)).alias("end"),
         F.coalesce("s.text", F.lit("")).alias("text"),
@@ -127,14 +145,8 @@ def item_documents(lines: DataFrame, inner: str = "segments") -> DataFrame:
 
     No row ever holds a whole document, however long the recording.
     """
-    path = inner.split(".")
-    opening = "".join(f'"{p}":{{' for p in path[:-1]) + f'"{path[-1]}":['
     item = F.regexp_replace("line", "^,", "")
-    return lines.where(F.col("section") == 1).select(
-        F.concat(
-            F.lit('{"recording_id":'), F.col(KEY).cast("string"), F.lit("," + opening), item, F.lit("]" + "}" * len(path))
-        ).alias("document")
-    )
+    return lines.where(F.col("section") == 1).select(_document(F.col(KEY), inner, item).alias("document"))
 
 
 def parse_lines(lines: DataFrame, head: str, item: str) -> DataFrame:
@@ -155,15 +167,19 @@ def parse_lines(lines: DataFrame, head: str, item: str) -> DataFrame:
 
 def validate_report_lines(lines: DataFrame) -> DataFrame:
     """``validate_report`` on a line table: the same checks as aggregates over the lines."""
+    return _checked(lines, KEY, (F.col("section") == 0) & (F.col("sub") == 0) & F.col("line").startswith("#"))
+
+
+def _checked(lines: DataFrame, key: str, title: Column) -> DataFrame:
     ever = lambda text: F.max(F.contains("line", F.lit(text)))
     checks = {
-        "has_title": F.max((F.col("section") == 0) & (F.col("sub") == 0) & F.col("line").startswith("#")),
+        "has_title": F.max(title),
         "has_transcript": ever("## Enhanced Transcript"),
         "has_summary": ever("## Analysis Summary"),
         "has_cadence_info": ever("cadence"),
         "has_gap_info": ever("word_gaps"),
     }
-    counted = lines.groupBy(KEY).agg(
+    counted = lines.groupBy(key).agg(
         *[c.alias(n) for n, c in checks.items()],
         F.sum(F.regexp_count("line", F.lit(r"(?m)^\d+\.\s\*\*\["))).alias("section_count"),
         (F.sum(F.length("line") + 1) - 1).alias("file_size"),
@@ -198,4 +214,12 @@ def validate_report(documents: DataFrame, column: str = "document") -> DataFrame
 
 
 def read_and_validate_report(spark: SparkSession, path: str) -> DataFrame:
-    return validate_report(_documents(spark, path).drop("file_key"))
+    """``validate_report`` of the files below ``path``, all parts of a recording's directory as one report; by lines."""
+    file = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file, r"^(.*/recording_id=[^/]*)/[^/]*$", 1)
+    place = F.struct(file, F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = settle(spark.read.text(path).select(F.when(folder != "", folder).otherwise(file).alias("path"), place.alias("place"), F.col("value").alias("line")))
+    first = lines.groupBy("path").agg(F.min("place").alias("first"))
+    # a report's first line is its title; headings never cross lines
+    title = lines.join(first, "path").where("place = first").select("path", F.col("line").startswith("#").alias("has_title"))
+    return _checked(lines, "path", F.lit(True)).drop("has_title").join(title, "path").withColumn("valid", F.col("valid") & F.col("has_title"))

@@ -95,6 +95,16 @@ def test_reports_validate_both_ways(spark, small):
     assert whole.where("not valid").count() == 0
 
 
+def test_reports_on_disk_validate(spark, small, tmp_path):
+    lines = render.to_bucket_markdown(plans.Corpus(spark, small).records).where("recording_id < 4")
+    writers.write_lines(lines, str(tmp_path / "reports"), partitions=5)
+    (tmp_path / "reports" / "recording_id=77").mkdir()
+    (tmp_path / "reports" / "recording_id=77" / "part-0.txt").write_text("no title\n# later\n")
+    got = {int(r.path.rpartition("=")[2]): (r.valid, r.has_title, r.section_count, r.file_size) for r in documents.read_and_validate_report(spark, str(tmp_path / "reports")).collect()}
+    want = {r.recording_id: (r.valid, r.has_title, r.section_count, r.file_size) for r in documents.validate_report_lines(lines).collect()}
+    assert got == want | {77: (False, False, 0, 16)}
+
+
 def test_scan_media(spark, tmp_path):
     for name in ("b.MP3", "a.wav", "sub/c.mp4", "d.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

@@ -1,5 +1,7 @@
 """Hand-checkable cases of single operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,45 @@ def test_dedupe_keeps_the_first(spark):
     assert [r.first_turn for r in got] == [0, 2, 4, 5]
 
 
+OVERLAP = (
+    "recording_id bigint, first_turn bigint, second_turn bigint, start_ms bigint, end_ms bigint, duration_ms bigint, "
+    "speakers array<string>, overlap_type string"
+)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dedupe_across_slices_is_the_plain_walk(spark, seed):
+    """Dense overlaps around slice borders, in an order that has nothing to do with time."""
+    rng = random.Random(seed)
+    rows = []
+    for r in (1, 2):
+        order = rng.sample(range(400), 400)
+        for i in order:
+            a = 300_000 * rng.randint(0, 3) + rng.randint(-600, 600)
+            b = a + rng.choice([1000, 1060, 2000]) + rng.randint(0, 40)
+            rows.append((r, i, i + rng.randint(1, 9), a, b, b - a, ["A", "B"], "partial"))
+    want = set()
+    for r in (1, 2):
+        kept = []
+        for x in sorted((x for x in rows if x[0] == r), key=lambda x: (x[1], x[2])):
+            if all(abs(x[3] - k[3]) >= 100 or abs(x[4] - k[4]) >= 100 for k in kept):
+                kept.append(x)
+        want |= {x[:5] for x in kept}
+    got = speakers.dedupe_overlaps(spark.createDataFrame(rows, OVERLAP))
+    assert {tuple(r)[:5] for r in got.collect()} == want
+
+
+def test_dedupe_of_one_long_chain(spark):
+    """20,000 overlaps of one recording, 40 ms apart, across three slices: every third one stays."""
+    i = F.col("id")
+    chain = spark.range(20_000).select(
+        F.lit(1).cast("bigint").alias("recording_id"), i.alias("first_turn"), (i + 1).alias("second_turn"), (i * 40).alias("start_ms"), (i * 40 + 500).alias("end_ms"),
+        F.lit(500).cast("bigint").alias("duration_ms"), F.array(F.lit("A"), F.lit("B")).alias("speakers"), F.lit("partial").alias("overlap_type"),
+    )
+    got = speakers.dedupe_overlaps(chain).agg(F.count("*").alias("n"), F.max(F.col("first_turn") % 3).alias("m")).first()
+    assert tuple(got) == (6_667, 0)
+
+
 def test_uncertainty_levels_and_bins(spark):
     level = [
         spark.range(1).select(uncertainty.uncertainty_level(F.lit(x)).alias("l")).first().l for x in (-0.5, -1.5, -1.51)

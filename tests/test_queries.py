@@ -14,6 +14,8 @@ SAMPLE = (
     "flag_anomalies",
     "segment_uncertainty",
     "dedupe_overlaps",
+    "segment_files",
+    "report_files",
     "silence_splits_short",
     "vad_chunks_sliced",
     "apply_reprocessed",

@@ -34,6 +34,11 @@ def exact_sum(x: Column | str) -> Column:
     return F.sum(col(x).cast("decimal(18,8)")).cast("double")
 
 
+def exact_mean(x: Column | str) -> Column:
+    """Mean of doubles, whatever the order of addition; each counts to twelve decimals."""
+    return F.try_divide(F.sum(col(x).cast("decimal(26,12)")).cast("double"), F.count(col(x)).cast("double"))
+
+
 def srt_time(ms: Column | str) -> Column:
     """HH:MM:SS,mmm (milliseconds are whole already, so nothing is rounded)."""
     m = col(ms)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import half_up, present, ratio
+from cadenza.functions.columns import exact_mean, half_up, present, ratio
 from cadenza.operators.buckets import BUCKETS_PER_SLICE
 from cadenza.timeline import KEY, with_facts
 
@@ -181,7 +181,7 @@ def validate_records(records: DataFrame) -> DataFrame:
             F.sum(F.col("end_ms") - F.col("start_ms")).alias("_ms"),
             F.sum("word_count").alias("total_words"),
             F.sum("word_gap_count").alias("total_gaps"),
-            F.avg("confidence_score").alias("average_confidence"),
+            exact_mean("confidence_score").alias("average_confidence"),
             *_distribution(),
         )
         .select(
@@ -216,7 +216,7 @@ def summarize_records(records: DataFrame) -> DataFrame:
             F.sum(F.col("end_ms") - F.col("start_ms")).alias("_ms"),
             F.sum("word_count").alias("total_words"),
             F.sum("word_gap_count").alias("total_gaps"),
-            F.avg(F.when(F.col("confidence_score") > 0, F.col("confidence_score"))).alias("_c"),
+            exact_mean(F.when(F.col("confidence_score") > 0, F.col("confidence_score"))).alias("_c"),
             *_distribution(),
         )
         .select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza import folds, planning
-from cadenza.functions.columns import fixed, ratio, word_count
+from cadenza.functions.columns import exact_mean, fixed, ratio, word_count
 from cadenza.operators.intervals import BIN_MS, interval_pairs
 from cadenza.timeline import KEY, SLICE, SLICE_MS, beside, exact_percentiles, neighbour, numbered, running, with_facts, with_slice
 
@@ -398,11 +398,11 @@ def merge_chunks(segments: DataFrame, results: DataFrame, chunks: DataFrame, dur
     """One merged result per recording, from absolute-time segments and per-chunk results."""
     core = keep_core_segments(segments, chunks)
     from_segments = core.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("segment_count"), F.avg("avg_logprob").alias("_conf"), F.sum(word_count("text")).alias("word_count")
+        F.count(F.lit(1)).alias("segment_count"), exact_mean("avg_logprob").alias("_conf"), F.sum(word_count("text")).alias("word_count")
     )
     per_chunk = results.groupBy(KEY).agg(
         F.min_by("language", "chunk_id").alias("language"),
-        F.avg("language_probability").alias("language_probability"),
+        exact_mean("language_probability").alias("language_probability"),
         F.sum("processing_time").alias("processing_time"),
         F.count(F.lit(1)).alias("chunk_count"),
     )
@@ -438,8 +438,8 @@ def run_metrics(results: DataFrame, durations: DataFrame, words: DataFrame, wall
     per = results.groupBy(KEY).agg(
         F.sum("processing_time").alias("total_processing_time"),
         F.count(F.lit(1)).alias("chunks_processed"),
-        F.avg("duration").alias("avg_chunk_duration"),
-        F.avg("avg_confidence").alias("avg_confidence"),
+        exact_mean("duration").alias("avg_chunk_duration"),
+        exact_mean("avg_confidence").alias("avg_confidence"),
         F.min("avg_confidence").alias("min_confidence"),
         F.max("avg_confidence").alias("max_confidence"),
     )
@@ -470,7 +470,7 @@ def chunking_stats(chunks: DataFrame, durations: DataFrame, overlap_ms: int = OV
     """Chunk lengths, chunks per minute, overlap efficiency and core coverage per recording."""
     per = chunks.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("total_chunks"),
-        F.avg("duration").alias("average_chunk_duration"),
+        exact_mean("duration").alias("average_chunk_duration"),
         F.min("duration").alias("min_chunk_duration"),
         F.max("duration").alias("max_chunk_duration"),
         F.stddev_pop("duration").alias("std_chunk_duration"),

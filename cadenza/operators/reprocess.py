@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import overlap_ms, word_count
+from cadenza.functions.columns import exact_mean, overlap_ms, word_count
 from cadenza.operators.hooks import map_chunks
 from cadenza.timeline import KEY, SLICE, neighbour, with_slice
 
@@ -131,7 +131,7 @@ def reprocess_report(original: DataFrame, final: DataFrame, threshold: float = T
         .agg(
             F.count(F.lit(1)).alias("total_segments"),
             F.count_if("reprocessed").alias("reprocessed_segments"),
-            F.coalesce(F.avg(gain), F.lit(0.0)).alias("average_confidence_improvement"),
+            F.coalesce(exact_mean(gain), F.lit(0.0)).alias("average_confidence_improvement"),
             F.coalesce(F.max(gain), F.lit(0.0)).alias("max_confidence_improvement"),
         )
         .withColumns(

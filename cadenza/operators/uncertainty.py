@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import col, present, strip, word_count
+from cadenza.functions.columns import col, exact_mean, present, strip, word_count
 from cadenza.timeline import KEY, exact_percentiles, neighbour, with_slice
 
 SEGMENTS_PER_SLICE = 256
@@ -153,7 +153,7 @@ def confidence_stats(segments: DataFrame, score: str = "avg_logprob") -> DataFra
     x = F.col(score)
     base = segments.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("segment_count"),
-        F.avg(x).alias("mean_confidence"),
+        exact_mean(x).alias("mean_confidence"),
         F.stddev_pop(x).alias("std_confidence"),
         F.min(x).alias("min_confidence"),
         F.max(x).alias("max_confidence"),
@@ -211,7 +211,7 @@ def quality_metrics(analysis: DataFrame) -> DataFrame:
         F.count_if("suggested_review").alias("flagged_segments"),
         F.count_if(problem).alias("_problems"),
         F.count_if(F.col("confidence_score") < -1.5).alias("_low"),
-        F.avg("confidence_score").alias("average_segment_confidence"),
+        exact_mean("confidence_score").alias("average_segment_confidence"),
         F.stddev_samp("confidence_score").alias("_std"),
         F.count_if(F.array_contains("uncertainty_reasons", "mixed_languages")).alias("_mixed"),
     )

@@ -12,6 +12,11 @@ def r(e: str) -> str:
     return f"floor(({e}) * 1000000.0 + 0.5) / 1000000.0"
 
 
+def mean(e: str, only: str = "true") -> str:
+    """Mean whatever the order of addition."""
+    return f"(CAST(sum(CAST({e} AS DECIMAL(26,12))) FILTER ({only}) AS DOUBLE) / count({e}) FILTER ({only}))"
+
+
 def hu(e: str, d: int) -> str:
     s = f"{10**d}.0"
     return f"(floor(({e}) * {s} + 0.5) / {s})"
@@ -175,11 +180,11 @@ CTES: dict[str, str] = {
     "status": """SELECT b.recording_id, b.bucket_index, CASE WHEN t.bucket_index IS NOT NULL THEN 'overlap' ELSE 'single' END AS speaker_overlap
         FROM buckets b SEMI JOIN turns USING (recording_id) LEFT JOIN touch t USING (recording_id, bucket_index)""",
     "records": f"SELECT rec0.*, coalesce(speaker_overlap, '{UNKNOWN}') AS speaker_overlap FROM rec0 LEFT JOIN status USING (recording_id, bucket_index)",
-    "distribution": """SELECT recording_id, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms, CAST(sum(word_count) AS BIGINT) AS wc,
+    "distribution": f"""SELECT recording_id, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms, CAST(sum(word_count) AS BIGINT) AS wc,
         CAST(sum(gap_count) AS BIGINT) AS gc, count(*) FILTER (cadence = 'slow') AS slow_count, count(*) FILTER (cadence = 'normal') AS normal_count,
         count(*) FILTER (cadence = 'fast') AS fast_count, count(*) FILTER (speaker_overlap = 'overlap') AS overlap_count,
         count(*) FILTER (speaker_overlap = 'single') AS single_count, count(*) FILTER (speaker_overlap LIKE 'unknown%') AS unknown_count,
-        avg(confidence) AS ac, avg(confidence) FILTER (confidence > 0) AS acp, any_value(gm) AS gm, any_value(gv) AS gv,
+        {mean('confidence')} AS ac, {mean('confidence', 'confidence > 0')} AS acp, any_value(gm) AS gm, any_value(gv) AS gv,
         max(bucket_index) AS last_bucket, count(*) FILTER (start_ms >= end_ms) AS bad FROM records GROUP BY 1""",
     # older timing analysis, over its own buckets (old) and over the bounded ones (new)
     **{
@@ -241,8 +246,8 @@ CTES: dict[str, str] = {
     "unc": """SELECT *, level = 'high' OR len(reasons) >= 2 OR list_contains(reasons, 'low_model_confidence') AS review FROM unc0""",
     "temporal": """SELECT recording_id, CASE WHEN count(*) < 2 THEN 1.0 ELSE greatest(0.0, 1.0 - count(*) FILTER (nx - end_ms > 5000 OR nx < end_ms)
         / (count(*) - 1)) END AS tc FROM (SELECT *, lead(start_ms) OVER (PARTITION BY recording_id ORDER BY segment_id) AS nx FROM segments) GROUP BY 1""",
-    "q0": """SELECT recording_id, count(*) AS n, count(*) FILTER (review) AS flagged, count(*) FILTER (level <> 'low' OR review) AS problems,
-        count(*) FILTER (avg_logprob < -1.5) AS low, avg(avg_logprob) AS mean, stddev_samp(avg_logprob) AS sd,
+    "q0": f"""SELECT recording_id, count(*) AS n, count(*) FILTER (review) AS flagged, count(*) FILTER (level <> 'low' OR review) AS problems,
+        count(*) FILTER (avg_logprob < -1.5) AS low, {mean('avg_logprob')} AS mean, stddev_samp(avg_logprob) AS sd,
         count(*) FILTER (list_contains(reasons, 'low_model_confidence')) AS k1, count(*) FILTER (list_contains(reasons, 'high_no_speech_probability')) AS k2,
         count(*) FILTER (list_contains(reasons, 'repetitive_text')) AS k3, count(*) FILTER (list_contains(reasons, 'excessive_fillers')) AS k4
         FROM unc GROUP BY 1""",
@@ -262,7 +267,7 @@ CTES: dict[str, str] = {
         ("tc < 0.9", "Temporal inconsistencies detected - check audio segmentation"),
     )
     + " AS a FROM quality)",
-    "cstats": """SELECT recording_id, count(*) AS segment_count, avg(avg_logprob) AS mean, quantile_cont(avg_logprob, 0.5) AS med, stddev_pop(avg_logprob) AS sd,
+    "cstats": f"""SELECT recording_id, count(*) AS segment_count, {mean('avg_logprob')} AS mean, quantile_cont(avg_logprob, 0.5) AS med, stddev_pop(avg_logprob) AS sd,
         min(avg_logprob) AS mn, max(avg_logprob) AS mx FROM segments GROUP BY 1""",
     "who": """SELECT recording_id, segment_id, arg_min(speaker, -ov * 1000000 + turn_no) AS speaker FROM (SELECT s.recording_id, s.segment_id, t.speaker, t.turn_no,
         least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms) AS ov FROM segments s JOIN turns t
@@ -345,8 +350,8 @@ CTES: dict[str, str] = {
     "final": """SELECT s.recording_id, s.segment_id, coalesce(b.start_ms, s.start_ms) AS start_ms, coalesce(b.end_ms, s.end_ms) AS end_ms, coalesce(b.text, s.text) AS text,
         coalesce(b.avg_logprob, s.avg_logprob) AS avg_logprob, coalesce(b.no_speech_prob, s.no_speech_prob) AS no_speech_prob,
         b.segment_id IS NOT NULL AS reprocessed, s.avg_logprob AS original_confidence FROM segments s LEFT JOIN back b USING (recording_id, segment_id)""",
-    "report": """SELECT recording_id, count(*) AS n, count(*) FILTER (reprocessed) AS k,
-        coalesce(avg(avg_logprob - original_confidence) FILTER (reprocessed), 0.0) AS g,
+    "report": f"""SELECT recording_id, count(*) AS n, count(*) FILTER (reprocessed) AS k,
+        coalesce({mean('avg_logprob - original_confidence', 'reprocessed')}, 0.0) AS g,
         coalesce(max(avg_logprob - original_confidence) FILTER (reprocessed), 0.0) AS mx FROM final GROUP BY 1""",
 }
 
@@ -541,19 +546,19 @@ _BODY: dict[str, str] = {
     "union_chunk_results": "SELECT recording_id, chunk_id, count(*) AS segments, CAST(sum(start_ms) AS BIGINT) AS start_sum FROM heard GROUP BY 1, 2",
     "merge_chunks": rf"""SELECT r.recording_id, coalesce(k, 0) AS segment_count, language, {r('lp')} AS language_probability, {r('duration_ms / 1000.0')} AS duration,
         {r('coalesce(conf, -5.0)')} AS avg_confidence, {r('pt')} AS processing_time, coalesce(wc, 0) AS word_count, chunk_count FROM
-        (SELECT recording_id, arg_min(language, chunk_id) AS language, avg(lp) AS lp, sum(pt) AS pt, count(*) AS chunk_count FROM runs GROUP BY 1) r
-        LEFT JOIN (SELECT recording_id, count(*) AS k, avg(avg_logprob) AS conf, CAST(sum(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> ''))) AS BIGINT) AS wc
+        (SELECT recording_id, arg_min(language, chunk_id) AS language, {mean('lp')} AS lp, sum(pt) AS pt, count(*) AS chunk_count FROM runs GROUP BY 1) r
+        LEFT JOIN (SELECT recording_id, count(*) AS k, {mean('avg_logprob')} AS conf, CAST(sum(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> ''))) AS BIGINT) AS wc
           FROM core GROUP BY 1) USING (recording_id) JOIN durations USING (recording_id)""",
     "merged_text": "SELECT recording_id, chunk_id // 64 AS part_no, string_agg(text, ' ' ORDER BY chunk_id, segment_id) AS text FROM core GROUP BY 1, 2",
     "run_metrics": rf"""SELECT recording_id, {r('duration_ms / 1000.0')} AS total_audio_duration, {r('pt')} AS total_processing_time, {r('pt / 2 + 1')} AS wall_clock_time,
         {r('duration_ms / 1000.0 / pt')} AS processing_speed, n AS chunks_processed, {r('pt / n')} AS avg_chunk_processing_time, {r('d')} AS avg_chunk_duration, {r('a')} AS avg_confidence,
         {r('mn')} AS min_confidence, {r('mx')} AS max_confidence, {r('pt / (pt / 2 + 1)')} AS parallel_efficiency, {r('wc / (duration_ms / 1000.0 / 60.0)')} AS words_per_minute FROM
-        (SELECT recording_id, sum(pt) AS pt, count(*) AS n, avg(duration) AS d, avg(ac) AS a, min(ac) AS mn, max(ac) AS mx FROM runs GROUP BY 1) JOIN durations USING (recording_id)
+        (SELECT recording_id, sum(pt) AS pt, count(*) AS n, {mean('duration')} AS d, {mean('ac')} AS a, min(ac) AS mn, max(ac) AS mx FROM runs GROUP BY 1) JOIN durations USING (recording_id)
         JOIN (SELECT recording_id, CAST(sum(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> ''))) AS BIGINT) AS wc FROM segments GROUP BY 1) USING (recording_id)""",
     "chunking_stats": f"""SELECT recording_id, n AS total_chunks, {r('duration_ms / 1000.0')} AS total_duration, {r('a')} AS average_chunk_duration, {r('mn')} AS min_chunk_duration, {r('mx')} AS max_chunk_duration,
         {r('sd')} AS std_chunk_duration, {r('n / (duration_ms / 1000.0 / 60.0)')} AS chunks_per_minute,
         {r('CASE WHEN n < 2 THEN 1.0 WHEN so IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 1.0 - so / 5.0)) END')} AS overlap_efficiency, {r('core / (duration_ms / 1000.0)')} AS core_coverage FROM
-        (SELECT recording_id, count(*) AS n, avg(duration) AS a, min(duration) AS mn, max(duration) AS mx, stddev_pop(duration) AS sd, sum(original_end - original_start) AS core FROM chunks GROUP BY 1)
+        (SELECT recording_id, count(*) AS n, {mean('duration')} AS a, min(duration) AS mn, max(duration) AS mx, stddev_pop(duration) AS sd, sum(original_end - original_start) AS core FROM chunks GROUP BY 1)
         LEFT JOIN (SELECT recording_id, stddev_pop(o) AS so FROM (SELECT recording_id, unnest([overlap_prev, overlap_next]) AS o FROM chunks) WHERE o > 0 GROUP BY 1) USING (recording_id)
         JOIN durations USING (recording_id)""",
     "lowest_confidence": "SELECT recording_id, segment_id, avg_logprob FROM picked",

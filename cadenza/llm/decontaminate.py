@@ -10,11 +10,12 @@ band, in which the passage may begin and end anywhere.
 Texts are compared in lower case with each run of white space as one space.  The edit budget is
 a share of the passage, lowered where the bound would fall below one q-gram; passages shorter
 than a q-gram are sought as they are.  The passages are a query set: they are taken in blocks
-of bounded size, every block against all documents.
+of bounded size, every block against all documents, one block at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,13 +198,30 @@ def aligned(passage: np.ndarray, codes: np.ndarray, low: int, high: int, budget:
     return (start, stop, edits) if edits <= budget and stop > start else None
 
 
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The passages (item_id, text) in lists of about ``chars`` characters; null and empty ones are left out."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
-    total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    parts = -(-total // chars)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts)))
-    return [sorted(((r.item_id, r.text) for r in items.where(block == k).collect()), key=str) for k in range(parts)]
+class Blocks(Sequence):
+    """The passages (item_id, text) in lists of about ``chars`` characters, each collected when it is asked for.
+
+    Null and empty passages are left out.  More than one block lie in a table on disk, by block.
+    """
+
+    def __init__(self, benchmark: DataFrame, chars: int):
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
+        total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        self.parts = -(-total // chars)
+        numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, self.parts))))
+        self.items = numbered if self.parts <= 1 else common.stage(numbered.repartition("block"), "passages")
+
+    def __len__(self) -> int:
+        return self.parts
+
+    def __getitem__(self, k: int) -> list[tuple[int, str]]:
+        if not 0 <= k < self.parts:
+            raise IndexError(k)
+        return sorted(((r.item_id, r.text) for r in self.items.where(F.col("block") == k).collect()), key=str)
+
+
+def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Blocks:
+    return Blocks(benchmark, chars)
 
 
 def marked(df: DataFrame, passages: list[tuple[int, str]], keep: list[str] | None = None, edits: float = EDITS) -> DataFrame:
@@ -227,8 +245,11 @@ def matches(df: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
     documents the result is empty.
     """
     out = None
-    for passages in blocks(benchmark):
+    given = blocks(benchmark)
+    for passages in given:
         rows = marked(df, passages, ["doc_id"], edits).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+        if len(given) > 1:  # the plan of one block holds its passages; it is done with before the next is read
+            rows = common.stage(rows, "matches")
         out = rows if out is None else out.unionAll(rows)
     if out is None:
         out = marked(df.limit(0), [], ["doc_id"]).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
@@ -242,9 +263,12 @@ def clean(df: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFram
     passages every row stays; an empty table stays empty.
     """
     out = df
-    for passages in blocks(benchmark):
+    given = blocks(benchmark)
+    for passages in given:
         flagged = common.with_columns(out, counter(passages, edits), ["text"], "__places int")
         out = flagged.where("__places = 0").select(df.columns)
+        if len(given) > 1:
+            out = common.stage(out, "clean")
     return out
 
 

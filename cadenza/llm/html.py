@@ -11,10 +11,13 @@ out wherever they stand.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,9 @@ from cadenza.llm import common
 
 #: Paths with at least this share of a host's votes win, best first.
 SHARE = 0.1
+#: Most hosts whose paths are broadcast; beyond, the pages of a host are dealt into so many parts.
+HOSTS = 100_000
+SALTS = 64
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
@@ -50,6 +56,9 @@ PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li td dd".split())
 MAIN = frozenset("article main".split())
 
 
+BLANK = np.array([i for i in range(65_536) if chr(i).isspace()], np.uint32)
+
+
 @dataclass
 class Node:
     tag: str
@@ -60,16 +69,18 @@ class Node:
     end: int = 0  # of its pieces of text
     begin: int = 0
     score: float = 0.0
+    path: int = 0  # number of its path in the page
 
 
 @dataclass
 class Page:
     nodes: list[Node] = field(default_factory=list)
     pieces: list[tuple[str, bool]] = field(default_factory=list)  # text, and whether it is furniture
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)  # number of a path by its parent's and its last name
 
 
 def generalised(name: str) -> str:
-    return re.sub(r"\d+", "#", name.lower())
+    return re.sub(r"\d+", "#", name.lower()).replace("/", ":")  # a slash divides paths
 
 
 def parts(name: str) -> list[str]:
@@ -167,7 +178,8 @@ def parse(html: str) -> Page:
         above = nodes[stack[-1]]
         furniture = above.furniture or furnished(tag, attributes, above.inside)
         name = ".".join([tag, *sorted({generalised(c) for c in attributes.get("class", "").split()})]) if attributes.get("class") else tag
-        nodes.append(Node(tag, name, stack[-1], furniture, above.inside or tag in MAIN, begin=len(pieces)))
+        number = page.paths.setdefault((above.path, name), len(page.paths) + 1)
+        nodes.append(Node(tag, name, stack[-1], furniture, above.inside or tag in MAIN, begin=len(pieces), path=number))
         if not raw.endswith("/") or tag in CLOSES_P or tag in INLINE:
             stack.append(len(nodes) - 1)
             unclosed[tag] += 1
@@ -191,22 +203,52 @@ def path(page: Page, i: int) -> str:
     return "/".join(reversed(names))
 
 
+def numbered(page: Page, wanted: str) -> int:
+    """The number of a path in the page, 0 if the page does not have it."""
+    number = 0
+    for name in wanted.split("/"):
+        number = page.paths.get((number, name), 0)
+        if not number:
+            return 0
+    return number
+
+
+class Measures:
+    """Length and commas of the text of any element, from running sums over the page."""
+
+    def __init__(self, page: Page):
+        kept = [t if not furniture else "" for t, furniture in page.pieces]
+        self.place = list(accumulate(map(len, kept), initial=0))
+        code = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), "<u4")
+        word = ~np.isin(code, BLANK)
+        begins = word & ~np.append(False, word[:-1])
+        sums = lambda x: np.append(0, np.cumsum(x)).tolist()
+        self.word, self.chars, self.words, self.commas = np.append(word, False).tolist(), sums(word), sums(begins), sums(code == 44)
+
+    def of(self, node: Node) -> tuple[int, int]:
+        """Code points of ``content`` of the element, and commas in it."""
+        a, b = self.place[node.begin], self.place[node.end]
+        words = self.words[b] - self.words[a]
+        if a < b and self.word[a] and a and self.word[a - 1]:
+            words += 1  # the element begins inside a word
+        return self.chars[b] - self.chars[a] + max(0, words - 1), self.commas[b] - self.commas[a]
+
+
 def best(page: Page) -> int:
     """The container that holds most of the paragraphs; 0, the whole page, if none does."""
     nodes = page.nodes
+    measures = Measures(page)
+    begins = [n.begin for n in nodes]  # elements are in page order
+    linked = list(accumulate((measures.of(n)[0] if n.tag == "a" and not n.furniture else 0 for n in nodes), initial=0))
     for i, n in enumerate(nodes[1:], 1):
         if n.furniture or n.tag not in PARAGRAPHS:
             continue
-        own = content(page, n)
-        if n.tag in ("li", "td", "dd") and len(own) < 40:
+        size, commas = measures.of(n)
+        if n.tag in ("li", "td", "dd") and size < 40:
             continue
-        points = min(len(own) / 100, 5) + own.count(",") * 0.2 + (1 if len(own) >= 25 else 0.1)
-        links, j = 0, i + 1
-        while j < len(nodes) and nodes[j].begin < n.end:  # elements are in page order
-            if nodes[j].tag == "a" and nodes[j].end <= n.end and not nodes[j].furniture:
-                links += len(content(page, nodes[j]))
-            j += 1
-        points *= 1 - min(1, links / max(1, len(own)))
+        points = min(size / 100, 5) + commas * 0.2 + (1 if size >= 25 else 0.1)
+        links = linked[bisect_left(begins, n.end, i + 1)] - linked[i + 1]
+        points *= 1 - min(1, links / max(1, size))
         up, weight = n.parent, 1.0
         while up >= 0 and weight > 0.2:
             nodes[up].score += points * weight
@@ -219,13 +261,13 @@ def best(page: Page) -> int:
 def extract(page: Page, wanted: list[str]) -> str:
     """The text of the elements on the first of the ``wanted`` paths that the page has, else of its best container."""
     if wanted:
-        found: dict[str, list[int]] = {}
-        names = {w.rpartition("/")[2] for w in wanted}
-        for i, n in enumerate(page.nodes):
-            if i and n.name in names and not n.furniture:
-                found.setdefault(path(page, i), []).append(i)
-        for w in wanted:
-            own = [t for t in (content(page, page.nodes[i]) for i in found.get(w, [])) if t]
+        numbers = [numbered(page, w) for w in wanted]
+        found: dict[int, list[Node]] = {k: [] for k in numbers if k}
+        for n in page.nodes[1:]:
+            if n.path in found and not n.furniture:
+                found[n.path].append(n)
+        for k in numbers:
+            own = [t for t in (content(page, n) for n in found.get(k, [])) if t]
             if own:
                 return " ".join(own)
     return content(page, page.nodes[best(page)])
@@ -265,17 +307,24 @@ def winners(counted: DataFrame, share: float = SHARE) -> DataFrame:
 def main_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Adds text and n_chars (code points) to every row of ``pages`` (url, html).
 
-    A null or empty page, and one with nothing but furniture, has empty text.  Pages without
+    A null or empty page, and one with nothing but furniture, has empty text; pages of any depth are
+    read in time in proportion to their length.  Pages without
     url vote together.  Columns named text or n_chars are replaced, repeated rows stay, an
     empty table stays empty.
     """
-    won = common.stage(winners(common.stage(votes(pages), "votes")), "winners")
-    named = pages.withColumn("__host", host())
-    joined = named.join(common.small(won.withColumnRenamed("host", "__host"), 100_000), "__host", "left").withColumnRenamed("paths", "__paths")
+    won = common.stage(winners(common.stage(votes(pages), "votes")), "winners").withColumnRenamed("host", "__host").withColumnRenamed("paths", "__paths")
+    named, key = pages.withColumn("__host", host()), ["__host"]
+    if won.count() > HOSTS:
+        # too many hosts for a broadcast: a host's pages are dealt out, its paths repeated
+        named, key = named.withColumn("__salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")), ["__host", "__salt"]
+        won = won.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    else:
+        won = F.broadcast(won)
+    joined = named.join(won, key, "left")
 
     def extracted(html, paths):
         found = [extract(parse(h.as_py()), p or []) if h.as_py() else "" for h, p in zip(html, paths.to_pylist(), strict=True)]
         return found, [len(t) for t in found]
 
-    columns = [c for c in pages.columns if c not in ("__host", "__paths")] if keep is None else keep
+    columns = [c for c in pages.columns if c not in ("__host", "__paths", "__salt")] if keep is None else keep
     return common.with_columns(joined, extracted, ["html", "__paths"], "text string, n_chars long", columns)

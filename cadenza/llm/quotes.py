@@ -8,8 +8,9 @@ the latest message that its outermost linked quotes come from.  Quoted lines, an
 announces a quote, leave the text.  Threads (a first message and all that answers it, directly
 or not) stand together in a conversation, and each message after the one it answers.
 
-Hashes are grouped by (conversation, hash) and numbers come from slices of turns, so that a
-conversation of any length is never one group; texts shuffle once, by (conversation, turn).
+Hashes are grouped by (conversation, hash), numbers come from slices of turns, and texts are dealt by
+(conversation, turn) or parts of turns, so that a conversation of any length is never one group.
+Texts of any length and depth of quotation pass: lines are worked on as arrays.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from cadenza.llm import common
 
 SLICE = 1_000
+SALTS = 32
 QUOTED = r"(?m)^[ \t]*>"
-PREFIX = r"^((?:[ \t]*>)*)[ \t]?"
+#: Quote signs at the beginning of a line.  Repeated groups would recurse; classes of characters do not.
+PREFIX = r"^[ \t>]*>"
 #: The line before a quote that names its author.
 ANNOUNCED = "(?m)^0\u0001(?i:(?:on|am|le|el)\\b[^\n]*(?:wrote|schrieb|écrit|escribió)[ \t]*:[ \t]*)\n(?=[1-9][0-9]*\u0001)"
-RUN = "(?m)^([0-9]+)\u0001[^\n]*[^ \t\r\f\n][^\n]*(?:\n\\1\u0001[^\n]*[^ \t\r\f\n][^\n]*)*"
 BLANK = " \t\r\f\n"
 
 
@@ -37,8 +39,10 @@ def levelled(text: Column) -> Column:
     plain = F.translate(F.regexp_replace(text, "\r\n?", "\n"), "\u0001", "")
 
     def line(x: Column) -> Column:
-        level = F.length(F.regexp_replace(F.regexp_extract(x, PREFIX, 1), "[^>]", ""))
-        return F.concat(level.cast("string"), F.lit("\u0001"), F.when(level > 0, F.regexp_replace(x, PREFIX, "")).otherwise(x))
+        signs = F.regexp_extract(x, PREFIX, 0)
+        level = F.length(F.translate(signs, " \t", ""))
+        rest = F.regexp_replace(F.substr(x, F.length(signs) + 1), "^[ \t]", "")
+        return F.concat(level.cast("string"), F.lit("\u0001"), F.when(level > 0, rest).otherwise(x))
 
     return F.regexp_replace(F.array_join(F.transform(F.split(plain, "\n"), line), "\n"), ANNOUNCED, "")
 
@@ -48,19 +52,25 @@ def parsed(messages: DataFrame) -> DataFrame:
 
     A text without quoted lines stays as it is; a null one stays null.
     """
-    level = F.when(F.col("text").rlike(QUOTED), levelled(F.col("text")))
-    own = F.array_join(F.regexp_extract_all("__levels", F.lit("(?m)^0\u0001([^\n]*)$"), 1), "\n")
+    lines = F.split(F.when(F.col("text").rlike(QUOTED), levelled(F.col("text"))), "\n")
+    level = lambda x: F.substring_index(x, "\u0001", 1)
+    body = lambda x: F.substring_index(x, "\u0001", -1)
+    filled = lambda x: F.btrim(body(x), F.lit(BLANK)) != ""
+    own = F.array_join(F.transform(F.filter("__lines", lambda x: level(x) == "0"), body), "\n")
+    # lines of one level follow each other in a run; a mark that no line begins with divides runs
+    before = F.concat(F.array(F.lit("")), F.slice("__lines", F.lit(1), F.greatest(F.size("__lines") - 1, F.lit(0))))
+    together = lambda x, y: (level(x) == level(y)) & filled(x) & filled(y)
+    marked = F.zip_with("__lines", before, lambda x, y: F.concat(F.when(together(x, y), F.lit("\n")).otherwise(F.lit("\n\u0001")), x))
+    runs = F.filter(F.split(F.array_join(marked, ""), "\n\u0001"), lambda r: (r != "") & (level(r) != "0") & filled(r))
     passage = F.transform(
-        F.coalesce(F.regexp_extract_all("__levels", F.lit(RUN), 0), F.array().cast("array<string>")),
-        lambda r: F.struct(
-            F.substring_index(r, "\u0001", 1).cast("int").alias("level"), F.regexp_replace(r, "(?m)^[0-9]+\u0001", "").alias("passage")
-        ),
+        F.coalesce(runs, F.array().cast("array<string>")),
+        lambda r: F.struct(level(r).cast("int").alias("level"), F.regexp_replace(r, "(?m)^[0-9]+\u0001", "").alias("passage")),
     )
     return (
-        messages.withColumn("__levels", level)
-        .withColumn("own", F.when(F.col("__levels").isNull(), F.col("text")).otherwise(F.btrim(own, F.lit(BLANK))))
-        .withColumn("quotes", F.filter(passage, lambda q: q["level"] > 0))
-        .drop("__levels")
+        messages.withColumn("__lines", lines)
+        .withColumn("own", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.btrim(own, F.lit(BLANK))))
+        .withColumn("quotes", passage)
+        .drop("__lines")
     )
 
 
@@ -81,8 +91,10 @@ def links(messages: DataFrame) -> DataFrame:
     each = quoted.select("conv_id", "turn", F.posexplode("quotes").alias("i", "q")).select(
         "conv_id", "turn", "i", "q.level", F.explode(hashes(F.col("q.passage"), ("\n",))).alias("h")
     )
-    wanted = each.select("conv_id").distinct()
-    sources = messages.where("turn is not null").select("conv_id", "turn", "own").join(wanted, "conv_id", "left_semi")
+    # a long conversation's messages are dealt into parts; each part meets the conversation's id
+    salt = F.pmod(F.col("turn"), F.lit(SALTS)).cast("int").alias("salt")
+    wanted = each.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    sources = messages.where("turn is not null").select("conv_id", "turn", "own", salt).join(wanted, ["conv_id", "salt"], "left_semi")
     units = sources.select("conv_id", "turn", F.explode(hashes(F.col("own"), ("\n[ \t\r\f]*\n", "\n"))).alias("h"))
     first = units.groupBy("conv_id", "h").agg(F.min("turn").alias("source"))
     met = each.join(first, ["conv_id", "h"]).where("source < turn")

@@ -43,7 +43,7 @@ FREQUENT = 384
 #: Blocks that a text visits first, then next; then all whose bounds still reach.
 VISITED = (2, 8)
 #: Texts that are searched together.
-GROUP = 128
+GROUP = 32
 TERM = re.compile(r"\w+")
 
 

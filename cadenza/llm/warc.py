@@ -33,7 +33,8 @@ from cadenza.timeline import checkpoint_folder
 SMALLEST = 100
 SEGMENT = 65_536
 CHUNK = 16_384
-RECORDS_A_FILE = 2_000
+#: A record's block is at most SEGMENT bytes, so that a file is bounded in bytes too.
+RECORDS_A_FILE = 1_000
 DATE = "2025-01-01T00:00:00Z"
 END = "\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -310,11 +311,17 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     captures = whole.select(names).unionByName(grouped.mapInArrow(assemble, short))
     captures = common.stage(captures, "captures")
     responses = captures.where("record_type = 'response' and problem is null and page_id is not null")
-    known = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("bytes"), F.max("payload_digest").alias("digest"))
-    revisits = captures.where("record_type = 'revisit'").join(known, "refers_to", "left")
-    differs = F.col("payload_digest") != F.concat(F.lit("sha256:"), F.col("digest"))
+    # one page_id may stand for several payloads: a revisit that states its digest means the response with that
+    known = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("bytes"))
+    known = common.stage(known.withColumnRenamed("payload_digest", "digest"), "responses")
+    same = known.select("refers_to", F.concat(F.lit("sha256:"), F.col("digest")).alias("payload_digest"), F.col("bytes").alias("own"))
+    some = known.groupBy("refers_to").agg(F.max_by("bytes", "digest").alias("bytes"), F.max("digest").alias("digest"))
+    revisits = captures.where("record_type = 'revisit'").join(common.small(same), ["refers_to", "payload_digest"], "left").join(common.small(some), "refers_to", "left")
+    met, stated = F.col("own").isNotNull(), F.col("payload_digest").startswith("sha256:")
+    differs = ~met & F.coalesce(stated, F.lit(False))
     problem = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("digest").isNull(), "response missing").when(differs, "digest differs")
-    followed = revisits.withColumns({"problem": problem, "payload_bytes": F.col("bytes"), "payload_digest": F.col("digest")}).select(names)
+    digest = F.when(met, F.substring("payload_digest", 8, 64)).otherwise(F.col("digest"))
+    followed = revisits.withColumns({"problem": problem, "payload_bytes": F.coalesce("own", "bytes"), "payload_digest": digest}).select(names)
     return captures.where("record_type is null or record_type <> 'revisit'").select(names).unionByName(followed)
 
 

@@ -275,3 +275,13 @@ def test_matches_of_odd_rows(spark, odd, small):
     assert decontaminate.matches(documents, nulls).count() == 0 and decontaminate.clean(odd, nulls).count() == 6
     blocks = decontaminate.blocks(benchmark, 2_000)
     assert len(blocks) > 1 and sum(map(len, blocks)) == benchmark.count()
+
+
+def test_several_blocks_of_passages_are_one_query_set(spark, small, monkeypatch):
+    benchmark, documents = common.table(spark, small, "benchmark"), common.table(spark, small, "documents")
+    want = sorted(map(tuple, decontaminate.matches(documents, benchmark).collect()))
+    left = decontaminate.clean(documents, benchmark).count()
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (3_000,))
+    assert len(decontaminate.blocks(benchmark)) > 2 and want
+    assert sorted(map(tuple, decontaminate.matches(documents, benchmark).collect())) == want
+    assert decontaminate.clean(documents, benchmark).count() == left

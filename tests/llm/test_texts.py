@@ -216,6 +216,54 @@ def test_articles_of_the_table(spark, small):
 # --- quotations ----------------------------------------------------------------------------
 
 
+def test_deep_and_large_pages_take_their_length(spark):
+    """16,000 nested elements with a path each, and 1,500 nested paragraphs around 120 KB of text."""
+    import time
+
+    begin = time.process_time()
+    deep = "<div class='c/1 x'>" * 16_000 + "<p>Deep text, with words and commas, enough of them to count here.</p>"
+    page = html.parse(deep)
+    own = html.path(page, html.best(page))
+    assert html.extract(page, [own, "div"]) == "Deep text, with words and commas, enough of them to count here."
+    words = "some words, " * 10_000
+    nested = html.parse("<blockquote>" * 1_500 + words + "</blockquote>" * 1_500)
+    assert html.extract(nested, []) == " ".join(words.split())
+    assert time.process_time() - begin < 15
+    long = html.parse("<div>" * 200_000 + "x")  # a page of a megabyte
+    assert html.extract(long, ["/".join(["div"] * 3)]) in ("x", "") and time.process_time() - begin < 30
+
+
+def test_measures_are_those_of_the_text():
+    page = html.parse("<p>a, b<i>c</i> d <b> e,</b>f<nav>menu, x</nav> g</p>tail<ul><li>one</li><li></li></ul>  <a>l, k</a>")
+    measures = html.Measures(page)
+    for n in page.nodes:
+        text = html.content(page, n)
+        assert measures.of(n) == (len(text), text.count(","))
+
+
+def test_pages_of_many_hosts_are_dealt_out(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/{i}", PAGE % (i, i, "Words, commas, and more words to fill the page with enough text. " * 3)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(tuple(r) for r in html.main_text(pages, ["page_id"]).collect())
+    monkeypatch.setattr(html, "HOSTS", 1)
+    assert sorted(tuple(r) for r in html.main_text(pages, ["page_id"]).collect()) == want
+
+
+def test_long_quotations_and_deep_levels(spark):
+    quoted = "\n".join(f"> line {i}" for i in range(100_000))
+    rows = [(1, 0, "a", "line 77777"), (1, 1, "b", quoted + "\nmy answer"), (1, 2, "c", ">" * 20_000 + " deep\nshallow"), (1, 3, "d", "> " * 20_000 + "x\n" + "> blank\n>\n> blank" * 3)]
+    got = {r.turn: r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].text, got[1].n_quotes, got[1].reply_to) == ("my answer", 1, 0)
+    assert got[2].text == "shallow" and got[2].n_quotes == 1 and got[3].n_quotes == 5
+
+
+def test_a_million_quoted_lines(spark):
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: F.concat(F.lit("> l"), i.cast("string"))), "\n")
+    df = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("a").alias("role"), F.concat(lines, F.lit("\nown")).alias("text"))
+    row = quotes.parsed(df).select("own", F.size("quotes").alias("n"), F.length(F.col("quotes")[0]["passage"]).alias("m")).first()
+    assert (row.own, row.n) == ("own", 1) and row.m > 6_000_000
+
+
 def test_quotations_against_sql(spark):
     rows = [
         (1, 0, "u", "Hello there.\n\nSecond para\nline two"), (1, 1, "a", "> Hello there.\nHi!"), (1, 2, "u", "On Monday x wrote:\n> second PARA\n> line two\n>\n> nothing\nSure"),
@@ -332,6 +380,15 @@ def test_broken_archives_give_rows_with_problems(spark, tmp_path):
     assert [r.problem for r in warc.read(spark, str(tmp_path / "cut")).collect() if r.problem is None] == []
 
 
+def test_one_page_id_with_several_payloads(spark):
+    a, b = "<p>" + "a" * 200, "<p>" + "b" * 300
+    rows = [(5, "u", a), (5, "u", b), (7, "u", a), (8, "u", b)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    digest = {n: __import__("hashlib").sha256(x.encode()).hexdigest() for n, x in ((len(a), a), (len(b), b))}
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to or 0) for r in got) == [(5, 203, 0), (5, 303, 0), (7, 203, 5), (8, 303, 5)]
+    assert all(r.payload_digest == digest[r.payload_bytes] and r.problem is None for r in got)
+
+
 def test_archives_of_the_table_against_sql(spark, small):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{small}/pages.parquet'")

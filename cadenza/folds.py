@@ -181,18 +181,20 @@ def closing_map(ends: np.ndarray, span: int) -> list[tuple]:
     is_peak = np.r_[True, peaks[1:] > peaks[:-1]]
     tops = peaks[is_peak]
     at_last_word = np.flatnonzero(is_peak) == len(ends) - 1
-    following = np.searchsorted(tops, tops + span)
     n = len(tops)
-    leave, closes, fresh = [0] * n, [0] * n, [False] * n
-    for i in range(n - 1, -1, -1):
-        j = following[i]
-        if j == n:
-            leave[i], closes[i], fresh[i] = int(tops[i]), 1, bool(at_last_word[i])
-        else:
-            leave[i], closes[i], fresh[i] = leave[j], closes[j] + 1, fresh[j]
-    lo = [LOWEST, *(int(t) - span + 1 for t in tops)]
-    pieces = [(lo[i], False, leave[i], closes[i], fresh[i]) for i in range(n)]
-    pieces.append((lo[n], True, 0, 0, False))
+    # where the walk goes from each top, how often it closes on the way, and the last top it closes at
+    onward = np.append(np.searchsorted(tops, tops + span), n)
+    last, closes = np.append(np.arange(n), n), np.append(np.ones(n, np.int64), 0)
+    while (onward[:n] < n).any():  # pointers double
+        further = onward < n
+        last[further] = last[onward[further]]
+        closes[further] += closes[onward[further]]
+        onward[further] = onward[onward[further]]
+    leave, closes, fresh = tops[last[:n]], closes[:n], at_last_word[last[:n]]
+    changes = np.flatnonzero(np.r_[True, (leave[1:] != leave[:-1]) | (closes[1:] != closes[:-1]) | (fresh[1:] != fresh[:-1])])
+    lo = np.append(LOWEST, tops - span + 1)
+    pieces = [(int(lo[i]), False, int(leave[i]), int(closes[i]), bool(fresh[i])) for i in changes]
+    pieces.append((int(lo[n]), True, 0, 0, False))
     return compact(pieces)
 
 
@@ -214,30 +216,47 @@ def closing_walk(ends: np.ndarray, state: int, closed: int, fresh: bool, span: i
 
 
 def splitting_map(starts: np.ndarray, ends: np.ndarray, near: int, far: int) -> list[tuple]:
-    """State = where the open bucket began; a word with near <= end - state <= far starts a new one."""
-    pieces = identity()
-    for start, end in zip(starts[::-1].tolist(), ends[::-1].tolist()):
-        state, closes, _ = look_up(pieces, start)
-        pieces = _overwrite(pieces, end - far, end - near, (False, state, closes + 1, False))
-    return compact(pieces)
+    """State = where the open bucket began; a word with near <= end - state <= far starts a new one.
 
-
-def _overwrite(pieces: list[tuple], lo: int, hi: int, body: tuple) -> list[tuple]:
-    """Replace what the map says for states lo..hi."""
-    a = bisect.bisect_left(pieces, lo, key=lambda p: p[0])
-    b = bisect.bisect_right(pieces, hi + 1, key=lambda p: p[0]) - 1
-    tail = (hi + 1, *pieces[b][1:])
-    return pieces[:a] + [(lo, *body), tail] + pieces[b + 1 :]
+    Words are taken from the last to the first; each overwrites what the map says for the states that it
+    splits.  The pieces stand in descending order, so that the changes, which follow the words'
+    times, happen at the end of the lists.
+    """
+    below = [-LOWEST]  # the pieces' first states, negated
+    what: list[tuple] = [(True, 0, 0, False)]
+    for start, end in zip(starts[::-1].tolist(), ends[::-1].tolist()):
+        shift, value, closes, _ = what[bisect.bisect_left(below, -start)]
+        state = start + value if shift else value
+        lo, hi = end - far, end - near
+        after = bisect.bisect_left(below, -(hi + 1))  # the piece that holds hi + 1, from which it goes on above
+        until = bisect.bisect_right(below, -lo)  # pieces from here on begin below lo
+        rest = what[after]
+        top = [] if below[after] == -(hi + 1) else [-(hi + 1)]
+        keep = after + 1 if not top else after
+        # pieces that begin in lo..hi go; the one that holds hi + 1 keeps its part above
+        below[keep:until] = [*top, -lo]
+        what[keep:until] = [*([rest] if top else []), (False, state, closes + 1, False)]
+    return compact([(-x, *w) for x, w in zip(reversed(below), reversed(what))])
 
 
 def splitting_walk(starts: np.ndarray, ends: np.ndarray, state: int, splits: int, cold: bool, near: int, far: int):
     n = len(ends)
     number, began, first = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
-    for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
-        if cold and i == 0:
-            first[i] = True
-        elif near <= end - state <= far:
-            state, splits = start, splits + 1
-            first[i] = True
-        number[i], began[i] = splits, state
+    at = 0
+    if cold and n:
+        first[0], number[0], began[0], at = True, splits, state, 1
+    while at < n:
+        low, width, found = at, 64, n
+        while low < n and found == n:  # the next word that splits is seldom far
+            away = ends[low : low + width] - state
+            hits = np.flatnonzero((near <= away) & (away <= far))
+            if len(hits):
+                found = low + int(hits[0])
+            low, width = low + width, 2 * width
+        number[at:found], began[at:found] = splits, state
+        if found == n:
+            break
+        state, splits = int(starts[found]), splits + 1
+        number[found], began[found], first[found] = splits, state, True
+        at = found + 1
     return number, began, first, state, splits

@@ -91,23 +91,117 @@ def break_points(pos: np.ndarray, starts, ends, length: int, target: int) -> np.
     return np.minimum(np.where(lo < hi, best, goal), length)
 
 
+def break_forms(low: int, high: int, starts, ends, length: int, target: int):
+    """How the break point depends on the position, for positions low to high - 1.
+
+    Yields (from, to, kind, value): the break is ``value`` (kind 0), the position plus ``value`` (1), or half of
+    that (2).  Between the positions where the search range meets an end of a silence, the part of each
+    silence inside the range grows or shrinks with the position or stays; the widest is followed
+    along these lines.
+    """
+    left, right = max(target - BREAK_BEFORE_MS, 0), target + BREAK_AFTER_MS
+    first, stop = np.searchsorted(ends, low + left, side="right"), np.searchsorted(starts, min(high + right, length))
+    s, e = starts[first:stop], ends[first:stop]
+    edges = np.concatenate([[low, high, length - right, length - left, length - target], s - left, e - left, s - right, e - right]).astype(np.int64)
+    edges = np.unique(np.concatenate([edges, edges + 1]))
+    edges = edges[(edges >= low) & (edges <= high)].tolist()
+    for at, end in zip(edges, edges[1:]):
+        while at < end:
+            lo, hi = at + left, min(at + right, length)
+            goal = (1, target) if at + target <= length else (0, length)
+            if lo >= hi:
+                yield at, end, *goal
+                break
+            moves = 0 if at + right >= length else 1
+            i, j = int(np.searchsorted(e, lo, side="right")), int(np.searchsorted(s, hi))
+            a, b = np.maximum(s[i:j], lo), np.minimum(e[i:j], hi)
+            width, inner, outer = b - a, s[i:j] <= lo, e[i:j] >= hi
+            slope = np.where(outer, moves, 0) - inner
+            c = int(np.argmax(width)) if j > i else -1
+            if c < 0 or width[c] <= 0:
+                # none is inside; one may come in at the next edge only
+                upto = end if c < 0 or (slope <= 0).all() else at + 1
+                yield at, upto, *goal
+                at = upto
+                continue
+            faster = slope - slope[c]
+            behind = width[c] - width
+            # a later silence must become wider, an earlier one as wide
+            until = np.where(np.arange(j - i) > c, behind // np.maximum(faster, 1) + 1, -(-behind // np.maximum(faster, 1)))
+            until = until[faster > 0]
+            upto = min(end, at + max(1, int(until.min()))) if len(until) else end
+            shrinks = int(width[c]) if slope[c] < 0 else 0  # it must stay inside
+            if shrinks:
+                upto = min(upto, at + max(1, shrinks))
+            x, y = (left if inner[c] else int(s[i + c])), (right if outer[c] and moves else int(b[c]))
+            kind = int(bool(inner[c])) + int(bool(outer[c] and moves))
+            yield (at, upto, 0, (x + y) // 2) if kind == 0 else (at, upto, 2, x + y) if kind == 1 else (at, upto, 1, (x + y) // 2)
+            at = upto
+
+
 def break_map(begin: int, end: int, starts, ends, length: int, target: int, shortest: int) -> list[tuple]:
-    """Entries can only lie within one target plus the search range of ``begin``."""
-    entry = np.arange(begin, min(end, length, begin + target + BREAK_AFTER_MS) + 1, dtype=np.int64)
-    pos, kept = entry.copy(), np.zeros(len(entry), np.int64)
-    while True:
-        live = pos < min(end, length)
-        if not live.any():
-            break
-        stop = break_points(pos[live], starts, ends, length, target)
-        kept[live] += stop - pos[live] >= shortest
-        pos[live] = stop
-    pos = np.where(pos >= length, DONE, pos)
-    cut = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (kept[1:] != kept[:-1])])
+    """Where a plan that enters [begin, end) leaves it; entries lie within one target plus the search range of ``begin``.
+
+    Ranges of entries are walked together: after any number of steps the position is a constant or
+    (entry + value) >> halvings.  Ranges end where the form of a step changes, so that the work
+    follows the silences, not the milliseconds.
+    """
+    stop = min(end, length)
+    last = min(end, length, begin + target + BREAK_AFTER_MS) + 1
+    known: dict[int, tuple[int, int]] = {}
+
+    def walked(pos: int) -> tuple[int, int]:
+        path = []
+        while pos < stop and pos not in known:
+            path.append(pos)
+            pos = int(break_points(np.array([pos]), starts, ends, length, target)[0])
+        final, kept = known.get(pos, (pos, 0))
+        for p in reversed(path):
+            kept += pos - p >= shortest
+            known[p] = final, kept
+            pos = p
+        return final, kept
+
+    todo, done = [(begin, last, 0, 0, 0)], []
+    while todo:
+        lo, hi, halved, value, kept = todo.pop()
+        a, b = (lo + value) >> halved, (hi - 1 + value) >> halved
+        if a >= stop:
+            done.append((lo, hi, halved, value, kept))
+        elif a == b:
+            final, more = walked(a)
+            done.append((lo, hi, -1, final, kept + more))
+        else:
+            if b >= stop:
+                at = (stop << halved) - value
+                done.append((at, hi, halved, value, kept))
+                hi, b = at, stop - 1
+            for x, y, kind, z in break_forms(a, b + 1, starts, ends, length, target):
+                # chunks that begin before ``cut`` are long enough
+                cut = z - shortest + 1 if kind == 0 else z - 2 * shortest + 1 if kind == 2 else y if z >= shortest else x
+                for u, v in ((x, min(y, cut)), (max(x, cut), y)):
+                    if u >= v:
+                        continue
+                    first, until, more = max(lo, (u << halved) - value), min(hi, (v << halved) - value), kept + (u < cut)
+                    if kind == 0:
+                        final, further = walked(z)
+                        done.append((first, until, -1, final, more + further))
+                    else:
+                        todo.append((first, until, halved + (kind == 2), value + (z << halved), more))
     pieces = [(folds.LOWEST, True, 0, 0, False)]
-    pieces += [(int(entry[i]), False, int(pos[i]), int(kept[i]), False) for i in cut]
-    pieces.append((int(entry[-1]) + 1, True, 0, 0, False))
-    return pieces
+    for lo, hi, halved, value, kept in sorted(done):
+        if halved < 0:
+            pieces.append((lo, False, DONE if value >= length else value, kept, False))
+        elif halved == 0 and hi - 1 + value < length:
+            pieces.append((lo, True, value, kept, False))
+        else:
+            at = lo
+            while at < hi:
+                pos = (at + value) >> halved
+                pieces.append((at, False, DONE if pos >= length else pos, kept, False))
+                at = hi if pos >= length else ((pos + 1) << halved) - value
+    pieces.append((last, True, 0, 0, False))
+    return folds.compact(pieces)
 
 
 def break_walk(pos: int, number: int, end: int, starts, ends, length: int, target: int, shortest: int):

@@ -184,3 +184,57 @@ def test_break_planner_matches_the_loop_for_any_slicing():
             got += [(a, b) for _, a, b in out]
             pos, number = after, count
         assert got == _breaks(sil, length, 45_000, 10_000)
+
+
+def test_maps_of_very_many_words_in_one_slice():
+    """A million words: maps and walks take seconds, also where starts are out of order."""
+    import time
+
+    rng = np.random.default_rng(5)
+    starts = np.cumsum(rng.integers(0, 200, 1_000_000))
+    ends = starts + rng.integers(20, 300, len(starts))
+    begin = time.process_time()
+    pieces = folds.splitting_map(starts, ends, 3750, 4250)
+    number, _, _, state, splits = folds.splitting_walk(starts, ends, int(starts[0]), 0, False, 3750, 4250)
+    assert folds.look_up(pieces, int(starts[0]))[:2] == (state, splits) and splits > 10_000
+    pieces = folds.closing_map(ends, 4000)
+    number, began, _ = folds.closing_walk(ends, int(starts[0]), 0, True, 4000)
+    assert folds.look_up(pieces, int(starts[0]))[1] in (int(number[-1]), int(number[-1]) + 1)
+    assert time.process_time() - begin < 40
+
+
+def test_break_maps_are_right_for_every_entry():
+    """Each millisecond at which a plan may enter, walked alone, with long, short, touching and equal silences."""
+    rng = random.Random(8)
+    for trial in range(25):
+        length = rng.randint(20_000, 120_000)
+        sil = _silences(rng, length)
+        if trial % 3 == 0:
+            sil = [(i * 4_000 + 500, i * 4_000 + rng.choice([1_500, 1_500, 3_900, 4_500])) for i in range(length // 4_000 - 1)]
+            sil = [s for s in sil if s[1] < length]
+        s, e = np.array([a for a, _ in sil], np.int64), np.array([b for _, b in sil], np.int64)
+        target, shortest = rng.choice([(7_000, 3_000), (30_000, 10_000), (12_000, 2_000)])
+        begin, end = rng.choice([(0, 30_000), (20_000, 60_000), (10_000, 500_000)])
+        if begin >= length:
+            continue
+        pieces = planning.break_map(begin, end, s, e, length, target, shortest)
+        entry = np.arange(begin, min(end, length, begin + target + planning.BREAK_AFTER_MS) + 1)
+        pos, kept = entry.copy(), np.zeros(len(entry), np.int64)
+        while (live := pos < min(end, length)).any():
+            stop = planning.break_points(pos[live], s, e, length, target)
+            kept[live] += stop - pos[live] >= shortest
+            pos[live] = stop
+        pos = np.where(pos >= length, planning.DONE, pos)
+        got = [folds.look_up(pieces, int(p))[:2] for p in entry]
+        assert got == list(zip(pos.tolist(), kept.tolist()))
+
+
+def test_break_maps_follow_silences_not_milliseconds():
+    import time
+
+    rng = np.random.default_rng(9)
+    s = np.cumsum(rng.integers(2_000, 8_000, 600))
+    e = s + rng.integers(300, 1_500, 600)
+    begin = time.process_time()
+    sizes = [len(planning.break_map(k * 300_000, (k + 1) * 300_000, s, e, int(e[-1]) + 5_000, 60_000, 20_000)) for k in range(1, 8)]
+    assert max(sizes) < 1_000 and time.process_time() - begin < 3

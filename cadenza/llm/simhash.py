@@ -397,7 +397,7 @@ def hexadecimal(fp: Column) -> Column:
 
 #: For pairs of similarity 0.8 (Jaccard of five-word shingles): their cosine is about 8/9, so that 0.15 of the bits differ.
 NEAR_WORDS = 5
-NEAR_BITS = 14
+NEAR_BITS = 10
 NEAR_MORE = 2
 NEAR_TOTAL = 40
 SIMILARITY = 0.8
@@ -477,8 +477,8 @@ def verified(groups: DataFrame, least: float) -> DataFrame:
 def similar_components(df: DataFrame, words: int = NEAR_WORDS, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` as (doc_id, __node), on disk, and (node, root) of every text with a similar other text.
 
-    Equal texts are one node.  SimHash links (at most NEAR_BITS of 64 bits and NEAR_TOTAL of all)
-    gather what may be similar in components; inside these the Jaccard similarity of the shingle
+    Equal texts are one node.  SimHash links (at most NEAR_BITS bits of any of three 64-bit words, and
+    NEAR_TOTAL of all) gather what may be similar in components; inside these the Jaccard similarity of the shingle
     sets is exact, and only pairs with ``least`` or more link.  A component with many
     texts or shingles is dealt into blocks, and every two blocks are compared as one group.
     """
@@ -487,7 +487,13 @@ def similar_components(df: DataFrame, words: int = NEAR_WORDS, least: float = SI
     marked = common.stage(fingerprints(texts, words, ["doc_id", "__node"], NEAR_MORE), "marked")
     names = ["fp", *(f"w{i}" for i in range(1, NEAR_MORE + 1))]
     nodes = common.stage(marked.groupBy(F.col("__node").alias("node")).agg(*[F.first(n).alias(n) for n in names]), "nodes")
-    loose = common.stage(components(links(nodes, NEAR_BITS, NEAR_TOTAL)).select(F.col("fp").alias("__node"), "root"), "loose")
+    found = None
+    for k in range(len(names)):
+        # each word in turn is the one that is probed
+        turned = [F.col(n).alias(m) for n, m in zip([*names[k:], *names[:k]], names, strict=True)]
+        own = links(nodes.select("node", *turned), NEAR_BITS, NEAR_TOTAL)
+        found = own if found is None else found.unionAll(own)
+    loose = common.stage(components(found.distinct()).select(F.col("fp").alias("__node"), "root"), "loose")
     linked = texts.drop("doc_id").join(common.small(loose), "__node").dropDuplicates(["__node"])
     sets = common.stage(
         common.with_columns(linked, lambda text: [[shingles(t, words).view(np.int64) for t in common.texts(text)]], ["text"], "set array<long>", ["__node", "root"]).withColumnRenamed("__node", "node"),

@@ -747,6 +747,18 @@ _BODY: dict[str, str] = {
         anomaly AS cadence_anomaly, CASE severity WHEN 'normal' THEN 'low' WHEN 'mild' THEN 'medium' WHEN 'moderate' THEN 'high' ELSE 'critical' END AS cadence_severity,
         {r('start_ms / 1000.0')} AS start_timestamp, {r('end_ms / 1000.0')} AS end_timestamp, {r('(end_ms - start_ms) / 1000.0')} AS duration, {hu('wps', 3)} AS words_per_second FROM timing""",
     "warehouse_checks": "SELECT CAST(recording_id AS VARCHAR) AS job_id, '' AS bucket_id, '' AS failed_check FROM timing WHERE confidence < 0 OR confidence > 1",
+    "warehouse_jobs": f"""SELECT CAST(recording_id AS VARCHAR) AS job_id, 'recording_' || recording_id AS input_path, 'queued' AS status, 'large-v3' AS model_size, 'auto' AS language,
+        1.75 AS speed_multiplier, false AS enhanced_analysis, false AS speaker_diarization, {r('duration_ms / 1000.0')} AS duration_seconds FROM durations""",
+    "warehouse_words": f"""SELECT recording_id || '/' || printf('bucket_%05d', bucket_index) AS bucket_id,
+        CAST(row_number() OVER (PARTITION BY recording_id, bucket_index ORDER BY rn) - 1 AS INT) AS word_index, word, {r('start_ms / 1000.0')} AS start_timestamp, {r('end_ms / 1000.0')} AS end_timestamp,
+        {r('CAST(CAST(probability AS DECIMAL(4,3)) AS DOUBLE)')} AS probability, {r('(end_ms - start_ms) / 1000.0')} AS duration FROM bucketed""",
+    "warehouse_cadence": f"""SELECT CAST(recording_id AS VARCHAR) AS job_id, {hu('gm', 6)} AS gap_mean, CAST(total_words AS INT) AS total_words, CAST(gap_count AS INT) AS total_gaps, 1.5 AS anomaly_threshold,
+        CAST(odd AS INT) AS anomalous_buckets, {', '.join(f"{hu(f'p{p}', 6)} AS gap_p{p}" for p in (50, 75, 90, 95, 99))}, summary AS cadence_summary FROM new_a""",
+    "warehouse_speakers": "SELECT CAST(recording_id AS VARCHAR) AS job_id, CAST(spk AS INT) AS speaker_count, CAST(k AS INT) AS overlaps_detected FROM dsum",
+    "warehouse_metrics": f"""SELECT CAST(recording_id AS VARCHAR) AS job_id, CAST(count(*) AS INT) AS chunks_processed, 0 AS chunks_failed, {r('any_value(duration_ms) / 1000.0')} AS original_duration_seconds
+        FROM runs JOIN durations USING (recording_id) GROUP BY recording_id""",
+    "warehouse_violations": """SELECT CAST(recording_id AS VARCHAR) AS job_id, printf('bucket_%05d', bucket_index) AS bucket_id, 'reference' AS failed_check FROM timing WHERE recording_id % 3 = 0
+        UNION ALL SELECT CAST(recording_id AS VARCHAR), 'bucket_00000', 'unique' FROM timing WHERE bucket_index = 0""",
     "job_status_summary": f"""SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'queued' END AS status, strftime(o_orderdate, '%Y-%m-%d') AS created_at,
         CAST(o_orderkey % 3600 AS INT) AS processing_time_seconds, o_orderkey * 1000 AS file_size_bytes, {r('CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)')} AS duration_seconds,
         coalesce(tb, 0) AS total_buckets, coalesce(ab, 0) AS anomalous_buckets, {r('ac')} AS avg_confidence, {r('(o_orderkey % 1000) / 1000.0')} AS gap_mean,

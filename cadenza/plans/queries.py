@@ -916,6 +916,61 @@ def warehouse_checks(k):
     return warehouse.check_buckets(warehouse.to_warehouse_buckets(k.timing.drop("text", "speaker_overlap"), texts))
 
 
+def delivered(k, name: str, rows: DataFrame, other: DataFrame) -> DataFrame:
+    """The table after ``other``, rows of the same keys, has been delivered and then replaced by ``rows``."""
+    path = f"{checkpoint_folder(k.spark)}/warehouse-{uuid.uuid4().hex}"
+    warehouse.deliver(other, path, name)
+    warehouse.deliver(rows, path, name)
+    return warehouse.current_table(k.spark, path, name)
+
+
+def in_doubles(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in df.schema.fields])
+
+
+@query
+def warehouse_jobs(k):
+    rows = settle(warehouse.to_transcription_jobs(k.durations))
+    out = delivered(k, "transcription_jobs", rows, rows.withColumn("status", F.lit("failed")))
+    return in_doubles(out.drop("created_at", "output_path", "started_at", "completed_at", "processing_time_seconds", "file_size_bytes", "error_message"))
+
+
+@query
+def warehouse_words(k):
+    rows = settle(warehouse.to_word_timestamps(k.cut))
+    # the first delivery has more words in every bucket; they must not stay
+    more = rows.unionByName(rows.withColumns({"word_index": F.col("word_index") + 100_000, "word": F.lit("stale")}))
+    return in_doubles(delivered(k, "word_timestamps", rows, more))
+
+
+@query
+def warehouse_cadence(k):
+    rows = settle(warehouse.to_cadence_analysis(k.timing_analysis))
+    return in_doubles(delivered(k, "cadence_analysis", rows, rows.withColumn("total_words", F.lit(0))).drop("gap_std"))
+
+
+@query
+def warehouse_speakers(k):
+    rows = settle(warehouse.to_speaker_analysis(speakers.diarization_summary(k.turns, k.overlaps)))
+    return in_doubles(delivered(k, "speaker_analysis", rows, rows.withColumn("speaker_count", F.lit(-1))).drop("confidence_score"))
+
+
+@query
+def warehouse_metrics(k):
+    rows = settle(warehouse.to_processing_metrics(k.runs, k.durations))
+    out = delivered(k, "processing_metrics", rows, rows.where("false"))
+    return in_doubles(out.select("job_id", "chunks_processed", "chunks_failed", "original_duration_seconds"))
+
+
+@query
+def warehouse_violations(k):
+    """Buckets of every third recording have no job, and one of its buckets comes twice."""
+    texts = k.buckets.select(KEY, "bucket_index", "text")
+    rows = settle(warehouse.to_warehouse_buckets(k.timing.drop("text", "speaker_overlap"), texts))
+    jobs = warehouse.to_transcription_jobs(k.durations.where(F.col(KEY) % 3 != 0))
+    return warehouse.check_table(rows.unionByName(rows.where("bucket_id = 'bucket_00000'")), "timing_buckets", jobs).distinct()
+
+
 @query
 def job_status_summary(k):
     rows = warehouse.job_status_summary(

@@ -126,6 +126,31 @@ def test_warehouse_round_trip(spark, tmp_path):
     assert warehouse.read_table(spark, str(tmp_path), "timing_buckets").first().duration == Decimal("3.750")
 
 
+def test_deliveries_replace_by_key_and_report_checks(spark, tmp_path):
+    from cadenza import schemas
+
+    def row(job, bucket, confidence="0.9", severity="low", words=3):
+        return (job, bucket, Decimal("1.500"), Decimal("5.250"), "t", words, 2, Decimal("0.1"), Decimal("0.01"), Decimal("1"), Decimal("2"), Decimal("1"), Decimal(confidence), False, False, severity)
+
+    def buckets(*rows):
+        return spark.createDataFrame(list(rows), schemas.TIMING_BUCKETS)
+
+    path, name = str(tmp_path), "timing_buckets"
+    jobs = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "recording_id bigint, duration_ms bigint")
+    parents = warehouse.to_transcription_jobs(jobs)
+    assert warehouse.current_table(spark, path, name).count() == 0
+    assert warehouse.deliver(buckets(), path, name).count() == 0 and warehouse.current_table(spark, path, name).count() == 0
+    assert warehouse.deliver(buckets(row("1", "a"), row("1", "b"), row("2", "a")), path, name, parents).count() == 0
+    # job 1 comes again with one bucket; job 3 breaks three rules; job 9 is unknown; a key comes twice
+    bad = warehouse.deliver(buckets(row("1", "c", words=7), row("3", "x", "1.5"), row("3", "y", "0.5", "odd"), row("9", "a"), row("3", "z"), row("3", "z"), row("3", "ok")), path, name, parents)
+    assert sorted((r.job_id, r.bucket_id, r.failed_check) for r in bad.collect()) == [("3", "x", "confidence"), ("3", "y", "cadence_severity"), ("3", "z", "unique"), ("9", "a", "reference")]
+    now = warehouse.current_table(spark, path, name)
+    assert sorted((r.job_id, r.bucket_id, r.word_count) for r in now.collect()) == [("1", "c", 7), ("2", "a", 3), ("3", "ok", 3)]
+    assert now.first().duration == Decimal("3.750")
+    folders = warehouse._manifest(spark, f"{path}/{name}")[1]
+    assert len({f.rpartition("/")[0] for f in folders.values()}) > 1  # untouched parts stay where they are
+
+
 def test_failures_become_rows(spark):
     def fn(row: pd.DataFrame, state) -> pd.DataFrame:
         if int(row["x"].iloc[0]) == 2:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.functions import columns as c
-from cadenza.operators import buckets, cadence, chunks, hooks, legacy, reprocess, speakers, uncertainty, warehouse, words
+from cadenza.operators import buckets, cadence, chunks, hooks, legacy, reprocess, search, speakers, uncertainty, warehouse, words
 from cadenza.plans import fixtures as fx
 from cadenza.sources import documents, render, writers
 from cadenza.streaming import streams
@@ -1068,6 +1068,23 @@ def recording_report(k):
     return warehouse.recording_report(k.durations, k.quality, talk, k.timing_analysis)
 
 
+@query
+def search_index(k):
+    """Half of the rows are appended to an index that holds the other half."""
+    path = f"{checkpoint_folder(k.spark)}/index-{uuid.uuid4().hex}"
+    rows = k.buckets.select(KEY, "bucket_index", "text")
+    for odd in (0, 1):
+        search.append_text(rows.where(F.pmod(F.col("bucket_index"), F.lit(2)) == odd), path)
+    return search.search_index(k.spark, path, "THE")
+
+
+@query
+def srt_packed(k):
+    path = f"{checkpoint_folder(k.spark)}/packed-{uuid.uuid4().hex}"
+    writers.write_packed({"srt": srt_plain(k)}, path)
+    return writers.read_packed(k.spark, path, "srt")
+
+
 @query
 def search_text(k):
     return warehouse.search_text(k.buckets.select(KEY, "bucket_index", "text"), "THE").select(KEY, "bucket_index", "hits")

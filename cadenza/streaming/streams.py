@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from cadenza.operators.chunks import keep_core_segments
 
@@ -235,3 +235,108 @@ def stream_bucketize(words: DataFrame, bucket_ms: int = 4000, idle_ms: int = 60_
             timeMode="EventTime",
         )
     )
+
+
+PROGRESS = StructType([StructField("job_id", LongType()), StructField("processed", LongType()), StructField("succeeded", LongType()), StructField("failed", LongType())])
+
+
+class ProgressProcessor(StatefulProcessor):
+    """The newest report of every chunk of a job, and the job's counts, which follow its corrections.
+
+    Chunks are entries of a map state, so that a job of any size is read and written by the chunks that
+    report; counts change by the difference that a report makes.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.chunks = handle.getMapState("chunks", "chunk_id long", "micros long, status string")
+        self.counts = handle.getValueState("counts", "processed long, succeeded long, failed long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest: dict[int, tuple[int, str]] = {}
+        for batch in rows:
+            for chunk, ts, status in zip(batch["chunk_id"], batch["ts"], batch["status"], strict=True):
+                report = (int(ts.value) // 1000, str(status))
+                newest[int(chunk)] = max(report, newest.get(int(chunk), report))
+        counts = dict(zip(("processed", "success", "failed"), map(int, self.counts.get()), strict=True)) if self.counts.exists() else dict.fromkeys(("processed", "success", "failed"), 0)
+        for chunk, report in newest.items():
+            if self.chunks.containsKey((chunk,)):
+                old = tuple(self.chunks.getValue((chunk,)))
+                if (int(old[0]), old[1]) >= report:
+                    continue
+                if old[1] in counts:
+                    counts[old[1]] -= 1
+            else:
+                counts["processed"] += 1
+            if report[1] in counts:
+                counts[report[1]] += 1
+            self.chunks.updateValue((chunk,), report)
+        self.counts.update((counts["processed"], counts["success"], counts["failed"]))
+        yield pd.DataFrame([(key[0], counts["processed"], counts["success"], counts["failed"])], columns=PROGRESS.names)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_latest_progress(chunk_events: DataFrame) -> DataFrame:
+    """``stream_progress`` as a stream of corrections: of repeated reports of a chunk the latest counts.
+
+    ``chunk_events`` has job_id, chunk_id, ts and status.  Each micro-batch gives the present counts of every
+    job that it reports on (update mode); the last row of a job equals the static form.  Reports may come
+    in any order.  Needs the RocksDB state store.
+    """
+    if not chunk_events.isStreaming:
+        return stream_progress(chunk_events)
+    rows = chunk_events.where("job_id is not null and chunk_id is not null and ts is not null and status is not null")
+    return rows.select("job_id", "chunk_id", "ts", "status").groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=ProgressProcessor(), outputStructType=PROGRESS, outputMode="Update", timeMode="None"
+    )
+
+
+ALERTS = StructType(
+    [
+        StructField("window_start", TimestampType()),
+        StructField("window_end", TimestampType()),
+        StructField("errors", LongType()),
+        StructField("requests", LongType()),
+        StructField("rate", DoubleType()),
+        StructField("alert", BooleanType()),
+    ]
+)
+
+
+class SustainedProcessor(StatefulProcessor):
+    """Marks windows whose rate and those of the windows before, a minute apart, are all over the threshold."""
+
+    def __init__(self, threshold: float, slides: int):
+        self.threshold, self.slides = threshold, slides
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.over = handle.getValueState("over", "minutes array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        windows = pd.concat(list(rows)).sort_values("window_start")  # closed windows, one a minute
+        over = [int(m) for m in self.over.get()[0]] if self.over.exists() else []
+        alerts = []
+        for start, rate in zip(windows["window_start"], windows["rate"], strict=True):
+            minute = int(start.timestamp()) // 60
+            # a window that is missing had no events and ends the run
+            over = [m for m in over if m > minute - self.slides] + ([minute] if rate > self.threshold else [])
+            alerts.append(len(over) == self.slides)
+        self.over.update((over,))
+        yield windows.assign(alert=alerts)[ALERTS.names]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sustained(rates: DataFrame, threshold: float = 0.05, slides: int = 5) -> DataFrame:
+    """``sustained`` for the stream of ``stream_error_rate``: each window with ``alert`` as soon as it is closed.
+
+    Windows arrive closed and in order of time; the state is the last ``slides`` minutes over the
+    threshold.  Needs append mode and the RocksDB state store.
+    """
+    if not rates.isStreaming:
+        return sustained(rates, threshold, slides)
+    return rates.withColumn("all_windows", F.lit(0)).groupBy("all_windows").transformWithStateInPandas(
+        statefulProcessor=SustainedProcessor(threshold, slides), outputStructType=ALERTS, outputMode="Append", timeMode="None"
+    )

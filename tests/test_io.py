@@ -126,6 +126,36 @@ def test_warehouse_round_trip(spark, tmp_path):
     assert warehouse.read_table(spark, str(tmp_path), "timing_buckets").first().duration == Decimal("3.750")
 
 
+def test_index_finds_terms_and_phrases(spark, tmp_path):
+    from cadenza.operators import search
+
+    path = str(tmp_path / "index")
+    rows = [(1, 0, "The cat saw the dog"), (1, 1, "a dog, the cat"), (2, 0, None), (2, 1, ""), (2, 2, "the the THE")]
+    df = spark.createDataFrame(rows, "recording_id bigint, bucket_index bigint, text string")
+    search.append_text(df.where("recording_id = 1"), path)
+    search.append_text(df.where("recording_id = 2"), path)
+    got = lambda *a: sorted(tuple(r) for r in search.search_index(spark, path, *a).collect())
+    assert got("THE") == [(1, 0, 2), (1, 1, 1), (2, 2, 3)] and got("dog cat the") == [(1, 0, 4), (1, 1, 3)]
+    assert got("the cat", True) == [(1, 0, 1), (1, 1, 1)] and got("the the", True) == [(2, 2, 2)] and got("dog cat", True) == []
+    assert got("") == [] and got("zebra") == []
+    want = sorted((r.recording_id, r.bucket_index, r.hits) for r in warehouse.search_text(df, "the dog").collect())
+    assert got("the dog") == want
+    plan = search.search_index(spark, path, "cat")._jdf.queryExecution().executedPlan().toString()
+    assert "part#" in plan.split("PartitionFilters")[1].split("]")[0] and "term" in plan.split("PushedFilters")[1].split("]")[0]
+
+
+def test_packed_documents_are_few_files_and_read_back(spark, tmp_path):
+    i = F.col("id")
+    rows = spark.range(6_000).select((i / 2).cast("bigint").alias("recording_id"), (i % 2).alias("segment_id"), (i % 2 * 1_000).alias("start_ms"), (i % 2 * 1_000 + 900).alias("end_ms"), F.concat(F.lit("t "), i.cast("string")).alias("text"), F.lit(-0.5).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"))
+    lines = render.to_srt(rows)
+    writers.write_packed({"srt": lines}, str(tmp_path))
+    assert 0 < len(list((tmp_path / "srt").glob("part-*"))) <= 8  # 3,000 recordings
+    got = [r.line for r in writers.read_document(spark, str(tmp_path), "srt", 1_234).collect()]
+    want = [r.line for r in lines.where("recording_id = 1234").orderBy(*render.LINE_ORDER).collect()]
+    assert got == want and "t 2468" in got
+    assert writers.read_packed(spark, str(tmp_path), "srt").exceptAll(lines.select("recording_id", *render.LINE_ORDER, "line")).count() == 0
+
+
 def test_deliveries_replace_by_key_and_report_checks(spark, tmp_path):
     from cadenza import schemas
 

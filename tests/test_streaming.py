@@ -124,3 +124,28 @@ def test_stateful_buckets_equal_batch(spark, small, tmp_path):
     want = buckets.bucket_table(buckets.bucketize(clean)).select("recording_id", "bucket_index", "start_ms", "end_ms", "word_count", "text")
     assert got.where("recording_id < 4").exceptAll(want).count() == 0
     assert want.exceptAll(got).count() == 0
+
+
+def test_latest_report_of_a_chunk_counts_in_the_stream(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    reports = [(1, 1, 0, "failed"), (1, 2, 1, "success"), (2, 1, 2, "success"), (1, 1, 3, "success"), (1, 2, 9, "failed"), (1, 2, 5, "success"), (1, 3, 6, "running"), (2, 1, 7, "success"), (1, 3, 8, "success")]
+    rows = [(j, c, base + timedelta(seconds=s), status, i) for i, (j, c, s, status) in enumerate(reports)]
+    df = spark.createDataFrame(rows, "job_id bigint, chunk_id bigint, ts timestamp, status string, i bigint")
+    _split(df, str(tmp_path / "l"), "i", 3)  # in order of arrival, which is not that of time
+    got = _finish(streams.stream_latest_progress(_stream(spark, str(tmp_path / "l"))), "latest", "update", tmp_path).collect()
+    last = {r.job_id: tuple(r) for r in got}
+    assert last == {r.job_id: tuple(r) for r in streams.stream_progress(df).collect()} == {1: (1, 3, 2, 1), 2: (2, 1, 1, 0)}
+
+
+def test_sustained_alerts_of_the_stream_are_the_static_ones(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    # errors all along minutes 20 to 39, with a pause of all events in minutes 50 to 59
+    rows = [(base + timedelta(minutes=m, seconds=s), "error" if 20 <= m < 40 and s < 30 else "ok") for m in range(80) if not 50 <= m < 60 for s in (0, 20, 40)]
+    df = spark.createDataFrame(rows, "ts timestamp, kind string")
+    _split(df, str(tmp_path / "a"), "ts", 4)
+    is_error = F.col("kind") == "error"
+    rates = streams.stream_error_rate(_stream(spark, str(tmp_path / "a")), is_error, mode="ratio")
+    got = _finish(streams.stream_sustained(rates, 0.1), "alerts", "append", tmp_path)
+    want = streams.sustained(streams.stream_error_rate(df, is_error, mode="ratio"), 0.1)
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() > 50
+    assert 10 < got.where("alert").count() < 40

@@ -865,6 +865,12 @@ def cadence_report(k):
     return render.to_cadence_report(k.timing_analysis, k.timing)
 
 
+@query
+def cadence_report_older(k):
+    """The report on the buckets of the older rule, as the timing command exports it."""
+    return render.to_cadence_report(legacy.cadence_analysis(k.legacy_cadence, k.flagged), k.flagged)
+
+
 @query
 def quality_report_text(k):
     advice = uncertainty.recommendations(k.analysis, k.quality)

@@ -115,18 +115,75 @@ def stream_merge_chunks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
     return keep_core_segments(segments, chunks)
 
 
-def overwrite_chunks(path: str):
+def overwrite_chunks(path: str, compact_every: int | None = None):
     """``foreachBatch`` sink for ``delivered_chunks``: each micro-batch is kept under its number.
 
-    A micro-batch that runs again replaces only itself; what earlier ones brought stays.
+    A micro-batch that runs again replaces only itself; what earlier ones brought stays.  With
+    ``compact_every`` the folders are put together after every so many micro-batches.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={int(epoch)}")
+        if compact_every and epoch and epoch % compact_every == 0:
+            compact_chunks(batch.sparkSession, path)
 
     return write
 
 
+def _bases(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(last epoch, folder) of the compacted states beside ``path``, oldest first; only whole ones."""
+    return sorted((int(f.rpartition("=")[2]), f) for f in _folders(spark, f"{path}-compacted", "upto=") if _exists(spark, f"{f}/_SUCCESS"))
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where, files = _hadoop(spark, path)
+    return files.exists(where)
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    where, files = _hadoop(spark, path)
+    return [f"{path}/{s.getPath().getName()}" for s in files.listStatus(where) if s.getPath().getName().startswith(prefix)] if files.exists(where) else []
+
+
+def _kept_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``delivered_chunks`` with their micro-batch: the newest compacted state and what came after it."""
+    bases = _bases(spark, path)
+    rows = spark.read.option("basePath", path).parquet(path)
+    if bases:
+        upto, folder = bases[-1]
+        rows = rows.where(F.col("epoch") > upto).unionByName(spark.read.parquet(folder), allowMissingColumns=True)
+    key = ["recording_id", "chunk_id"]
+    if "delivery" in rows.columns:
+        newest = rows.groupBy(*key).agg(F.max("delivery").alias("delivery"))
+        rows = rows.join(newest, [*key, "delivery"], "left_semi")
+    last = Window.partitionBy(*key, "segment_id").orderBy(F.desc("epoch"))
+    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+
+
+def compact_chunks(spark: SparkSession, path: str) -> None:
+    """Put the micro-batches of ``overwrite_chunks`` together into one state beside ``path``.
+
+    Readers use the newest whole state and the micro-batches after it.  What the state before this one held
+    goes only now, so that a reader that began before is not disturbed; the number of folders stays
+    below twice the micro-batches between two compactions, and two states.
+    """
+    bases = _bases(spark, path)
+    upto = max(int(f.rpartition("=")[2]) for f in _folders(spark, path, "epoch="))
+    if bases and bases[-1][0] >= upto:
+        return
+    _kept_chunks(spark, path).write.mode("overwrite").parquet(f"{path}-compacted/upto={upto}")
+    if bases:
+        gone = [f for f in _folders(spark, path, "epoch=") if int(f.rpartition("=")[2]) <= bases[-1][0]] + [f for _, f in bases[:-1]]
+        for folder in gone:
+            where, files = _hadoop(spark, folder)
+            files.delete(where, True)
+
+
 def delivered_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The rows that ``overwrite_chunks`` has kept: of each chunk those of its newest delivery.
 
@@ -134,13 +191,7 @@ def delivered_chunks(spark: SparkSession, path: str) -> DataFrame:
     come in any number of micro-batches.  Within it (and without that column) a segment that
     comes again replaces its earlier row.
     """
-    rows = spark.read.parquet(path)
-    key = ["recording_id", "chunk_id"]
-    if "delivery" in rows.columns:
-        newest = rows.groupBy(*key).agg(F.max("delivery").alias("delivery"))
-        rows = rows.join(newest, [*key, "delivery"], "left_semi")
-    last = Window.partitionBy(*key, "segment_id").orderBy(F.desc("epoch"))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "epoch")
+    return _kept_chunks(spark, path).drop("epoch")
 
 
 # ---------------------------------------------------------------- stateful buckets

@@ -99,6 +99,26 @@ def test_merge_sink_replaces_a_chunk(spark, tmp_path):
     assert sorted(r.text for r in got.collect()) == ["kept", "more", "new", "second half"]
 
 
+def test_compacted_micro_batches_stay_few(spark, tmp_path):
+    schema = "recording_id bigint, chunk_id bigint, segment_id bigint, delivery bigint, text string"
+    plain, few = str(tmp_path / "plain"), str(tmp_path / "few")
+    keep, compact = streams.overwrite_chunks(plain), streams.overwrite_chunks(few, compact_every=4)
+    for epoch in range(14):
+        rows = [(1, c, s, epoch // 5, f"{epoch} {c} {s}") for c in range(epoch % 3, 3) for s in range(2)]
+        batch = spark.createDataFrame(rows, schema).coalesce(1)
+        keep(batch, epoch)
+        compact(batch, epoch)
+        if epoch == 5:
+            early = streams.delivered_chunks(spark, few)  # planned before the next compaction, read after it
+            want_early = sorted(map(tuple, streams.delivered_chunks(spark, plain).collect()))
+        if epoch == 9:
+            assert sorted(map(tuple, early.collect())) == want_early
+    assert sorted(map(tuple, streams.delivered_chunks(spark, few).select("recording_id", "chunk_id", "segment_id", "delivery", "text").collect())) == sorted(
+        map(tuple, streams.delivered_chunks(spark, plain).select("recording_id", "chunk_id", "segment_id", "delivery", "text").collect())
+    )
+    assert len(list((tmp_path / "few").glob("epoch=*"))) < 10 and len(list((tmp_path / "few-compacted").glob("upto=*"))) <= 2
+
+
 def test_live_recording_emits_as_it_goes(spark, tmp_path):
     """Eight micro-batches of one uninterrupted recording and no row from the future."""
     base = datetime(2024, 1, 1)

@@ -608,6 +608,20 @@ _BODY: dict[str, str] = {
         {r('dev')} AS gap_deviation_from_global FROM timing""",
     "csv_uncertainty": f"""SELECT recording_id, segment_id, {r('start_ms / 1000.0')} AS start_time, {r('end_ms / 1000.0')} AS end_time, trim(text) AS text, avg_logprob AS confidence_score,
         level AS uncertainty_level, array_to_string(reasons, '; ') AS uncertainty_reasons, review AS suggested_review FROM unc""",
+    "json_segment_lines": _union(
+        lines(
+            "durations", 0, "0",
+            "'{\"recording_id\":' || recording_id || ',\"metadata\":{\"version\":\"0.1.0\",\"format\":\"Transcript JSON v1.0\"},\"transcription\":{\"language\":\"en\",\"duration\":' "
+            "|| CAST(CAST(duration_ms / 1000.0 AS DOUBLE) AS VARCHAR) || '},\"segments\":['",
+        ),
+        lines(
+            "(SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY segment_id) - 1 AS no FROM segments)", 1, "no",
+            "CASE WHEN no = 0 THEN '' ELSE ',' END || '{\"id\":' || segment_id || ',\"start\":' || CAST(CAST(start_ms / 1000.0 AS DOUBLE) AS VARCHAR) || ',\"end\":' "
+            "|| CAST(CAST(end_ms / 1000.0 AS DOUBLE) AS VARCHAR) || ',\"text\":' || CAST(to_json(text) AS VARCHAR) || ',\"avg_logprob\":' || CAST(CAST(avg_logprob AS DOUBLE) AS VARCHAR) "
+            "|| ',\"no_speech_prob\":' || CAST(CAST(no_speech_prob AS DOUBLE) AS VARCHAR) || '}'",
+        ),
+        lines("durations", 2, "0", "']}'"),
+    ),
     "json_segment": f"""SELECT recording_id, segment_id, {r('start_ms / 1000.0')} AS start, {r('end_ms / 1000.0')} AS "end", text, avg_logprob, no_speech_prob FROM segments""",
     "json_advanced": f"""SELECT l.recording_id, spk AS speaker_count, d.k AS overlaps_detected, segment_id AS id, {r('start_ms / 1000.0')} AS start, speaker, has_overlap
         FROM labelled l JOIN dsum d USING (recording_id)""",

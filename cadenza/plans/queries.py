@@ -733,6 +733,12 @@ def json_segment(k):
     )
 
 
+@query
+def json_segment_lines(k):
+    """The whole document, every member as it stands in the file."""
+    return render.segment_json(k.segments.drop("words"), k.durations.withColumn("language", F.lit("en")))
+
+
 def stored(lines: DataFrame) -> str:
     """The folder to which a line table has just been written, for queries that read files back."""
     path = f"{checkpoint_folder(lines.sparkSession)}/files-{uuid.uuid4().hex}"

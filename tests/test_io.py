@@ -116,6 +116,12 @@ def test_scan_media(spark, tmp_path):
     assert names(media.scan_media(spark, str(tmp_path), max_files=1)) == ["a.wav"]
     plan = media.scan_media(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]
+    for name in ("_take.wav", ".old.mp3", "sub/_x/y.wav", "_SUCCESS"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"xyz")
+    assert names(media.scan_media(spark, str(tmp_path))) == [".old.mp3", "_take.wav", "a.wav", "b.MP3", "y.wav", "c.mp4"]
+    assert names(media.scan_media(spark, str(tmp_path), recursive=False)) == [".old.mp3", "_take.wav", "a.wav", "b.MP3"]
+    assert media.scan_media(spark, str(tmp_path), pattern="_take.wav"[-4:]).where("size_bytes = 3").count() == 2
 
 
 def test_warehouse_round_trip(spark, tmp_path):

@@ -102,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_quotes": quotes.SQL,
+    "op12_resample": resample.SQL,
     "op13_trie": trie.SQL,
     "op6_warc": """
         WITH p AS (

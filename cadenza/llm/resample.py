@@ -255,3 +255,62 @@ def resample(df: DataFrame, target: DataFrame, percent: int = 5, least_words: in
     gain = gains(totals(df, head), totals(target, head))
     scored = weights(df, head, gain, [c for c in keep if c.lower() not in ("score", "rank")])
     return ranked(common.stage(scored.withColumn("score", F.col("weight") + noise("doc_id", seed)), "weights"), percent, least_words)
+
+
+# --- the same in SQL -----------------------------------------------------------------------
+
+
+def half_byte(x: int) -> int:
+    """Four steps of CRC-32 (reflected polynomial)."""
+    for _ in range(4):
+        x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+def _sql() -> str:
+    table = ", ".join(str(half_byte(i)) for i in range(16))
+    half = lambda x: f"xor(({x}) >> 4, list_extract([{table}], (({x}) & 15) + 1))"
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words_ = f"regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
+    runs_ = (
+        "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), "
+        "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS x"
+    )
+    return f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS id, doc_id, {words_} FROM documents
+    ), b AS (
+        SELECT {words_} FROM benchmark
+    ), f AS (
+        SELECT id, {runs_} FROM d UNION ALL SELECT 0, {runs_} FROM b
+    ), c AS (
+        SELECT id, x, count(*) AS n FROM f GROUP BY ALL
+    ), k AS (
+        SELECT x, xor(list_reduce(
+            list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, strlen(x)), lambda i: CAST('0x' || substring(hex(encode(x)), 2 * i + 1, 2) AS BIGINT))),
+            lambda a, b: {half(half("xor(a, b)"))}
+        ), 4294967295) % {BUCKETS} AS bucket
+        FROM (SELECT DISTINCT x FROM c)
+    ), e AS (
+        SELECT c.id, bucket, sum(n) AS n FROM c JOIN k USING (x) GROUP BY ALL
+    ), s AS (
+        SELECT bucket, CAST(coalesce(sum(n) FILTER (id > 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (id = 0), 0) AS DOUBLE) AS t FROM e GROUP BY bucket
+    ), a AS (
+        SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM s
+    ), g AS (
+        SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + {BUCKETS}) / ((s + 1) * (t_all + {BUCKETS})))) AS BIGINT) AS gain FROM s, a
+    ), w AS (
+        SELECT d.doc_id, len(d.w) AS n_words, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_features, CAST(coalesce(sum(n * gain), 0) AS BIGINT) AS weight
+        FROM d LEFT JOIN (SELECT e.id, n, gain FROM e JOIN g USING (bucket)) h ON h.id = d.id GROUP BY d.id, d.doc_id, len(d.w)
+    ), v AS (
+        SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || doc_id), 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM w
+    ), o AS (
+        SELECT *, n_words >= {LEAST_WORDS} AND score IS NOT NULL AS able FROM v
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS many FROM o
+    )
+    SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * many // 100 THEN place END AS rank FROM r
+    """
+
+
+SQL = _sql()

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -152,6 +153,10 @@ def test_resampling_of_the_table(spark):
     want = plain_draw(rows, [r.text for r in common.table(spark, folder, "benchmark").collect()])
     got = queries.op12_resample(spark, folder).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(rows)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    assert {r[0]: tuple(r[1:]) for r in con.sql(resample.SQL).fetchall()} == want
     assert [r.rank for r in sorted((r for r in got if r.rank), key=lambda r: r.rank)] == list(range(1, sum(r.rank is not None for r in got) + 1))
 
 

@@ -309,3 +309,11 @@ def test_percentiles_of_real_values_in_relative_slices(spark):
     assert np.allclose([got.a, got.b, got.c, got.d], np.percentile(values, [1, 30, 50, 99]))
     sizes = df.where("v > 0 and v < 1e9").groupBy(timeline.relative_slice(F.col("v")).alias("s")).count()
     assert sizes.agg(F.max("count")).first()[0] < 40
+
+
+def test_average_confidence_does_not_depend_on_the_order_of_addition(spark):
+    schema = "recording_id bigint, bucket_index bigint, start_ms bigint, end_ms bigint, word_count bigint, word_gap_count bigint, gap_sum bigint, gap_squares bigint, confidence_score double, cadence string, speaker_overlap string"
+    rows = [(1, i, 0, 4000, 1, 0, 0, 0, v, "normal", "single") for i, v in enumerate([0.1, 0.2, 0.3] * 20)]
+    df = spark.createDataFrame(rows, schema)
+    got = {cadence.markdown_statistics(x.coalesce(1)).first().average_confidence for x in (df, df.orderBy("confidence_score"), df.orderBy(F.desc("confidence_score")))}
+    assert got == {0.2}

@@ -207,18 +207,21 @@ BUCKETS = StructType(
     ]
 )
 _OPEN = "bucket_index long, start_ms long, end_ms long, last_ms long, words array<string>"
-_HELD = "rows array<struct<sort_ms:long,segment_id:long,pos:long,start_ms:long,end_ms:long,word:string>>"
+_HELD = "rows array<struct<slot:long,sort_ms:long,segment_id:long,pos:long,start_ms:long,end_ms:long,word:string>>"
 SLOT_MS = 1000
+SLOTS_PER_BLOCK = 300
 
 
 class BucketProcessor(StatefulProcessor):
     """Closes a bucket once a word reaches the span; the watermark releases words in time order.
 
     Words wait in slots of a second until the watermark has passed the slot, so late arrivals
-    within the delay still take their place; then the rule is the batch rule.  Every slot has
-    its own timer, which later words do not move: a recording that never pauses is cut as it
-    goes, and what waits spans no more than the delay.  The open bucket, which is bounded by the
-    span, goes out when the recording has been silent for ``idle_ms`` of event time.
+    within the delay still take their place; then the rule is the batch rule.  What waits is stored
+    in blocks of five minutes and a recording has one timer at a time, for its first waiting slot, so
+    the state store is called a few times per block and batch, not per second of speech.  Later words
+    do not move the timer: a recording that never pauses is cut as it goes, and what waits spans no
+    more than the delay.  The open bucket, which is bounded by the span, goes out when the recording
+    has been silent for ``idle_ms`` of event time.
     """
 
     def __init__(self, bucket_ms: int = 4000, idle_ms: int = 60_000):
@@ -227,44 +230,62 @@ class BucketProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _OPEN)
-        self.waiting = handle.getMapState("waiting", "slot long", _HELD)
+        self.waiting = handle.getMapState("waiting", "block long", _HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fields = ["sort_ms", "segment_id", "pos", "start_ms", "end_ms"]
-        new: dict[int, list[tuple]] = {}
+        numbers = ["sort_ms", "segment_id", "pos", "start_ms", "end_ms"]
+        first = None
         for batch in rows:
-            for ts, ids, word in zip(batch["ts"], batch[fields].itertuples(index=False), batch["word"], strict=True):
-                new.setdefault(int(ts.timestamp() * 1000) // SLOT_MS, []).append((*map(int, ids), str(word)))
-        for slot, words in new.items():
-            held = [tuple(r) for r in self.waiting.getValue((slot,))[0]] if self.waiting.containsKey((slot,)) else []
-            self.waiting.updateValue((slot,), (held + words,))
-            self.handle.registerTimer((slot + 1) * SLOT_MS)
-        yield pd.DataFrame(columns=BUCKETS.names)
+            slots = (batch["at_ms"] // SLOT_MS).tolist()
+            new: dict[int, list[tuple]] = {}
+            for row in zip(slots, *[batch[n].tolist() for n in numbers], batch["word"], strict=True):
+                new.setdefault(row[0] // SLOTS_PER_BLOCK, []).append(row)
+            for block, words in new.items():
+                self.waiting.updateValue((block,), (self._held(block) + words,))
+            first = min([*slots, *([] if first is None else [first])])
+        if first is not None:
+            self.handle.registerTimer((first + 1) * SLOT_MS)
+        return iter(())
+
+    def _held(self, block: int) -> list[tuple]:
+        held = self.waiting.getValue((block,))
+        return [tuple(r) for r in held[0]] if held else []
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        slots = sorted(int(k[0]) for k in self.waiting.keys())
-        ready = [s for s in slots if (s + 1) * SLOT_MS <= mark]
-        no, start, end, heard, words = tuple(self.open.get()) if self.open.exists() else (0, None, None, 0, [])
-        words, out = list(words or []), []
-        for slot in ready:
-            for _, _, _, first, last, word in sorted(tuple(r) for r in self.waiting.getValue((slot,))[0]):
+        opened = self.open.get()
+        no, start, end, heard, words = tuple(opened) if opened else (0, None, None, 0, [])
+        words, out, later = list(words or []), [], None
+        for block in sorted(int(k[0]) for k in self.waiting.keys()):
+            if (block * SLOTS_PER_BLOCK + 1) * SLOT_MS > mark:  # not even its first slot is over
+                later = min(r[0] for r in self._held(block))
+                break
+            held = sorted(self._held(block))
+            ready = [r for r in held if (r[0] + 1) * SLOT_MS <= mark]
+            for slot, _, _, _, first, last, word in ready:
                 start = first if start is None else start
                 words.append(word)
                 end = last
                 if last - start >= self.bucket_ms:
                     out.append((key[0], no, start, last, len(words), " ".join(words)))
                     no, start, words = no + 1, last, []
-            self.waiting.removeKey((slot,))
-            heard = (slot + 1) * SLOT_MS
-        if words and len(ready) == len(slots):
-            if heard + self.idle_ms > mark:
-                self.handle.registerTimer(heard + self.idle_ms)
-            else:
-                out.append((key[0], no, start, end, len(words), " ".join(words)))
-                no, start, words = no + 1, end, []
+                heard = (slot + 1) * SLOT_MS
+            if len(ready) < len(held):
+                later = held[len(ready)][0]
+                if ready:
+                    self.waiting.updateValue((block,), (held[len(ready):],))
+                break
+            self.waiting.removeKey((block,))
+        if later is not None:
+            self.handle.registerTimer((later + 1) * SLOT_MS)
+        elif words and heard + self.idle_ms > mark:
+            self.handle.registerTimer(heard + self.idle_ms)
+        elif words:
+            out.append((key[0], no, start, end, len(words), " ".join(words)))
+            no, start, words = no + 1, end, []
         self.open.update((no, start, end, heard, words))
-        yield pd.DataFrame(out, columns=BUCKETS.names)
+        if out:
+            yield pd.DataFrame(out, columns=BUCKETS.names)
 
     def close(self) -> None:
         pass
@@ -275,7 +296,7 @@ def stream_bucketize(words: DataFrame, bucket_ms: int = 4000, idle_ms: int = 60_
 
     Needs the RocksDB state store.  Words later than the delay are dropped.
     """
-    slim = words.select("recording_id", "ts", "sort_ms", "segment_id", "pos", "start_ms", "end_ms", "word")
+    slim = words.select("recording_id", "ts", F.unix_millis("ts").alias("at_ms"), "sort_ms", "segment_id", "pos", "start_ms", "end_ms", "word")
     return (
         slim.withWatermark("ts", delay)
         .groupBy("recording_id")

@@ -169,3 +169,46 @@ def test_sustained_alerts_of_the_stream_are_the_static_ones(spark, tmp_path):
     want = streams.sustained(streams.stream_error_rate(df, is_error, mode="ratio"), 0.1)
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() > 50
     assert 10 < got.where("alert").count() < 40
+
+
+def test_bucket_state_is_called_by_block_and_not_by_second():
+    """Ten minutes of one recording: a few state calls and one timer, whatever the number of seconds."""
+    import pandas as pd
+
+    calls = []
+
+    class State(dict):
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("containsKey", "exists"):
+                    return (args[0] if args else None) in self
+                if name in ("getValue", "get"):
+                    return dict.get(self, args[0] if args else None)
+                if name == "keys":
+                    return list(dict.keys(self))
+                if name == "removeKey":
+                    return self.pop(args[0])
+                self[args[0] if len(args) > 1 else None] = args[-1]
+
+            return call
+
+        get = property(lambda self: self.__getattr__("get"))
+        keys = property(lambda self: self.__getattr__("keys"))
+        update = property(lambda self: self.__getattr__("update"))
+
+    class Handle:
+        getValueState = getMapState = staticmethod(lambda *_: State())  # noqa: N815
+        registerTimer = staticmethod(lambda at: calls.append("timer"))  # noqa: N815
+
+    class Mark:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10**9)  # noqa: N815
+
+    n = 1200
+    rows = pd.DataFrame({"ts": pd.to_datetime([500 * i for i in range(n)], unit="ms"), "at_ms": [500 * i for i in range(n)], "sort_ms": [500 * i for i in range(n)], "segment_id": range(n), "pos": 0, "start_ms": [500 * i for i in range(n)], "end_ms": [500 * i + 400 for i in range(n)], "word": "w"})
+    cutter = streams.BucketProcessor()
+    cutter.init(Handle())
+    list(cutter.handleInputRows((1,), iter([rows]), None))
+    got = pd.concat(list(cutter.handleExpiredTimer((1,), Mark(), None)))
+    assert got["word_count"].sum() == n and got["bucket_index"].tolist() == list(range(len(got)))
+    assert len(calls) < 30 and calls.count("timer") == 1

@@ -238,3 +238,32 @@ def test_break_maps_follow_silences_not_milliseconds():
     begin = time.process_time()
     sizes = [len(planning.break_map(k * 300_000, (k + 1) * 300_000, s, e, int(e[-1]) + 5_000, 60_000, 20_000)) for k in range(1, 8)]
     assert max(sizes) < 1_000 and time.process_time() - begin < 3
+
+
+def test_slices_of_a_batch_are_handed_over_in_bounded_parts(spark):
+    """A full batch of slices: neither maps nor cuts nor chains hold it whole as Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from cadenza.operators import buckets
+
+    rng = np.random.default_rng(3)
+    n, words = 3000, 300
+    ends = np.cumsum(rng.integers(100, 900, (n, words)), axis=1)
+    column = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words), pa.array(m.ravel()))
+    e, s, zero = column(ends), column(ends - 90), pa.array(np.zeros(n, np.int64))
+    no = pa.array(np.zeros(n, bool))
+    for udf, args in (
+        (buckets._closing_maps(4000), (e, zero)),
+        (buckets._splitting_maps(3750, 4250), (s, e)),
+        (buckets._closing_cuts(4000), (e, zero, zero, no)),
+        (buckets._splitting_cuts(3750, 4250), (s, e, zero, zero, no)),
+    ):
+        rows = 0
+        tracemalloc.start()
+        for part in udf.func(iter([args])):
+            assert part.nbytes < 16 << 20
+            rows += len(part)
+        assert rows == n and tracemalloc.get_traced_memory()[1] < 24 << 20
+        tracemalloc.stop()

@@ -1,23 +1,23 @@
 """Language-model scores from a hierarchical Pitman-Yor model with Gibbs-sampled seating.
 
-Tokens are lower-cased words and a closing token.  The context of a token is the latest word
-before it that is one of the ``CONTEXTS`` most frequent words of the training texts (none at
-the beginning); such words tell language and register, and their number is fixed.  Every
-context has a restaurant, all of them share one parent restaurant, and that one draws from a
+Tokens are lower-cased words and a closing token.  The context of a token is the word
+before it, whichever that is (the empty word at the beginning); every such word has a restaurant.
+All of them share a parent restaurant with a parent of its own, which draws from a
 uniform base over the training tokens' types and one place for all unknown words (the event
 space of the base score, so that the two are comparable).
 
-*Training.*  Spark counts (word, context) over all training texts, one row per word type.  In
-a Gibbs sweep every type reseats its customers: the number of its tables in each context given
-the parent's predictive probability, then, those tables being customers of the parent, the
-number of its tables there.  Types depend on each other only through the restaurants' totals,
-which Spark adds up after each sweep; so a sweep is one pass over the types and nothing is
-collected but the totals.  Customers of one dish come one by one at first and then in blocks
+*Training.*  Spark counts the pairs of neighbouring words over all training texts, words being known by 64-bit
+hashes.  A pair seen once has one table; in a Gibbs sweep the others sample their numbers of
+tables given the parent's predictive probability, and the tables of each word, added up, are its customers in the
+parent, where its tables are sampled in turn.  A sweep joins the pairs with one row for each of their words and
+collects nothing but totals.  Customers of one dish come one by one at first and then in blocks
 that grow with the crowd.  Discounts come from the numbers of dishes with one and two customers.
 
 *Scoring.*  Predictive probabilities are averaged over the samples after the burn-in.  The most
-frequent words, a bounded number, are looked up in the tasks; the others meet their
-probabilities in a join on the word's hash, where no key is hot because none of them is frequent.
+frequent words and pairs, a bounded number, are looked up in the tasks; all others meet their
+numbers in joins on hashes, where no key is hot because none of them is frequent.
+
+``frequent``, ``counts`` and ``trained`` are the same model for a given list of contexts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -41,10 +42,10 @@ STRENGTH = 1.0
 BURN_IN = 1
 SAMPLES = 2
 HEAD = 200_000
+PAIRS_A_WORD = 5
 FLUSH = 300_000
 SEED = 42
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-STATE = "word binary, c array<long>, t array<long>, own long, p array<double>"
 
 
 def tokens(text: str) -> list[bytes]:
@@ -214,7 +215,7 @@ def sweep(state: DataFrame, now: Totals, seed: int | None, keep: bool) -> DataFr
                 own = seated(served, new, now.parent_d, rng)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), arrays(t, pa.int64()), pa.array(own), arrays(p, pa.float64())], names=["word", "c", "t", "own", "p"])
 
-    return state.mapInArrow(run, STATE)
+    return state.mapInArrow(run, state.schema)
 
 
 def trained(words: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, int, int]:
@@ -238,26 +239,138 @@ def trained(words: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, int, i
     return state.select("word", "c", F.transform("p", lambda x: x / SAMPLES).alias("p")), unknown, tokens_, types
 
 
+# --- a restaurant for every preceding word -----------------------------------------------------
+
+
+def encoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of some texts as numbers: hashes of their types, type of each token, type before it, tokens of each text.
+
+    The word before a text's first token is the empty one, as at the end of a text.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat, doc = split.flatten(), pc.list_parent_indices(split)
+    full = pc.not_equal(flat, "")
+    words, doc = flat.filter(full).dictionary_encode(), doc.filter(full).to_numpy()
+    types = [w.encode("utf-8", "replace") for w in words.dictionary.to_pylist()] + [b""]
+    size = np.bincount(doc, minlength=len(column)) + 1
+    ids = np.full(int(size.sum()), len(types) - 1)
+    inside = np.ones(len(ids), bool)
+    inside[np.cumsum(size) - 1] = False
+    ids[inside] = words.indices.to_numpy()
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in types], np.uint64).astype(np.int64)
+    return hashes, ids, np.concatenate([[len(types) - 1], ids[:-1]])[: len(ids)], size
+
+
+def followers(df: DataFrame) -> DataFrame:
+    """(u, w, c): how often the word with hash ``w`` follows the one with hash ``u`` in all texts of ``df``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in common.slices(batch):
+                hashes, ids, before, _ = encoded(part.column(0))
+                pair, n = np.unique(before * len(hashes) + ids, return_counts=True)
+                u, w = np.divmod(pair, len(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[u]), pa.array(hashes[w]), pa.array(n, pa.int64())], names=["u", "w", "n"])
+
+    return df.select("text").mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
+
+
+def joint() -> Column:
+    """One hash of a pair from those of its words, as ``u ^ (w << 1 | w >> 63)``."""
+    return F.col("u").bitwiseXOR(F.shiftleft("w", 1).bitwiseOR(F.shiftrightunsigned("w", 63)))
+
+
+def reseated(pairs: DataFrame, d: float, seed: int) -> DataFrame:
+    """New numbers of tables ``t`` of pairs (u, w, c, s, opening); ``s``, their sum over the samples, is kept."""
+
+    def run(batches):
+        rng = np.random.default_rng([SEED, 1_000 + seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            t = seated(batch.column(2).to_numpy(), batch.column(4).to_numpy(), d, rng)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t), batch.column(3)], names=["u", "w", "c", "t", "s"])
+
+    return pairs.select("u", "w", "c", "s", "opening").sortWithinPartitions("u", "w").mapInArrow(run, "u long, w long, c long, t long, s long")
+
+
+def learned(pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[float], int, int]:
+    """(word, c, lp) of every type, (pair, c, m) of every pair, sampled probabilities of unknown words, numbers of tokens and types.
+
+    ``lp`` holds for each sample the word's probability in the shared restaurant and, as a context, its
+    weight for new tables; ``m`` is what a pair's customers keep: p(w | u) = (m + mean of weight * probability) /
+    (STRENGTH + c of u).  A pair seen once has one table; only the others are sampled.  ``pairs`` is on disk.
+    """
+    once = F.count(F.when(F.col("c") == 1, 1))
+    r = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), once.alias("one"), F.count(F.when(F.col("c") == 2, 1)).alias("two")).first()
+    d = discount(r.one, r.two)
+    types = pairs.groupBy(F.col("w").alias("word")).agg(F.sum("c").alias("c"), once.alias("follows"))
+    leads = pairs.groupBy(F.col("u").alias("word")).agg(once.alias("leads"))
+    types = common.stage(types.join(leads, "word").withColumn("lp", F.array().cast("array<double>")), "types")
+    again = common.stage(pairs.where("c > 1").withColumns({"t": F.lit(1).cast("long"), "s": F.lit(0).cast("long")}), "pairs")
+    state, now, unknown, v = None, None, [], types.count()
+    for k in range(BURN_IN + SAMPLES):
+        behind = again.groupBy(F.col("w").alias("word")).agg(F.sum("t").alias("_t"))
+        ahead = again.groupBy(F.col("u").alias("word")).agg(F.sum("t").alias("_l"))
+        c = F.array(F.col("follows") + F.coalesce("_t", F.lit(0)))
+        one = F.lit(1).cast("long")
+        fed = types.select("word", "follows").join(behind, "word", "left").select("word", c.alias("c"))
+        if state is None:
+            fed = fed.withColumns({"t": F.array(one), "own": one})
+        else:
+            fed = fed.join(state.select("word", F.col("t").alias("_t"), "own"), "word")
+            fed = fed.select("word", "c", F.array(F.least(F.col("_t")[0], F.col("c")[0])).alias("t"), "own")
+        fed = common.stage(fed.withColumn("p", F.array(F.lit(0.0))), "fed")
+        now = added(fed, 1)
+        state = common.stage(sweep(fed.sortWithinPartitions("word"), now, k, False), "seating")
+        now = added(state, 1)
+        weight = F.lit(STRENGTH) + F.lit(d) * (F.col("leads") + F.coalesce("_l", F.lit(0)))
+        sample = k >= BURN_IN
+        shared = sweep(state, now, None, True).select("word", F.col("p")[0].alias("p"))
+        rows = types.join(shared, "word").join(ahead, "word", "left").withColumn("weight", weight)
+        lp = F.concat("lp", F.array("p", "weight")) if sample else F.col("lp")
+        rows = common.stage(rows.select("word", "c", "follows", "leads", lp.alias("lp"), "p", "weight"), "types")
+        types = rows.drop("p", "weight")
+        if sample:
+            unknown.append(float(now.unknown()[0]))
+            again = again.withColumn("s", F.col("s") + F.col("t"))
+        if k + 1 < BURN_IN + SAMPLES:
+            met = again.join(rows.select(F.col("word").alias("w"), "p"), "w").join(rows.select(F.col("word").alias("u"), "weight"), "u")
+            again = common.stage(reseated(met.withColumn("opening", F.col("weight") * F.col("p")), d, k), "pairs")
+    kept = again.select(joint().alias("pair"), "c", (F.col("c") - F.lit(d / SAMPLES) * F.col("s")).alias("m"))
+    return types, kept.unionByName(pairs.where("c = 1").select(joint().alias("pair"), "c", F.lit(1 - d).alias("m"))), unknown, int(r.n), v
+
+
 # --- scoring -------------------------------------------------------------------------------
 
 
-def looked_up(prices: DataFrame, width: int, head: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Number, base and context probabilities of the most frequent words, at most ``head`` of them; a row of zeros follows.
+def most(table: DataFrame, rows: int) -> pa.Table:
+    """The rows of ``table`` with the largest ``c``, at most ``rows``, ordered by the first column.
 
-    Words of one count are taken together or not at all, so that no sort is needed.
+    Rows of one count are taken together or not at all, so that no sort is needed.
     """
     cut, taken = None, 0
-    for r in prices.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(head).collect():
+    for r in table.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(rows).collect():
         taken += r.n
-        if taken > head:
+        if taken > rows:
             break
         cut = r.c
-    top = prices.where(F.col("c") >= cut if cut is not None else F.lit(False)).select("word", "base", "lp").toArrow().combine_chunks()
-    base, table = np.zeros(len(top) + 1), np.zeros((len(top) + 1, width))
+    return table.where(F.col("c") >= cut if cut is not None else F.lit(False)).toArrow().sort_by(table.columns[0]).combine_chunks()
+
+
+def place(top: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Index of each hash in the ordered ``top``; its length where it is missing."""
+    at = np.searchsorted(top, hashes)
+    at[np.append(top, 0)[at] != hashes] = len(top)
+    return at
+
+
+def looked_up(prices: DataFrame, width: int, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, base, counts and numbers of the most frequent words, at most ``head`` of them; a row of zeros follows."""
+    top = most(prices.select("word", "base", "c", "lp"), head)
+    base, c, table = np.zeros(len(top) + 1), np.zeros(len(top) + 1), np.zeros((len(top) + 1, width))
     if len(top):
-        base[:-1] = top["base"].to_numpy()
+        base[:-1], c[:-1] = top["base"].to_numpy(), top["c"].to_numpy()
         table[:-1] = matrix(top["lp"].chunk(0), width)
-    return {w: i for i, w in enumerate(top["word"].to_pylist())}, base, table
+    return top["word"].to_numpy().astype(np.int64), base, c, table
 
 
 def score(df: DataFrame, train: str = "train", head: int = HEAD) -> DataFrame:
@@ -269,56 +382,85 @@ def score(df: DataFrame, train: str = "train", head: int = HEAD) -> DataFrame:
     stays empty.
     """
     df = df.select("doc_id", "text", F.coalesce(F.col(train), F.lit(False)).alias("train"))
-    learned = df.where("train")
-    chosen = frequent(learned)
-    width = len(chosen) + 1
-    words = common.stage(counts(learned, chosen), "words")
-    seen, unknown, n, v = trained(words, width)
-    c = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
+    types, kept, unknown, n, v = learned(common.stage(followers(df.where("train")), "followers"))
+    width = 2 * SAMPLES
     base = F.log10((F.col("c") + 1) / F.lit(float(n + 1 * (v + 1))))
-    lp = F.transform("p", lambda x: F.log10(F.greatest(x, F.lit(1e-300))))
-    prices = common.stage(seen.select("word", c.alias("c"), lp.alias("lp")).withColumn("base", base), "prices")
-    shared = df.sparkSession.sparkContext.broadcast(looked_up(prices, width, head))
+    prices = common.stage(types.select("word", "c", "lp", base.alias("base")), "prices")
+    kept = common.stage(kept, "kept")
+    pairs = most(kept.where("c > 1").select("pair", "c", "m"), PAIRS_A_WORD * head)
+    shared = df.sparkSession.sparkContext.broadcast((*looked_up(prices, width, head), pairs["pair"].to_numpy(), pairs["m"].to_numpy()))
     schema = T.StructType(
         [T.StructField("key", T.LongType()), df.schema["doc_id"], df.schema["train"]]
-        + T.StructType.fromDDL("n_tokens long, known long, base double, lp double, h array<long>, k array<int>, n array<int>").fields
+        + T.StructType.fromDDL(
+            "n_tokens long, known long, base double, lp double, pair array<long>, n array<int>, lead array<double>, den array<double>, "
+            "u array<long>, w array<long>, n_far array<int>, den_far array<double>, u_near array<boolean>, w_near array<boolean>"
+        ).fields
+        + [T.StructField(f"x{s}", T.ArrayType(T.DoubleType())) for s in range(SAMPLES)]
     )
 
     def run(batches):
-        at, base, lp = shared.value
-        number = {w: i for i, w in enumerate(chosen)}
+        top, base, c, table, top_pairs, shares = shared.value
         key = TaskContext.get().partitionId() << 36
-        far = len(base) - 1
         for batch in batches:
-            for low in range(0, batch.num_rows, 1_000):
-                part = batch.slice(low, 1_000)
-                rows = []
-                for text in part.column(1):
-                    own = tokens(text.as_py() or "")
-                    context = contexts(own, number)
-                    i = np.array([at.get(w, far) for w in own], np.int64)
-                    away = np.flatnonzero(i == far)
-                    rare = Counter(zip([own[j] for j in away.tolist()], context[away].tolist(), strict=True))
-                    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w, _ in rare], np.uint64).astype(np.int64)
-                    key += 1
-                    rows.append((key, len(own), len(own) - len(away), float(base[i].sum()), float(lp[i, context].sum()), hashes, [k for _, k in rare], list(rare.values())))
-                c = list(zip(*rows, strict=True))
-                lists = [pa.array(c[5], pa.list_(pa.int64())), pa.array(c[6], pa.list_(pa.int32())), pa.array(c[7], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(c[0]), part.column(0), part.column(2), *(pa.array(x) for x in c[1:5]), *lists], names=schema.names)
+            for part in common.slices(batch, rows=1_000):
+                hashes, ids, before, size = encoded(part.column(1))
+                at = place(top, hashes)
+                texts = len(size)
+                doc = np.repeat(np.arange(texts), size)
+                known = np.bincount(doc, at[ids] < len(top), texts).astype(np.int64)
+                sums = np.bincount(doc, base[at[ids]], texts)
+                pair, times = np.unique((doc * len(hashes) + before) * len(hashes) + ids, return_counts=True)
+                pair, w = np.divmod(pair, len(hashes))
+                doc, u = np.divmod(pair, len(hashes))
+                iu, iw, u, w = at[u], at[w], hashes[u], hashes[w]
+                u_near, w_near, den = iu < len(top), iw < len(top), STRENGTH + c[iu]
+                # of each sample what is known here: weight * probability, or one of the two
+                x = np.where(u_near[:, None], table[iu, 1::2], 1) * np.where(w_near[:, None], table[iw, ::2], 1)
+                lead, far = x.mean(axis=1), ~(u_near & w_near)
+                pair = u ^ (w << 1 | (w.view(np.uint64) >> np.uint64(63)).view(np.int64))
+                share = place(top_pairs, pair)
+                here = ~far & (share < len(top_pairs))
+                lp = np.bincount(doc[here], times[here] * np.log10((shares[share[here]] + lead[here]) / den[here]), texts).astype(float)  # of no pairs it counts in integers
+                keys = key + 1 + np.arange(texts)
+                key += texts
+                columns = [pa.array(keys), part.column(0), part.column(2), *map(pa.array, (size, known, sums, lp))]
+                times = times.astype(np.int32)
+                for chosen, of in ((~far & ~here, (pair, times, lead, den)), (far, (u, w, times, den, u_near, w_near, *x.T))):
+                    bounds = pa.array(np.searchsorted(doc[chosen], np.arange(texts + 1)), pa.int32())
+                    columns += [pa.ListArray.from_arrays(bounds, pa.array(y[chosen])) for y in of]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     read = common.stage(df.mapInArrow(run, schema), "read")
-    rare = read.select("key", F.explode(F.arrays_zip("h", "k", "n")).alias("r")).select("key", "r.h", "r.k", "r.n")
-    known = prices.select(F.xxhash64("word").alias("h"), "base", "lp")
-    none = F.array(*[F.lit(float(np.log10(max(x, 1e-300)))) for x in unknown])
+    xs = [f"x{s}" for s in range(SAMPLES)]
+    near = read.select("key", F.explode(F.arrays_zip("pair", "n", "lead", "den")).alias("r")).select("key", "r.*", F.lit(0).alias("known"), F.lit(0.0).alias("base"))
+    far = read.select("key", F.explode(F.arrays_zip("u", "w", F.col("n_far").alias("n"), F.col("den_far").alias("den"), "u_near", "w_near", *xs)).alias("r")).select("key", "r.*")
     nothing = F.lit(float(-np.log10(n + 1 * (v + 1))))
-    met = rare.join(known, "h", "left").select(
-        "key",
-        F.when(F.col("base").isNotNull(), F.col("n")).otherwise(0).alias("known"),
-        (F.col("n") * F.coalesce("base", nothing)).alias("base"),
-        (F.col("n") * F.coalesce("lp", none)[F.col("k")]).alias("lp"),
+    # rare words meet their numbers by key; a frequent word's pairs keep to themselves under a key of their own
+    for side in ("w", "u"):
+        at = F.when(F.col(f"{side}_near"), F.xxhash64("key", "u", "w")).otherwise(F.col(side))
+        known = prices.select(F.col("word").alias("at"), F.col("c").alias(f"c_{side}"), F.col("base").alias(f"base_{side}"), F.col("lp").alias(f"lp_{side}"))
+        far = far.withColumn("at", at).join(known, "at", "left").drop("at")
+    found = F.col("base_w").isNotNull() & ~F.col("w_near")
+    met = [
+        F.col(x)
+        * F.when(F.col("w_near"), 1.0).otherwise(F.coalesce(F.col("lp_w")[2 * s], F.lit(unknown[s])))
+        * F.when(F.col("u_near"), 1.0).otherwise(F.coalesce(F.col("lp_u")[2 * s + 1], F.lit(STRENGTH)))
+        for s, x in enumerate(xs)
+    ]
+    den = F.when(F.col("u_near"), F.col("den")).otherwise(F.lit(STRENGTH) + F.coalesce("c_u", F.lit(0)))
+    base_far = F.when(F.col("w_near"), 0.0).otherwise(F.col("n") * F.coalesce("base_w", nothing))
+    far = far.select(
+        "key", joint().alias("pair"), "n", den.alias("den"), (sum(met) / SAMPLES).alias("lead"),
+        F.when(found, F.col("n")).otherwise(0).alias("known"), base_far.alias("base"),
+    )
+    lp = F.col("n") * F.log10(F.greatest((F.coalesce("m", F.lit(0.0)) + F.col("lead")) / F.col("den"), F.lit(1e-300)))
+    more = (
+        near.unionByName(far)
+        .join(kept.select("pair", "m"), "pair", "left")
+        .groupBy("key")
+        .agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum(lp).alias("more_lp"))
     )
-    more = met.groupBy("key").agg(*[F.sum(x).alias(f"more_{x}") for x in ("known", "base", "lp")])
-    return read.drop("h", "k", "n").join(more, "key", "left").select(
+    return read.select("key", "doc_id", "train", "n_tokens", "known", "base", "lp").join(more, "key", "left").select(
         "doc_id",
         "train",
         "n_tokens",

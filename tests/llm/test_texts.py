@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -437,6 +438,27 @@ def test_predictive_probabilities_add_up_to_one(spark):
     assert np.allclose(total, 1) and n == 3 * (5 * 13 + 1) and v == 7 and chosen[0] == b"a"
 
 
+def test_every_preceding_word_is_a_context(spark):
+    """Thirty words, each with a follower of its own: whatever the word, its follower is likelier than another's."""
+    rng = random.Random(7)
+    draw = lambda: rng.choices(range(30), weights=[1 / (k + 1) for k in range(30)], k=20)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in draw()), True) for i in range(60)]
+    rows += [(100 + k, f"a{k} b{k}", False) for k in range(30)] + [(200 + k, f"a{k} b{(k + 1) % 30}", False) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    for head in (100_000, 5):
+        got = {r.doc_id: r.score for r in pitman_yor.score(df, head=head).collect()}
+        assert all(got[100 + k] > got[200 + k] + 0.5 for k in range(30))
+
+
+def test_tokens_as_numbers():
+    texts = ["One two\x0bTWO\u00a0x \u0130\t", "", None, " \n", "\x1cthree one"]
+    hashes, ids, before, size = pitman_yor.encoded(pa.array(texts))
+    plain = [pitman_yor.tokens(t or "") for t in texts]
+    want = [np.uint64(xxhash.xxh64_intdigest(w, 42)).astype(np.int64) for own in plain for w in own]
+    assert size.tolist() == [len(own) for own in plain] and hashes[ids].tolist() == want
+    assert hashes[before].tolist() == [hashes[-1], *want[:-1]]
+
+
 def test_seating_follows_the_chinese_restaurant():
     """The mean number of tables of one dish equals that of seating one customer after the other."""
     rng = np.random.default_rng(0)

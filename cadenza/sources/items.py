@@ -11,6 +11,8 @@ quotes before it, modulo two), how deep in brackets (the sum of steps), and the
 containers that are open around it.  Each of these is one small row per slice, carried over as in
 ``timeline``; then all slices find their items at once.  An item that crosses slices is put
 together from its parts.
+
+Packed documents (``writers.write_packed``) come as lines and go through the same slices.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.timeline import KEY, SLICE, beside, carry, numbered, settle, with_facts, with_slice
+from cadenza.timeline import KEY, SLICE, beside, carry, numbered, running, settle, with_facts, with_slice
 
 DOC = "doc"
 SLICE_BYTES = 1 << 20
+#: Items of a line table whose lengths are added up together.
+LINES = 1024
 #: Places in a slice; an item is named by slice and place of its first brace.
 PLACES = 1 << 32
 ITEM, PART, OPEN, RECORDING, FOUND = range(5)
@@ -67,6 +71,21 @@ def slices(pieces: DataFrame) -> DataFrame:
     return settle(cut.groupBy(DOC, SLICE).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text")))
 
 
+def line_slices(lines: DataFrame) -> DataFrame:
+    """(doc, slice, text): the documents of a line table in slices, as ``slices`` makes them from files; on disk."""
+    place = F.expr(f"section * {1 << 40}L + item").alias("place")
+    rows = with_slice(lines.select(KEY, place, "sub", "line"), "place", LINES)
+    placed = running(rows, F.octet_length("line").cast("bigint") + 1, ["place", "sub"], "at").drop(SLICE)
+    cut = with_slice(placed.withColumn("at", F.coalesce("at", F.lit(0))), "at", SLICE_BYTES)
+    ordered = F.array_sort(F.collect_list(F.struct("at", "line")))
+    text = F.concat(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit("\n"))
+    return settle(cut.groupBy(KEY, SLICE).agg(text.alias("text")).select(packed_name(KEY).alias(DOC), SLICE, "text"))
+
+
+def packed_name(key: str) -> Column:
+    return F.concat(F.lit("recording_id="), F.col(key).cast("string"))
+
+
 # --- one slice -----------------------------------------------------------------------------
 
 
@@ -163,7 +182,18 @@ def array_items(spark: SparkSession, path: str, paths: Sequence[tuple[str, ...]]
     the name is no number.  Documents: (doc, recording_id, length, balanced, found).
     """
     pieces = fragments(spark, path)
-    cut = slices(pieces)
+    return sliced_items(slices(pieces), pieces.groupBy(DOC).agg(F.max("folder").alias("folder")), paths)
+
+
+def line_items(lines: DataFrame, paths: Sequence[tuple[str, ...]]) -> tuple[DataFrame, DataFrame]:
+    """``array_items`` of the documents of a line table (recording_id, section, item, sub, line) on disk."""
+    cut = line_slices(lines)
+    folders = cut.select(DOC, F.substring_index(DOC, "=", -1).alias("folder")).distinct()
+    return sliced_items(cut, folders, paths)
+
+
+def sliced_items(cut: DataFrame, folders: DataFrame, paths: Sequence[tuple[str, ...]]) -> tuple[DataFrame, DataFrame]:
+    """``array_items`` from (doc, slice, text) on disk and (doc, folder)."""
     quotes = F.regexp_count(F.regexp_replace("text", r"(?s)\\.", ""), F.lit('"')).cast("bigint")
     counted = settle(cut.select(DOC, SLICE, F.octet_length("text").cast("bigint").alias("bytes"), quotes.alias("quotes")))
     entered = beside(cut, carry(counted, "quotes", "sum", "inside", [DOC]), [DOC])
@@ -214,7 +244,6 @@ def array_items(spark: SparkSession, path: str, paths: Sequence[tuple[str, ...]]
     )
     totals = counted.groupBy(DOC).agg(F.sum("bytes").alias("length"), F.sum("quotes").alias("quotes"), F.min(SLICE).alias("_lo"), F.max(SLICE).alias("_hi"))
     steps = depth.groupBy(DOC).agg(F.sum("steps").alias("steps"))
-    folders = pieces.groupBy(DOC).agg(F.max("folder").alias("folder"))
     stem = F.regexp_extract(DOC, r"([^/]*?)(?:\.[^./]*)?$", 1)
     own = F.when(stem.rlike(r"^[0-9]{1,18}$"), stem.try_cast("bigint")).otherwise(F.xxhash64(stem))
     recording = F.coalesce(F.col("folder").try_cast("bigint"), "said", own)

@@ -2,6 +2,7 @@
 
 import json
 from decimal import Decimal
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import hooks, warehouse
 from cadenza.plans import queries as plans
-from cadenza.sources import documents, media, render, writers
+from cadenza.sources import documents, items, media, render, writers
 
 SEG = "recording_id bigint, segment_id bigint, start_ms bigint, end_ms bigint, text string, avg_logprob double, no_speech_prob double"
 
@@ -198,3 +199,25 @@ def test_failures_become_rows(spark):
     rows = out.orderBy("x").collect()
     assert [(r.y, r.error) for r in rows] == [(10, None), (None, "ValueError: bad"), (30, None)]
     assert tuple(hooks.failure_counts(out).first()) == (1, 2, 1)
+
+
+def test_stored_documents_lie_in_few_files_and_are_read_back(spark):
+    n = 300
+    rows = spark.range(3 * n).select((F.col("id") % n).alias("recording_id"), F.floor(F.col("id") / n).alias("segment_id"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 900).alias("end_ms"), F.concat(F.lit('} "[{ ü '), F.col("id").cast("string")).alias("text"), F.lit(-0.5).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"))
+    facts = rows.select("recording_id").distinct().withColumns({"language": F.lit("en"), "duration_ms": F.lit(50_000)})
+    path, name = plans.stored("segments", render.segment_json(rows, facts))
+    assert len(list(Path(path).rglob("part-*"))) < n / 10
+    back = documents.read_segments(spark, path, name).collect()
+    want = {(i % n, i // n, '} "[{ ü ' + str(i)) for i in range(3 * n)}
+    assert len(back) == 3 * n and {(r.recording_id, r.segment_id, r.text) for r in back} == want
+    assert documents.unreadable(spark, path, name=name).count() == 0
+
+
+def test_packed_documents_of_several_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(items, "SLICE_BYTES", 200)
+    monkeypatch.setattr(items, "LINES", 4)
+    rows = spark.range(100).select(F.lit(7).cast("bigint").alias("recording_id"), F.col("id").alias("segment_id"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 900).alias("end_ms"), F.repeat(F.lit("a } b "), (F.col("id") % 9).cast("int") * 20).alias("text"), F.lit(-0.5).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"))
+    facts = rows.select("recording_id").distinct().withColumns({"language": F.lit("en"), "duration_ms": F.lit(50_000)})
+    writers.write_packed({"segments": render.segment_json(rows, facts)}, str(tmp_path))
+    back = documents.read_segments(spark, str(tmp_path), "segments").orderBy("segment_id").collect()
+    assert [(r.recording_id, r.segment_id, r.text) for r in back] == [(7, r.segment_id, r.text) for r in rows.orderBy("segment_id").collect()]

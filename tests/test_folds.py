@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cadenza import folds, planning
+from cadenza.operators import chunks
 
 
 def _words(rng, n):
@@ -267,3 +269,23 @@ def test_slices_of_a_batch_are_handed_over_in_bounded_parts(spark):
             rows += len(part)
         assert rows == n and tracemalloc.get_traced_memory()[1] < 24 << 20
         tracemalloc.stop()
+
+
+def test_one_position_as_many_at_once():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        cuts = np.sort(rng.choice(90_000, 2 * int(rng.integers(0, 12)), replace=False)).astype(np.int64)
+        s, e, length = cuts[::2], cuts[1::2], int(rng.integers(1, 100_000))
+        pos = rng.integers(0, 90_000, 20)
+        split2, nxt, _ = planning.nearest_splits(pos, s, e, length, 12_000, 2_000, 3_000)
+        one = [planning.nearest_split(int(p), s.tolist(), e.tolist(), length, 12_000, 2_000, 3_000) for p in pos]
+        assert one == list(zip(split2.tolist(), nxt.tolist(), strict=True))
+        whole = planning.break_points(pos, s, e, length, 20_000).tolist()
+        assert [planning.break_point(int(p), s.tolist(), e.tolist(), length, 20_000) for p in pos] == whole
+
+
+def test_plans_of_few_bytes_are_made_by_many_tasks(spark):
+    durations = spark.range(200).select(F.col("id").alias("recording_id"), F.lit(100_000).cast("bigint").alias("duration_ms"))
+    silences = durations.select("recording_id", F.lit(30_000).cast("bigint").alias("start_ms"), F.lit(31_000).cast("bigint").alias("end_ms"))
+    points = chunks.silence_splits(durations, silences, 12_000, 2_000, 3_000, plan_ms=60_000).where("split_no > 0")
+    assert points.select(F.spark_partition_id()).distinct().count() > 4

@@ -221,3 +221,13 @@ def test_packed_documents_of_several_slices(spark, tmp_path, monkeypatch):
     writers.write_packed({"segments": render.segment_json(rows, facts)}, str(tmp_path))
     back = documents.read_segments(spark, str(tmp_path), "segments").orderBy("segment_id").collect()
     assert [(r.recording_id, r.segment_id, r.text) for r in back] == [(7, r.segment_id, r.text) for r in rows.orderBy("segment_id").collect()]
+
+
+def test_stored_reports_lie_in_few_files_and_validate(spark):
+    n = 200
+    heads = spark.range(n).select(F.col("id").alias("recording_id"), F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("item"), F.lit(0).alias("sub"), F.when(F.col("id") == 7, F.lit("no title")).otherwise(F.lit("# Title")).alias("line"))
+    rest = heads.withColumns({"section": F.lit(1), "line": F.lit("## Enhanced Transcript ## Analysis Summary cadence word_gaps")})
+    path, name = plans.stored("report", heads.unionByName(rest))
+    assert len(list(Path(path).rglob("part-*"))) < n / 10
+    got = {r.recording_id: (r.has_title, r.valid) for r in documents.read_and_validate_packed(spark, path, name).collect()}
+    assert got == {i: (i != 7, i != 7) for i in range(n)}

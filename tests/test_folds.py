@@ -289,3 +289,20 @@ def test_plans_of_few_bytes_are_made_by_many_tasks(spark):
     silences = durations.select("recording_id", F.lit(30_000).cast("bigint").alias("start_ms"), F.lit(31_000).cast("bigint").alias("end_ms"))
     points = chunks.silence_splits(durations, silences, 12_000, 2_000, 3_000, plan_ms=60_000).where("split_no > 0")
     assert points.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_rows_of_lists_keep_empty_ones():
+    rows = folds.row_lists([[(1, 2)], [], [(3, 4), (5, 6)]], ("a", "b")).to_pylist()
+    assert rows == [[{"a": 1, "b": 2}], [], [{"a": 3, "b": 4}, {"a": 5, "b": 6}]]
+
+
+def test_slices_of_overlaps_settle_one_at_a_time(spark):
+    from cadenza.operators import speakers
+
+    item = "array<struct<first_turn:bigint,second_turn:bigint,start_ms:bigint,end_ms:bigint>>"
+    rows = [(1, 0, [(0, 1, 10, 500), (0, 2, 60, 540), (1, 2, 299_950, 299_990)], []), (1, 1, [], []), (2, 0, [(3, 4, 0, 9)], [(1, 2, 5, 9)])]
+    slices = spark.createDataFrame(rows, f"recording_id bigint, slice bigint, items {item}, around {item}")
+    done = speakers._settle_slices(slices, ["recording_id"], 100)
+    got = {(r.recording_id, r.slice): [[tuple(x) for x in part] for part in (r.kept, r.low, r.high)] for r in done.collect()}
+    first, last = (0, 1, 10, 500), (1, 2, 299_950, 299_990)
+    assert got == {(1, 0): [[first, last], [first], [last]], (1, 1): [[], [], []], (2, 0): [[], [], []]}

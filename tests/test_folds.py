@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cadenza import folds, planning
-from cadenza.operators import chunks
+from cadenza.operators import buckets, chunks
 
 
 def _words(rng, n):
@@ -306,3 +307,12 @@ def test_slices_of_overlaps_settle_one_at_a_time(spark):
     got = {(r.recording_id, r.slice): [[tuple(x) for x in part] for part in (r.kept, r.low, r.high)] for r in done.collect()}
     first, last = (0, 1, 10, 500), (1, 2, 299_950, 299_990)
     assert got == {(1, 0): [[first, last], [first], [last]], (1, 1): [[], [], []], (2, 0): [[], [], []]}
+
+
+@pytest.mark.parametrize("cut", [buckets.bucket_slices, buckets.legacy_slices])
+def test_words_are_cut_once(spark, cut):
+    """The exploded array must not hold the UDF's result: Spark would also run it in a filter on the array's size."""
+    word = "sort_ms:bigint,segment_id:bigint,pos:int,start_ms:bigint,end_ms:bigint,word:string,probability:double,timing_repaired:boolean,prev_end_ms:bigint"
+    slices = spark.createDataFrame([], f"recording_id bigint, slice bigint, words array<struct<{word}>>")
+    plan = cut(slices)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "ArrowEvalPython" in line and "entry" in line and ".state" in line]) == 1

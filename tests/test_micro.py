@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import columns as c
 from cadenza.operators import buckets, cadence, chunks, legacy, reprocess, speakers, uncertainty, warehouse, words
+from cadenza.plans import fixtures, queries
 
 W = "recording_id bigint, segment_id bigint, pos int, word string, start_ms bigint, end_ms bigint, probability double, timing_repaired boolean"
 
@@ -317,3 +318,29 @@ def test_average_confidence_does_not_depend_on_the_order_of_addition(spark):
     df = spark.createDataFrame(rows, schema)
     got = {cadence.markdown_statistics(x.coalesce(1)).first().average_confidence for x in (df, df.orderBy("confidence_score"), df.orderBy(F.desc("confidence_score")))}
     assert got == {0.2}
+
+
+# ---------------------------------------------------------------- speech runs
+
+
+def test_speech_runs_over_slice_borders(spark, monkeypatch):
+    """Runs over one, several and no borders of slices, missing frames and frames without a value."""
+    monkeypatch.setattr(chunks, "FRAMES_PER_SLICE", 4)
+    loud = {1: "0111111111101100", 2: "1111", 3: "01?1-101", 4: "0000000"}
+    value = {"0": 0.0, "1": 5.0, "?": None}
+    rows = [(k, i, value[x], value[x]) for k, line in loud.items() for i, x in enumerate(line) if x != "-"]
+    frames = spark.createDataFrame(rows, "recording_id long, idx long, energy double, centroid double")
+    got = chunks.speech_runs(frames, energy_pct=0.1, centroid_pct=0.1)
+    # what has no value parts no run; a recording of one loudness has nothing above its percentiles
+    want = [(1, 100, 1100), (1, 1200, 1400), (3, 100, 600), (3, 700, 800)]
+    assert sorted((r.recording_id, r.start_ms, r.end_ms) for r in got.collect()) == want
+
+
+def test_frames_are_not_shuffled(spark, small):
+    """Words move as spans: no exchange of the query deals out or carries single frames."""
+    corpus = queries.Corpus(spark, small)
+    frames = fixtures.frames(corpus.clean, corpus.durations)
+    plan = frames._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("idx" in line for line in exchanges)
+    assert frames.groupBy("recording_id", "idx").count().where("count > 1").count() == 0

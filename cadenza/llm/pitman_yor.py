@@ -15,7 +15,8 @@ that grow with the crowd.  Discounts come from the numbers of dishes with one an
 
 *Scoring.*  Predictive probabilities are averaged over the samples after the burn-in.  The most
 frequent words and pairs, a bounded number, are looked up in the tasks; all others meet their
-numbers in joins on hashes, where no key is hot because none of them is frequent.
+numbers in joins on hashes, where no key is hot because none of them is frequent.  A bitmap of fixed size
+names the pairs that may have been seen twice: any other pair of a training text was seen once and needs no join.
 
 ``frequent``, ``counts`` and ``trained`` are the same model for a given list of contexts.
 """
@@ -43,6 +44,7 @@ BURN_IN = 1
 SAMPLES = 2
 HEAD = 200_000
 PAIRS_A_WORD = 5
+BITS = 1 << 27
 FLUSH = 300_000
 SEED = 42
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -173,10 +175,11 @@ class Totals:
         return self.context(zero, zero, self.parent(np.zeros(1), np.zeros(1)))[0]
 
 
-def added(state: DataFrame, width: int) -> Totals:
-    """Totals over all types of ``state`` (word, c, t, own)."""
+def added(state: DataFrame, width: int, alone: int = 0) -> Totals:
+    """Totals over all types of ``state`` (word, c, t, own) and ``alone`` more with one customer in the first restaurant."""
     parts = [F.sum(F.col("c")[k]).alias(f"c{k}") for k in range(width)] + [F.sum(F.col("t")[k]).alias(f"t{k}") for k in range(width)]
-    small = [F.sum(F.size(F.filter("c", lambda x, n=n: x == n))).alias(f"n{n}") for n in (1, 2)]  # noqa: B008
+    holding = lambda n: F.sum(F.size(F.filter("c", lambda x: x == n))).alias(f"n{n}")  # noqa: E731  (a second argument would be the index)
+    small = [holding(1), holding(2)]
     served = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x)
     r = state.agg(
         *parts, *small, F.sum("own").alias("own"), F.count("*").alias("types"),
@@ -184,7 +187,10 @@ def added(state: DataFrame, width: int) -> Totals:
     ).first()
     c = np.array([r[f"c{k}"] or 0 for k in range(width)], float)
     t = np.array([r[f"t{k}"] or 0 for k in range(width)], float)
-    return Totals(c, t, t.sum(), float(r.own or 0), discount(r.n1 or 0, r.n2 or 0), discount(r.one, r.two), r.types)
+    c[0] += alone
+    t[0] += alone
+    d, parent_d = discount((r.n1 or 0) + alone, r.n2 or 0), discount(r.one + alone, r.two)
+    return Totals(c, t, t.sum(), float((r.own or 0) + alone), d, parent_d, r.types + alone)
 
 
 def matrix(column, width: int) -> np.ndarray:
@@ -292,21 +298,25 @@ def reseated(pairs: DataFrame, d: float, seed: int) -> DataFrame:
     return pairs.select("u", "w", "c", "s", "opening").sortWithinPartitions("u", "w").mapInArrow(run, "u long, w long, c long, t long, s long")
 
 
-def learned(pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[float], int, int]:
-    """(word, c, lp) of every type, (pair, c, m) of every pair, sampled probabilities of unknown words, numbers of tokens and types.
+def learned(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float, list[float], int, int]:
+    """(word, c, lp) of every type, (pair, c, m) of the pairs seen more than once, ``m`` of those seen once,
+    sampled probabilities of unknown words, numbers of tokens and types.
 
     ``lp`` holds for each sample the word's probability in the shared restaurant and, as a context, its
     weight for new tables; ``m`` is what a pair's customers keep: p(w | u) = (m + mean of weight * probability) /
-    (STRENGTH + c of u).  A pair seen once has one table; only the others are sampled.  ``pairs`` is on disk.
+    (STRENGTH + c of u).  A pair seen once has one table, and so has a type seen once, with one pair behind and one
+    ahead; only the others are sampled and kept from sweep to sweep.  ``pairs`` is on disk.
     """
     once = F.count(F.when(F.col("c") == 1, 1))
     r = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), once.alias("one"), F.count(F.when(F.col("c") == 2, 1)).alias("two")).first()
     d = discount(r.one, r.two)
     types = pairs.groupBy(F.col("w").alias("word")).agg(F.sum("c").alias("c"), once.alias("follows"))
     leads = pairs.groupBy(F.col("u").alias("word")).agg(once.alias("leads"))
-    types = common.stage(types.join(leads, "word").withColumn("lp", F.array().cast("array<double>")), "types")
+    counted = common.stage(types.join(leads, "word"), "types")
+    types = counted.where("c > 1").withColumn("lp", F.array().cast("array<double>"))
     again = common.stage(pairs.where("c > 1").withColumns({"t": F.lit(1).cast("long"), "s": F.lit(0).cast("long")}), "pairs")
-    state, now, unknown, v = None, None, [], types.count()
+    of = counted.agg(F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("alone")).first()
+    state, now, unknown, v, alone, lp_alone = None, None, [], of.v, of.alone, []
     for k in range(BURN_IN + SAMPLES):
         behind = again.groupBy(F.col("w").alias("word")).agg(F.sum("t").alias("_t"))
         ahead = again.groupBy(F.col("u").alias("word")).agg(F.sum("t").alias("_l"))
@@ -319,9 +329,9 @@ def learned(pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[float], int, i
             fed = fed.join(state.select("word", F.col("t").alias("_t"), "own"), "word")
             fed = fed.select("word", "c", F.array(F.least(F.col("_t")[0], F.col("c")[0])).alias("t"), "own")
         fed = common.stage(fed.withColumn("p", F.array(F.lit(0.0))), "fed")
-        now = added(fed, 1)
+        now = added(fed, 1, alone)
         state = common.stage(sweep(fed.sortWithinPartitions("word"), now, k, False), "seating")
-        now = added(state, 1)
+        now = added(state, 1, alone)
         weight = F.lit(STRENGTH) + F.lit(d) * (F.col("leads") + F.coalesce("_l", F.lit(0)))
         sample = k >= BURN_IN
         shared = sweep(state, now, None, True).select("word", F.col("p")[0].alias("p"))
@@ -331,12 +341,15 @@ def learned(pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[float], int, i
         types = rows.drop("p", "weight")
         if sample:
             unknown.append(float(now.unknown()[0]))
+            one_row = np.ones((1, 1))
+            lp_alone += [float(now.context(one_row, one_row, now.parent(np.ones(1), np.ones(1)))[0, 0]), STRENGTH + d]
             again = again.withColumn("s", F.col("s") + F.col("t"))
         if k + 1 < BURN_IN + SAMPLES:
             met = again.join(rows.select(F.col("word").alias("w"), "p"), "w").join(rows.select(F.col("word").alias("u"), "weight"), "u")
             again = common.stage(reseated(met.withColumn("opening", F.col("weight") * F.col("p")), d, k), "pairs")
     kept = again.select(joint().alias("pair"), "c", (F.col("c") - F.lit(d / SAMPLES) * F.col("s")).alias("m"))
-    return types, kept.unionByName(pairs.where("c = 1").select(joint().alias("pair"), "c", F.lit(1 - d).alias("m"))), unknown, int(r.n), v
+    once_seen = counted.where("c = 1").select("word", "c", F.array(*map(F.lit, lp_alone)).alias("lp"))
+    return types.select("word", "c", "lp").unionByName(once_seen), kept, 1 - d, unknown, int(r.n), v
 
 
 # --- scoring -------------------------------------------------------------------------------
@@ -363,6 +376,33 @@ def place(top: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return at
 
 
+def marked(df: DataFrame) -> np.ndarray:
+    """A bitmap of ``BITS`` bits with those of the hashes in the only column of ``df`` set, whatever their number."""
+    bit = F.pmod(F.col(df.columns[0]), F.lit(BITS)) + 1
+    parts = df.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()
+    out = np.zeros((BITS >> 15, 1 << 12), np.uint8)
+    for k, bits in zip(parts["k"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        out[k - 1] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among those marked; False is certain."""
+    at = hashes & (BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def asked_for(df: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows of ``df`` (pair) that may be among those marked."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(among(shared.value, batch.column(0).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def looked_up(prices: DataFrame, width: int, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes in order, base, counts and numbers of the most frequent words, at most ``head`` of them; a row of zeros follows."""
     top = most(prices.select("word", "base", "c", "lp"), head)
@@ -382,24 +422,27 @@ def score(df: DataFrame, train: str = "train", head: int = HEAD) -> DataFrame:
     stays empty.
     """
     df = df.select("doc_id", "text", F.coalesce(F.col(train), F.lit(False)).alias("train"))
-    types, kept, unknown, n, v = learned(common.stage(followers(df.where("train")), "followers"))
+    # in order of the first word they take less room
+    counted = common.stage(followers(df.where("train")).sortWithinPartitions("u"), "followers")
+    types, kept, m_once, unknown, n, v = learned(counted)
     width = 2 * SAMPLES
     base = F.log10((F.col("c") + 1) / F.lit(float(n + 1 * (v + 1))))
     prices = common.stage(types.select("word", "c", "lp", base.alias("base")), "prices")
-    kept = common.stage(kept, "kept")
-    pairs = most(kept.where("c > 1").select("pair", "c", "m"), PAIRS_A_WORD * head)
-    shared = df.sparkSession.sparkContext.broadcast((*looked_up(prices, width, head), pairs["pair"].to_numpy(), pairs["m"].to_numpy()))
+    pairs = most(kept.select("pair", "c", "m"), PAIRS_A_WORD * head)
+    # a training text's pair that was not seen twice was seen once: what is surely not repeated need not be looked for
+    repeated = marked(kept.select("pair"))
+    shared = df.sparkSession.sparkContext.broadcast((*looked_up(prices, width, head), pairs["pair"].to_numpy(), np.append(pairs["m"].to_numpy(), 0), repeated))
     schema = T.StructType(
         [T.StructField("key", T.LongType()), df.schema["doc_id"], df.schema["train"]]
         + T.StructType.fromDDL(
             "n_tokens long, known long, base double, lp double, pair array<long>, n array<int>, lead array<double>, den array<double>, "
-            "u array<long>, w array<long>, n_far array<int>, den_far array<double>, u_near array<boolean>, w_near array<boolean>"
+            "u array<long>, w array<long>, n_far array<int>, den_far array<double>, u_near array<boolean>, w_near array<boolean>, sure array<boolean>"
         ).fields
         + [T.StructField(f"x{s}", T.ArrayType(T.DoubleType())) for s in range(SAMPLES)]
     )
 
     def run(batches):
-        top, base, c, table, top_pairs, shares = shared.value
+        top, base, c, table, top_pairs, shares, repeated = shared.value
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in common.slices(batch, rows=1_000):
@@ -419,27 +462,34 @@ def score(df: DataFrame, train: str = "train", head: int = HEAD) -> DataFrame:
                 lead, far = x.mean(axis=1), ~(u_near & w_near)
                 pair = u ^ (w << 1 | (w.view(np.uint64) >> np.uint64(63)).view(np.int64))
                 share = place(top_pairs, pair)
-                here = ~far & (share < len(top_pairs))
-                lp = np.bincount(doc[here], times[here] * np.log10((shares[share[here]] + lead[here]) / den[here]), texts).astype(float)  # of no pairs it counts in integers
+                listed = share < len(top_pairs)
+                sure = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)[doc] & ~among(repeated, pair)
+                m = np.where(sure, m_once, shares[share])
+                here = ~far & (listed | sure)
+                lp = np.bincount(doc[here], times[here] * np.log10((m[here] + lead[here]) / den[here]), texts).astype(float)  # of no pairs it counts in integers
                 keys = key + 1 + np.arange(texts)
                 key += texts
                 columns = [pa.array(keys), part.column(0), part.column(2), *map(pa.array, (size, known, sums, lp))]
                 times = times.astype(np.int32)
-                for chosen, of in ((~far & ~here, (pair, times, lead, den)), (far, (u, w, times, den, u_near, w_near, *x.T))):
+                for chosen, of in ((~far & ~here, (pair, times, lead, den)), (far, (u, w, times, den, u_near, w_near, sure, *x.T))):
                     bounds = pa.array(np.searchsorted(doc[chosen], np.arange(texts + 1)), pa.int32())
                     columns += [pa.ListArray.from_arrays(bounds, pa.array(y[chosen])) for y in of]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     read = common.stage(df.mapInArrow(run, schema), "read")
     xs = [f"x{s}" for s in range(SAMPLES)]
-    near = read.select("key", F.explode(F.arrays_zip("pair", "n", "lead", "den")).alias("r")).select("key", "r.*", F.lit(0).alias("known"), F.lit(0.0).alias("base"))
-    far = read.select("key", F.explode(F.arrays_zip("u", "w", F.col("n_far").alias("n"), F.col("den_far").alias("den"), "u_near", "w_near", *xs)).alias("r")).select("key", "r.*")
+    near = read.select("key", "train", F.explode(F.arrays_zip("pair", "n", "lead", "den")).alias("r"))
+    near = near.select("key", "train", "r.*", F.lit(False).alias("sure"), F.lit(0).alias("known"), F.lit(0.0).alias("base"))
+    far = read.select("key", "train", F.explode(F.arrays_zip("u", "w", F.col("n_far").alias("n"), F.col("den_far").alias("den"), "u_near", "w_near", "sure", *xs)).alias("r"))
+    far = far.select("key", "train", "r.*")
+    asked = near.where("not train").select("pair").unionByName(far.where("not train").select(joint().alias("pair")))
+    once_seen = asked_for(counted.where("c = 1").select(joint().alias("pair")), marked(asked))
+    kept = kept.select("pair", "m").unionByName(once_seen.withColumn("m", F.lit(m_once)))
     nothing = F.lit(float(-np.log10(n + 1 * (v + 1))))
-    # rare words meet their numbers by key; a frequent word's pairs keep to themselves under a key of their own
+    # only rare words meet their numbers by key
     for side in ("w", "u"):
-        at = F.when(F.col(f"{side}_near"), F.xxhash64("key", "u", "w")).otherwise(F.col(side))
-        known = prices.select(F.col("word").alias("at"), F.col("c").alias(f"c_{side}"), F.col("base").alias(f"base_{side}"), F.col("lp").alias(f"lp_{side}"))
-        far = far.withColumn("at", at).join(known, "at", "left").drop("at")
+        known = prices.select(F.col("word").alias(side), F.col("c").alias(f"c_{side}"), F.col("base").alias(f"base_{side}"), F.col("lp").alias(f"lp_{side}"))
+        far = far.where(~F.col(f"{side}_near")).join(known, side, "left").unionByName(far.where(f"{side}_near"), allowMissingColumns=True)
     found = F.col("base_w").isNotNull() & ~F.col("w_near")
     met = [
         F.col(x)
@@ -450,13 +500,15 @@ def score(df: DataFrame, train: str = "train", head: int = HEAD) -> DataFrame:
     den = F.when(F.col("u_near"), F.col("den")).otherwise(F.lit(STRENGTH) + F.coalesce("c_u", F.lit(0)))
     base_far = F.when(F.col("w_near"), 0.0).otherwise(F.col("n") * F.coalesce("base_w", nothing))
     far = far.select(
-        "key", joint().alias("pair"), "n", den.alias("den"), (sum(met) / SAMPLES).alias("lead"),
+        "key", "train", joint().alias("pair"), "n", den.alias("den"), (sum(met) / SAMPLES).alias("lead"), "sure",
         F.when(found, F.col("n")).otherwise(0).alias("known"), base_far.alias("base"),
     )
-    lp = F.col("n") * F.log10(F.greatest((F.coalesce("m", F.lit(0.0)) + F.col("lead")) / F.col("den"), F.lit(1e-300)))
+    m = F.coalesce("m", F.when(F.col("train"), m_once).otherwise(0.0))
+    lp = F.col("n") * F.log10(F.greatest((m + F.col("lead")) / F.col("den"), F.lit(1e-300)))
     more = (
-        near.unionByName(far)
-        .join(kept.select("pair", "m"), "pair", "left")
+        near.unionByName(far.where("not sure"))
+        .join(kept, "pair", "left")
+        .unionByName(far.where("sure"), allowMissingColumns=True)
         .groupBy("key")
         .agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum(lp).alias("more_lp"))
     )

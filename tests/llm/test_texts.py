@@ -450,6 +450,41 @@ def test_every_preceding_word_is_a_context(spark):
         assert all(got[100 + k] > got[200 + k] + 0.5 for k in range(30))
 
 
+def test_probabilities_after_each_word_add_up_to_one(spark):
+    """With pairs and types seen once kept out of the sweeps: what a word's followers keep and what it hands on is all there is."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(40)], weights=[1 / (k + 1) for k in range(40)], k=12)) + f" only{i}" for i in range(40)]
+    pairs = common.stage(pitman_yor.followers(spark.createDataFrame([(t,) for t in texts], "text string")), "pairs")
+    types, kept, m_once, unknown, n, v = pitman_yor.learned(pairs)
+    lp = {r.word: (r.c, r.lp) for r in types.collect()}
+    assert len(lp) == v and n == 40 * 14 and kept.where("c < 2").count() == 0
+    m = {r.pair: r.m for r in kept.collect()}
+    for s in range(pitman_yor.SAMPLES):
+        assert math.isclose(sum(x[2 * s] for _, x in lp.values()) + unknown[s], 1)
+    shares = collections.Counter()
+    for r in pairs.withColumn("pair", pitman_yor.joint()).collect():
+        assert (r.c > 1) == (r.pair in m)
+        shares[r.u] += m.get(r.pair, m_once)
+    for u, (c, x) in lp.items():
+        assert math.isclose(shares[u] + np.mean(x[1::2]), pitman_yor.STRENGTH + c)
+
+
+def test_discount_comes_from_dishes_with_one_and_two_customers(spark):
+    state = spark.createDataFrame([(i, [c], [1], 1) for i, c in enumerate([1, 1, 1, 2, 2, 5])], "word long, c array<long>, t array<long>, own long")
+    got = pitman_yor.added(state, 1)
+    assert math.isclose(got.d, pitman_yor.discount(3, 2)) and got.types == 6
+    assert pitman_yor.added(state.where("word > 1"), 1, 2) == got
+
+
+def test_bitmap_misses_no_hash(spark):
+    rng = np.random.default_rng(5)
+    hashes = np.append(rng.integers(-(2**63), 2**63 - 1, 3_000), [0, -1, pitman_yor.BITS, -(2**63), 2**63 - 1])
+    df = spark.createDataFrame([(int(h),) for h in hashes], "pair long")
+    bits = pitman_yor.marked(df.limit(0).unionByName(df))
+    assert pitman_yor.among(bits, hashes).all() and pitman_yor.among(bits, rng.integers(-(2**63), 2**63 - 1, 3_000)).mean() < 0.01
+    assert not pitman_yor.marked(df.limit(0)).any() and pitman_yor.asked_for(df, bits).count() == len(hashes)
+
+
 def test_tokens_as_numbers():
     texts = ["One two\x0bTWO\u00a0x \u0130\t", "", None, " \n", "\x1cthree one"]
     hashes, ids, before, size = pitman_yor.encoded(pa.array(texts))
